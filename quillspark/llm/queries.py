@@ -7,21 +7,32 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language, packing, quality, secrets
+from . import decontamination, language, lm, packing, pii, quality, secrets, simhash
 from .base import rid, table
 
 
-def _tokenizer() -> str:
+def vocabulary() -> str:
     import public_tokenizers
 
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    done = pii.replace(docs, key=spark.conf.get("spark.quillspark.pii.key", pii.KEY.decode()).encode(), entities_col="found")
+    listed = F.array_join(F.transform("found", lambda e: F.concat_ws(":", e["kind"], e["start"].cast("string"), e["end"].cast("string"))), ",")
+    return done.select("doc_id", "text", F.size("found").cast("long").alias("n_entities"), listed.alias("entities"))
+
+
 def op2_cost_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = packing.pack(table(spark, sf_dir, "documents"), _tokenizer())
+    pieces = packing.pack(table(spark, sf_dir, "documents"), vocabulary())
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "sequence_tokens", "cost")
 
 
+def op3_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.train_and_score(table(spark, sf_dir, "documents"), stable=True)
+
+
 def op4_wu_manber_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.find_overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     hit = decontamination.hit_words()
@@ -48,8 +59,13 @@ def op8_secret_randomness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(secrets.listed(base), 256).alias("base_sha256"), secrets.listed(F.col("spans")).alias("spans"))
 
 
+def op9_simhash_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op2_cost_packing, op4_wu_manber_decontamination, op6_quality_classifier, op7_language_rank_order, op8_secret_randomness)
+    own = (op1_pii_surrogates, op2_cost_packing, op3_deleted_interpolation, op4_wu_manber_decontamination, op6_quality_classifier, op7_language_rank_order, op8_secret_randomness, op9_simhash_pigeonring)
     return {f.__name__: f for f in own}
 
 
