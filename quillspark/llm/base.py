@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -28,9 +29,12 @@ def shared_root(spark: SparkSession) -> str:
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it again: lineage ends here, so a lost executor costs no recomputation.
 
-    The files are removed when the driver's Python exits.
+    The files are removed when the driver's Python exits. Shuffle files of what was staged before go as soon as the
+    driver's garbage is collected, which is asked for here.
     """
     spark = df.sparkSession
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
     path = f"{shared_root(spark).rstrip('/')}/staged/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     if not _STAGED:
