@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language, lm, packing, pii, quality, repeats, secrets, simhash
+from . import decontamination, language, lm, media, packing, pii, quality, repeats, secrets, simhash
 from .base import rid, table
 
 
@@ -70,8 +70,13 @@ def op9_simhash_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op10_image_descriptors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pictures = media.render(table(spark, sf_dir, "embeddings"))
+    return media.find_copies(pictures, id_col="id", image_col="image").withColumnRenamed("id", "vec_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_pii_surrogates, op2_cost_packing, op3_deleted_interpolation, op4_wu_manber_decontamination, op5_two_stage_repeats, op6_quality_classifier, op7_language_rank_order, op8_secret_randomness, op9_simhash_pigeonring)
+    own = (op1_pii_surrogates, op2_cost_packing, op3_deleted_interpolation, op4_wu_manber_decontamination, op5_two_stage_repeats, op6_quality_classifier, op7_language_rank_order, op8_secret_randomness, op9_simhash_pigeonring, op10_image_descriptors)
     return {f.__name__: f for f in own}
 
 
