@@ -100,8 +100,8 @@ def knn(df: DataFrame, id_col: str, vector_col: str, k: int, queries: DataFrame
 
     side = lambda d: d.select(F.col(id_col).cast("long").alias("id"), V.unit(V.doubles(F.col(vector_col))).alias("v"))
     blocks = 8
-    left = side(queries if queries is not None else df).withColumn("q", F.pmod(F.xxhash64("id"), F.lit(blocks))).withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    right = side(df).withColumn("r", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long"))
+    left = side(queries if queries is not None else df).withColumn("q", F.pmod(F.xxhash64("id"), F.lit(blocks))).withColumn("r", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    right = side(df).withColumn("r", F.pmod(F.xxhash64("id"), F.lit(blocks))).withColumn("q", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
 
     def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):

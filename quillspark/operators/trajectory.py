@@ -37,7 +37,9 @@ def autocorrelation(paths: DataFrame, max_lag: int) -> DataFrame:
     d = steps(paths).select("path", "pos", "distance")
     size = d.groupBy("path").agg(F.count("*").alias("n"))
     d = d.withColumn("at", F.row_number().over(order_of()))
-    lagged = d.select("path", F.col("distance").alias("x"), F.explode(F.array(*[F.struct(F.lit(k).alias("lag"), F.lead("distance", k).over(Window.partitionBy("path").orderBy("at")).alias("y")) for k in range(1, max_lag + 1)])).alias("p"))
+    ahead = Window.partitionBy("path").orderBy("at")
+    wide = d.select("path", F.col("distance").alias("x"), *[F.lead("distance", k).over(ahead).alias(f"y{k}") for k in range(1, max_lag + 1)])
+    lagged = wide.select("path", "x", F.explode(F.array(*[F.struct(F.lit(k).alias("lag"), F.col(f"y{k}").alias("y")) for k in range(1, max_lag + 1)])).alias("p"))
     flat = F.least(F.stddev_pop("x"), F.stddev_pop("p.y")) < 1e-10
     r = lagged.where("p.y is not null").groupBy("path", F.col("p.lag").alias("lag")).agg(F.when((F.count("*") < 3) | flat, F.lit(0.0)).otherwise(pearson("x", F.col("p.y"))).alias("r"))
     lags = size.select("path", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.when(F.col("n") < max_lag + 2, F.col("n").cast("int") - 2).otherwise(F.lit(max_lag))))).alias("lag"))

@@ -1 +1,236 @@
-"""."""
+"""Queries over documents as a corpus: profiles, baselines, splits, envelopes, audits of coverage."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from ..operators import audit, dataset, matrix, stylometrics
+from ..functions import text as X
+from .registry import query, rounded
+from .texts import STYLE_COLS, STYLE_SQL
+
+DIMS = ["sent_len_mean", "mattr", "hapax_ratio", "articles_per_k", "word_len_mean", "para_len_mean"]
+#: Features of each document with source and language; a segment is a document, numbered within its source.
+FEATURES = f"""feat AS ({STYLE_SQL} {', '.join(f'CAST({STYLE_COLS[d]} AS DOUBLE) AS {d}' for d in DIMS)} FROM o),
+seg AS (SELECT feat.*, source, lang, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS number FROM feat JOIN documents USING (doc_id))"""
+LONG = FEATURES + ", long AS (" + " UNION ALL ".join(f"SELECT doc_id, source, lang, '{d}' AS dim, {d} AS value FROM seg" for d in DIMS) + ")"
+STAT = "count(*) AS n, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std, round(min(value), 6) AS least, round(max(value), 6) AS greatest, round(median(value), 6) AS median"
+
+
+def segments(read):
+    docs = read("documents").select("doc_id", "source", "lang", "text")
+    number = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
+    return stylometrics.features(docs, only=DIMS).drop("text").withColumn("number", number)
+
+
+def long(read):
+    docs = read("documents").select("doc_id", "source", "lang", "text")
+    return matrix.unpivot(stylometrics.features(docs, only=DIMS).drop("text"), ["doc_id", "source", "lang"], DIMS)
+
+
+@query(f"WITH {LONG} SELECT dim, {STAT} FROM long GROUP BY dim")
+def feature_stats(read):
+    return rounded(matrix.feature_stats(long(read)))
+
+
+@query(f"WITH {LONG} SELECT 'stylometric' AS kind, dim, {STAT} FROM long GROUP BY dim")
+def measurement_baseline(read):
+    return rounded(matrix.feature_stats(long(read)).select(F.lit("stylometric").alias("kind"), "*"))
+
+
+@query(f"WITH {LONG} SELECT source AS author, dim, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std, CAST(count(DISTINCT lang) AS BIGINT) AS n_works, count(*) AS n_chapters FROM long GROUP BY source, dim")
+def author_profile(read):
+    g = long(read).groupBy(F.col("source").alias("author"), "dim").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), F.countDistinct("lang").alias("n_works"), F.count("*").alias("n_chapters"))
+    return rounded(g)
+
+
+@query("SELECT source AS author, lang AS work, count(*) AS n_segments, min(doc_id) AS first_id, max(doc_id) AS last_id FROM documents GROUP BY ROLLUP (source, lang)")
+def corpus_metadata(read):
+    d = read("documents").select(F.col("source").alias("author"), F.col("lang").alias("work"), "doc_id")
+    return d.rollup("author", "work").agg(F.count("*").alias("n_segments"), F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"))
+
+
+@query(f"WITH {LONG} SELECT lang AS section, dim, round(quantile_cont(value, 0.25), 6) AS q1, round(median(value), 6) AS q2, round(quantile_cont(value, 0.75), 6) AS q3 FROM long GROUP BY lang, dim")
+def section_quartiles(read):
+    q = lambda p: F.percentile("value", F.lit(p))
+    return rounded(long(read).groupBy(F.col("lang").alias("section"), "dim").agg(q(0.25).alias("q1"), q(0.5).alias("q2"), q(0.75).alias("q3")))
+
+
+@query(f"WITH {LONG}, m AS (SELECT dim, lang, avg(value) AS mean FROM long GROUP BY dim, lang), v AS (SELECT dim, var_samp(mean) AS variance FROM m GROUP BY dim) SELECT dim, round(variance, 6) AS variance, row_number() OVER (ORDER BY variance DESC, dim) AS rank FROM v")
+def discriminating_dims(read):
+    means = long(read).groupBy("dim", "lang").agg(F.avg("value").alias("mean"))
+    v = means.groupBy("dim").agg(F.var_samp("mean").alias("variance"))  # one row a dim
+    return rounded(v.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("variance"), "dim")).cast("long")))
+
+
+@query(f"WITH {LONG}, v AS (SELECT dim, var_pop(value) AS variance FROM long GROUP BY dim) SELECT dim, round(variance, 6) AS variance, row_number() OVER (ORDER BY variance DESC, dim) AS rank FROM v QUALIFY rank <= 3")
+def top_variance_dims(read):
+    return rounded(matrix.top_variance(long(read), 3).withColumn("rank", F.col("rank").cast("long")))
+
+
+_CORR = " UNION ALL ".join(f"SELECT '{a}' AS dim_a, '{b}' AS dim_b, round(covar_pop({a}, {b}) / (stddev_pop({a}) * stddev_pop({b})), 6) AS r FROM seg" for i, a in enumerate(DIMS) for b in DIMS[i + 1 :])
+
+
+@query(f"WITH {FEATURES} {_CORR}")
+def corr_matrix(read):
+    return rounded(matrix.corr_matrix(segments(read), DIMS))
+
+
+@query()
+def decorrelate_dims(read):
+    s = segments(read)
+    kept = matrix.decorrelate(s, DIMS)
+    return rounded(s.select("doc_id", *kept))
+
+
+@query(f"WITH {FEATURES}, c AS ({_CORR}), b AS (SELECT dim_a AS dim, dim_b AS other, r FROM c UNION ALL SELECT dim_b, dim_a, r FROM c), k AS (SELECT *, row_number() OVER (PARTITION BY dim ORDER BY abs(r) DESC, other) AS n FROM b) SELECT dim, other, r, CASE WHEN abs(r) >= 0.5 THEN '***' WHEN abs(r) >= 0.3 THEN '**' ELSE '' END AS stars FROM k WHERE n = 1")
+def best_correlate(read):
+    c = rounded(matrix.corr_matrix(segments(read), DIMS))
+    b = c.select(F.col("dim_a").alias("dim"), F.col("dim_b").alias("other"), "r").union(c.select("dim_b", "dim_a", "r"))
+    n = F.row_number().over(Window.partitionBy("dim").orderBy(F.desc(F.abs("r")), "other"))
+    stars = F.when(F.abs("r") >= 0.5, "***").when(F.abs("r") >= 0.3, "**").otherwise("")
+    return b.withColumn("n", n).where("n = 1").select("dim", "other", "r", stars.alias("stars"))
+
+
+@query(f"WITH {FEATURES} SELECT source, CAST(sum(CASE WHEN lang = 'de' THEN 1 ELSE 0 END) AS BIGINT) AS de, CAST(sum(CASE WHEN lang = 'en' THEN 1 ELSE 0 END) AS BIGINT) AS en, CAST(sum(CASE WHEN lang = 'es' THEN 1 ELSE 0 END) AS BIGINT) AS es, CAST(sum(CASE WHEN lang = 'fr' THEN 1 ELSE 0 END) AS BIGINT) AS fr FROM seg GROUP BY source")
+def score_pivot(read):
+    p = read("documents").groupBy("source").pivot("lang", ["de", "en", "es", "fr"]).count()
+    return p.select("source", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("de", "en", "es", "fr")])
+
+
+@query(f"WITH {FEATURES} SELECT doc_id, source || ':' || number AS segment_id, CAST(number AS BIGINT) AS number, coalesce(lang, 'N/A') AS section FROM seg")
+def normalize_schema(read):
+    s = segments(read)
+    return s.select("doc_id", F.concat_ws(":", "source", F.col("number").cast("string")).alias("segment_id"), F.col("number").cast("long").alias("number"), F.coalesce("lang", F.lit("N/A")).alias("section"))
+
+
+@query("SELECT source, min(n_chars) AS shortest, arg_min(doc_id, (n_chars, doc_id)) AS shortest_id, max(n_chars) AS longest, count(*) FILTER (WHERE n_chars < 100) AS n_short, count(*) FILTER (WHERE n_chars > 20000) AS n_long FROM documents GROUP BY source")
+def extreme_rows(read):
+    flag = lambda c: F.sum(c.cast("long"))
+    return read("documents").groupBy("source").agg(F.min("n_chars").alias("shortest"), F.min_by("doc_id", F.struct("n_chars", "doc_id")).alias("shortest_id"), F.max("n_chars").alias("longest"), flag(F.col("n_chars") < 100).alias("n_short"), flag(F.col("n_chars") > 20000).alias("n_long"))
+
+
+@query("SELECT source, lang, count(*) AS n, min(doc_id) AS first_id FROM documents GROUP BY source, lang")
+def corpus_index(read):
+    d = read("documents").groupBy("source", "lang").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id"))
+    return d.orderBy("source", "lang")
+
+
+_SHARES = {"train": 0.7, "validation": 0.15, "test": 0.15}
+SPLIT = """sp AS (SELECT doc_id, source, lang, n_chars, CASE WHEN place <= a THEN 'train' WHEN place <= a + b THEN 'validation' ELSE 'test' END AS split FROM (
+  SELECT *, row_number() OVER (ORDER BY sha256('42:' || doc_id), doc_id) AS place, (SELECT CAST(round(count(*) * 0.7) AS BIGINT) FROM documents) AS a, (SELECT CAST(round(count(*) * 0.15) AS BIGINT) FROM documents) AS b FROM documents))"""
+
+
+def split(read):
+    d = read("documents").select("doc_id", "source", "lang", "n_chars")
+    return d.join(dataset.hash_split(d, "doc_id", _SHARES).withColumnRenamed("id", "doc_id"), "doc_id")
+
+
+@query(f"WITH {SPLIT} SELECT doc_id, split FROM sp")
+def hash_split(read):
+    return split(read).select("doc_id", "split")
+
+
+@query(f"WITH {SPLIT} SELECT split, count(*) AS n FROM sp GROUP BY split")
+def split_counts(read):
+    return split(read).groupBy("split").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {SPLIT} SELECT source, CAST(count(DISTINCT split) AS BIGINT) AS n_splits FROM sp GROUP BY source HAVING count(DISTINCT split) > 1")
+def split_leakage(read):
+    return split(read).groupBy("source").agg(F.countDistinct("split").alias("n_splits")).where("n_splits > 1")
+
+
+_BUCKET = "CAST(('0x' || substr(sha256('42:' || doc_id), 1, 12)) AS BIGINT) / 281474976710655.0"
+
+
+@query(f"SELECT doc_id, CASE WHEN {_BUCKET} < 0.8 THEN 'train' WHEN {_BUCKET} < 0.9 THEN 'validation' ELSE 'test' END AS split FROM documents")
+def bucket_split(read):
+    return read("documents").select("doc_id", dataset.bucket_split(F.col("doc_id"), 0.8, 0.1).alias("split"))
+
+
+_WIN = rf"""win AS (SELECT doc_id, word_start, source FROM (SELECT doc_id, source, unnest(CASE WHEN n >= 128 THEN generate_series(0, n - 128, 256) ELSE [] END) AS word_start FROM (SELECT doc_id, source, len(regexp_extract_all(text, '\S+')) AS n FROM documents)))"""
+
+
+def _windows(read):
+    w = dataset.word_windows(read("documents").select("doc_id", "text"), "doc_id", "text", 128, 256).select(F.col("id").alias("doc_id"), "word_start")
+    return w.join(split(read), "doc_id").select(F.col("source").alias("work"), F.col("doc_id").alias("segment"), F.col("doc_id").alias("chapter"), F.col("word_start").alias("start"), "split")
+
+
+_ENV = f"""{FEATURES}, {SPLIT}, {_WIN}, tr AS (SELECT win.source AS work, win.doc_id AS segment FROM win JOIN sp USING (doc_id) WHERE split = 'train'),
+top AS (SELECT work, count(*) AS n_windows FROM tr GROUP BY work HAVING count(*) >= 2 ORDER BY n_windows DESC, work LIMIT 3)"""
+
+
+def _targets(read):
+    f = segments(read).select(F.col("doc_id").alias("segment"), *DIMS)
+    return dataset.target_envelopes(_windows(read).join(f, "segment"), DIMS)
+
+
+@query(f"WITH {_ENV}, u AS (SELECT DISTINCT work, segment FROM tr) SELECT work, n_windows, count(*) AS n_segments, {', '.join(f'round(avg({d}), 6) AS {d}' for d in DIMS)} FROM u JOIN top USING (work) JOIN seg ON segment = seg.doc_id GROUP BY work, n_windows")
+def target_envelopes(read):
+    return rounded(_targets(read))
+
+
+@query(f"""WITH {_ENV}, te AS (SELECT win.source AS work, win.doc_id AS segment, word_start FROM win JOIN sp USING (doc_id) WHERE split = 'test'), fr AS (SELECT * FROM te WHERE work NOT IN (SELECT work FROM top)),
+pool AS (SELECT * FROM fr WHERE (SELECT count(*) FROM fr) >= 3 UNION ALL SELECT * FROM te WHERE (SELECT count(*) FROM fr) < 3), r AS (SELECT *, row_number() OVER (PARTITION BY work ORDER BY segment, word_start) AS nth FROM pool)
+SELECT work, segment, CAST(word_start AS BIGINT) AS start FROM r ORDER BY nth > 1, work, segment, word_start LIMIT 5""")
+def source_selection(read):
+    chosen = dataset.source_selection(_windows(read), _targets(read))
+    return chosen.select("work", "segment", F.col("start").cast("long").alias("start"))
+
+
+_SYNTAX = r"""tok AS (SELECT doc_id, unnest(w[1:12]) AS word, unnest(generate_series(1, least(12, len(w)))) AS token FROM (SELECT doc_id, regexp_extract_all(text, '\S+') AS w FROM documents))"""
+
+
+@query(rf"""WITH {_SYNTAX}, n AS (SELECT doc_id, max(token) AS d FROM tok GROUP BY doc_id),
+r AS (SELECT doc_id, count(*) FILTER (WHERE length(word) % 3 = 0) AS v, count(*) FILTER (WHERE length(word) % 3 = 0 AND token % 2 = 0) AS s FROM tok GROUP BY doc_id)
+SELECT doc_id, round(CAST(d AS DOUBLE), 6) AS parse_depth_mean, round(CASE WHEN v > 0 THEN s / CAST(v AS DOUBLE) ELSE 0 END, 6) AS subordinate_ratio FROM n JOIN r USING (doc_id)""")
+def syntax_features(read):
+    """A parse table in which each of a document's first words hangs on the one before it."""
+    d = read("documents").select("doc_id", F.posexplode(F.slice(X.chunks(F.col("text")), 1, 12)).alias("i", "word"))
+    parse = d.select("doc_id", F.lit(0).alias("sent"), (F.col("i") + 1).alias("token"), F.greatest(F.lit(1), F.col("i")).alias("head"), F.when(F.length("word") % 3 == 0, "VERB").otherwise("NOUN").alias("pos"), F.when((F.col("i") + 1) % 2 == 0, "ccomp").otherwise("obj").alias("dep"))
+    return rounded(stylometrics.syntax_features(parse))
+
+
+@query("""WITH b AS (SELECT doc_id, count(*) AS n FROM (SELECT doc_id FROM labels UNION ALL SELECT doc_id FROM labels WHERE doc_id % 50 = 0 UNION ALL SELECT -1) GROUP BY doc_id)
+SELECT coalesce(d.doc_id, b.doc_id) AS doc_id, CASE WHEN b.doc_id IS NULL THEN 'missing' WHEN d.doc_id IS NULL THEN 'orphan' ELSE 'duplicate' END AS status FROM documents d FULL JOIN b ON d.doc_id = b.doc_id WHERE b.doc_id IS NULL OR d.doc_id IS NULL OR n > 1""")
+def coverage_audit(read):
+    have = read("labels").select("doc_id")
+    extra = have.where("doc_id % 50 = 0").union(have.limit(1).select(F.lit(-1).cast("long")))
+    return audit.coverage(read("documents").select("doc_id"), have.union(extra), ["doc_id"])
+
+
+@query("SELECT source AS author, count(*) AS profile_count, count(*) FILTER (WHERE n_chars > 0) AS actual_count, count(*) = count(*) FILTER (WHERE n_chars > 0) AS ok FROM documents GROUP BY source")
+def profile_audit(read):
+    d = read("documents").groupBy(F.col("source").alias("author")).agg(F.count("*").alias("profile_count"), F.sum((F.col("n_chars") > 0).cast("long")).alias("actual_count"))
+    return d.withColumn("ok", F.col("profile_count") == F.col("actual_count"))
+
+
+@query("WITH e AS (SELECT CAST(embedding AS DOUBLE[]) AS v FROM embeddings) SELECT count(*) AS n_rows, CAST(min(len(v)) AS INT) AS min_dims, CAST(max(len(v)) AS INT) AS max_dims, CAST(0 AS BIGINT) AS nan_rows, count(*) FILTER (WHERE list_inner_product(v, v) = 0) AS zero_rows, round(min(sqrt(list_inner_product(v, v))), 6) AS min_norm, round(max(sqrt(list_inner_product(v, v))), 6) AS max_norm FROM e")
+def data_integrity(read):
+    return rounded(audit.vector_integrity(read("embeddings"), "embedding"))
+
+
+@query(f"WITH {FEATURES} SELECT source, count(*) AS n_rows, max(number) AS last_number, count(*) = max(number) AS aligned FROM seg GROUP BY source")
+def alignment_check(read):
+    g = segments(read).groupBy("source").agg(F.count("*").alias("n_rows"), F.max("number").cast("long").alias("last_number"))
+    return g.withColumn("aligned", F.col("n_rows") == F.col("last_number"))
+
+
+@query("SELECT name, claimed, round(observed, 6) AS observed, abs(observed - claimed) <= 0.15 AS ok FROM (SELECT 'quality' AS name, CAST(0.85 AS DOUBLE) AS claimed, avg(quality) AS observed FROM labels UNION ALL SELECT 'toxic', 0.5, avg(toxic) FROM labels)")
+def claim_check(read):
+    one = read("labels").agg(F.avg("quality").alias("quality"), F.avg("toxic").alias("toxic"))
+    return rounded(audit.claims(one, {"quality": 0.85, "toxic": 0.5}))
+
+
+@query("SELECT source, count(*) AS n, count(*) >= 45 AS complete FROM documents GROUP BY source")
+def progress(read):
+    return read("documents").groupBy("source").agg(F.count("*").alias("n")).withColumn("complete", F.col("n") >= 45)
+
+
+@query(f"WITH {LONG} SELECT DISTINCT dim AS name, CASE WHEN dim LIKE '%per_k' THEN 'Rate' ELSE NULL END AS label, coalesce(CASE WHEN dim LIKE '%per_k' THEN 'Rate' END, array_to_string(list_transform(string_split(dim, '_'), lambda w: upper(w[1]) || w[2:]), ' ')) AS shown FROM long")
+def dimension_registry(read):
+    d = long(read).select(F.col("dim").alias("name")).distinct()
+    label = F.when(F.col("name").endswith("per_k"), "Rate")
+    return d.select("name", label.alias("label"), F.coalesce(label, F.initcap(F.replace("name", F.lit("_"), F.lit(" ")))).alias("shown"))
