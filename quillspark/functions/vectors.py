@@ -58,8 +58,8 @@ def clamp01(c: Column) -> Column:
 
 
 def clamp_score(c: Column) -> Column:
-    """1 to 10, halves to the even number."""
-    return F.greatest(F.lit(1), F.least(F.lit(10), F.bround(c, 0).cast("int")))
+    """1 to 10, halves to the even number; null stays null."""
+    return F.when(c.isNotNull(), F.greatest(F.lit(1), F.least(F.lit(10), F.bround(c, 0).cast("int"))))
 
 
 def from_map(m: Column, dims: list[str]) -> Column:
