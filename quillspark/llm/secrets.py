@@ -10,8 +10,8 @@ against that null by their normal approximations, all small or all large when ch
 * serial correlation: the lag-one product of deviations of character ranks, and the share of repeated neighbours,
   which must not be large (a counter or a repeated word is not random).
 
-The p-values of the first two are combined by Stouffer's rule with equal weights; a candidate whose third test rejects
-independence of neighbours at 0.001 in absolute value is not random and gets p-value 1. False discoveries are controlled by
+The p-values of the first two are combined by Stouffer's rule with equal weights. A candidate must also pass for random:
+if the third test rejects independence of neighbours, or chi-squared rejects uniformity itself, its p-value is 1. False discoveries are controlled by
 Benjamini and Hochberg's step-up rule within classes of length (20-23, 24-31, 32-47, 48-79, 80 and more), each at level ``rate``:
 long ordinary tokens therefore cannot pay for short doubtful ones. The rule runs on counts of p-values in 2,048 bins of
 their logarithm, rounded up, so what is gathered is bounded and the rule only gets stricter.
@@ -97,7 +97,9 @@ def p_value(token: str, kind: str, null: np.ndarray) -> float:
     z_serial = (serial + 1 / n) * math.sqrt(n)
     same = int((x[1:] == x[:-1]).sum())
     z_same = (same - (n - 1) / k) / math.sqrt((n - 1) / k * (1 - 1 / k))
-    if abs(z_serial) > 3.29 or z_same > 4.5:
+    chi = k / n * float((f.astype(float) ** 2).sum()) - n
+    z_chi = (chi - (k - 1)) / math.sqrt(2 * (k - 1) * (n - 1) / n)
+    if abs(z_serial) > 3.29 or z_same > 4.5 or z_chi > 4.5:
         return 1.0
     return _tail((z_uniform + z_runs) / math.sqrt(2))
 
