@@ -17,15 +17,15 @@ MARKERS = {
     "en": "the and is in of to a that it for".split(),
 }
 
-# Lines that are editorial apparatus, by kind, in order; all but the last three ignore case.
+# Lines that are editorial apparatus, by kind, in order; all but the last three ignore case, accented letters too.
 EDITORIAL = {
-    "TOC marker": r"(?i)^(índice|tabla de contenido|contenido|table of contents)\s*$",
-    "Copyright": r"(?i)(copyright|©|todos los derechos reservados|derechos reservados)",
-    "ISBN": r"(?i)ISBN[\s0-9-]{10,20}",
-    "Publisher blurb": r"(?i)^(editorial\s|published by|publicado por|colección|biblioteca)",
+    "TOC marker": r"(?iu)^(índice|tabla de contenido|contenido|table of contents)\s*$",
+    "Copyright": r"(?iu)(copyright|©|todos los derechos reservados|derechos reservados)",
+    "ISBN": r"(?iu)ISBN[\s0-9-]{10,20}",
+    "Publisher blurb": r"(?iu)^(editorial\s|published by|publicado por|colección|biblioteca)",
     "Page number": r"^\s*[0-9]+\s*$",
     "Running header": r"^[A-ZÁÉÍÓÚÑ][A-ZÁÉÍÓÚÑ\s]{2,39}$",
-    "Chapter header": r"(?i)^(capítulo|cap\.?|parte|part|section|sección)\s*([0-9]+|[IVX]+)",
+    "Chapter header": r"(?iu)^(capítulo|cap\.?|parte|part|section|sección)\s*([0-9]+|[IVX]+)",
 }
 BLURB_LENGTH, HEADER_LENGTH = 200, 50
 

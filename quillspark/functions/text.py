@@ -170,8 +170,8 @@ def leak_flag(c: Column) -> Column:
     return F.coalesce(out, F.lit(False))
 
 
-_PREFIX = r"^(?i)(?:\s*(?:\*{0,2}\s*)?(?:(?:thinking process|reasoning|analysis|chain of thought|an[áa]lisis|comentario|commentary|nota|note|cambios realizados|changes made)\s*:\s*(?:\*{0,2}\s*)?[^\n]*?\n\s*\n|[0-9]+\.\s+\*\*?analyze\*\*?)\n?)+"
-_SUFFIX = r"(?is)\n\s*\n((?:\*\*)?\s*(?:nota|note|notes|explicaci[oó]n|explanation|comentario|commentary|justificaci[oó]n|justification|cambios realizados|changes made)\s*:\s*(?:\*\*)?).*$"
+_PREFIX = r"^(?iu)(?:\s*(?:\*{0,2}\s*)?(?:(?:thinking process|reasoning|analysis|chain of thought|an[áa]lisis|comentario|commentary|nota|note|cambios realizados|changes made)\s*:\s*(?:\*{0,2}\s*)?[^\n]*?\n\s*\n|[0-9]+\.\s+\*\*?analyze\*\*?)\n?)+"
+_SUFFIX = r"(?isu)\n\s*\n((?:\*\*)?\s*(?:nota|note|notes|explicaci[oó]n|explanation|comentario|commentary|justificaci[oó]n|justification|cambios realizados|changes made)\s*:\s*(?:\*\*)?).*$"
 
 
 def strip_prefix(c: Column) -> Column:

@@ -117,7 +117,7 @@ def corpus_index(read):
     return d.orderBy("source", "lang")
 
 
-_SHARES = {"train": 0.7, "validation": 0.15, "test": 0.15}
+_SHARES = {"train": 0.7, "validation": 0.15, "test": 1 - 0.7 - 0.15}
 SPLIT = """sp AS (SELECT doc_id, source, lang, n_chars, CASE WHEN place <= a THEN 'train' WHEN place <= a + b THEN 'validation' ELSE 'test' END AS split FROM (
   SELECT *, row_number() OVER (ORDER BY sha256('42:' || doc_id), doc_id) AS place, (SELECT CAST(round(count(*) * 0.7) AS BIGINT) FROM documents) AS a, (SELECT CAST(round(count(*) * 0.15) AS BIGINT) FROM documents) AS b FROM documents))"""
 

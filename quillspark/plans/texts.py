@@ -154,7 +154,7 @@ def _kind_sql(s: str) -> str:
     cases = []
     for kind, pattern in L.EDITORIAL.items():
         more = f" AND length({s}) < {L.BLURB_LENGTH}" if kind == "Publisher blurb" else f" AND length({s}) < {L.HEADER_LENGTH}" if kind == "Running header" else ""
-        cases.append(f"WHEN regexp_matches({s}, '{pattern}'){more} THEN '{kind}'")
+        cases.append(f"WHEN regexp_matches({s}, '{pattern.replace('(?iu)', '(?i)')}'){more} THEN '{kind}'")
     return f"CASE {' '.join(cases)} END"
 
 
