@@ -33,8 +33,7 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     driver's garbage is collected, which is asked for here.
     """
     spark = df.sparkSession
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    release(spark)
     path = f"{shared_root(spark).rstrip('/')}/staged/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     if not _STAGED:
@@ -43,6 +42,12 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of finished jobs: it does so when the driver's garbage is collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def _clean() -> None:
     for spark, path in _STAGED:
         try:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import id_and_text, mix64, narrow, ragged, stage, utf8
+from .base import id_and_text, mix64, narrow, ragged, release, stage, utf8
 
 LENGTH = 100
 GRAM = 32
@@ -373,7 +373,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     judged = stage(found.mapInArrow(_judge, "id bigint, start bigint, what bigint, other bigint"), "contexts")
     mark, n = F.shiftright("what", 16).alias("mark"), F.shiftright("what", 9).bitwiseAND(127).alias("n")
     cuts = judged.where("other <> 0").groupBy("id", mark).agg(F.collect_list(F.struct("start", "what", "other")).alias("cuts"))
-    parts = narrow(keyed.select("id", "mark", "text").join(cuts, ["id", "mark"]).select("id", "mark", "text", "cuts"), _cut, "g bigint, id bigint, mark bigint, start bigint, part binary").distinct()
+    parts = narrow(keyed.select("id", "mark", "text").join(cuts, ["id", "mark"]).select("id", "mark", "text", "cuts"), _cut, "g bigint, id bigint, mark bigint, start bigint, part binary")
     compared = parts.repartition("g").sortWithinPartitions("g").mapInArrow(_compare(limit), "a bigint, b bigint, id bigint, mark bigint, start bigint, n bigint")
     compared = stage(compared, "strings")
     across = compared.where("n = 0").select("a", "b", "id", "mark", "start").repartition("a", "b").sortWithinPartitions("a", "b", "id", "mark", "start").mapInArrow(_across, "id bigint, mark bigint, start bigint, n bigint")
@@ -390,5 +390,6 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         cols = [b.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array([[{"from": s, "to": e} for s, e in c] for c in spans], pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())]))), pa.array(kept, pa.binary())]
         return pa.RecordBatch.from_arrays(cols, ["doc_id", "n_bytes", "spans", "kept"])
 
+    release(docs.sparkSession)
     back = keyed.join(runs, ["id", "mark"], "left").select(F.when(~F.col("none"), F.col("id")).cast(kind).alias("id"), "text", "runs")
     return narrow(back, remove, f"doc_id {kind}, n_bytes bigint, spans array<struct<`from`: bigint, `to`: bigint>>, kept binary")
