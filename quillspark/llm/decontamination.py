@@ -92,16 +92,16 @@ def find_overlaps(
     item_text_col: str = "text",
     window: int = WINDOW,
     block_bytes: int = BLOCK_BYTES,
-    keep: tuple[str, ...] = (),
+    keep: tuple[str, ...] | None = None,
 ) -> DataFrame:
-    """One row a document: doc_id, n_words, spans (word ranges [from, to) that items cover, merged), item_ids (sorted as strings). With ``keep``: spans' starts, and those columns in the struct kept."""
+    """One row a document: doc_id, n_words, spans (word ranges [from, to) that items cover, merged), item_ids (sorted as strings). With ``keep``: spans' starts, the text, and those columns in the struct kept."""
     items = benchmark.select(F.coalesce(F.col(f"`{item_col}`").cast("string"), F.lit("")).alias("item"), F.col(f"`{item_text_col}`").cast("string").alias("words")).where("words is not null")
     size = items.agg(F.coalesce(F.sum(F.octet_length("words")), F.lit(0))).first()[0]
     blocks = -(-size // block_bytes) if size > block_bytes else 1
     src = docs.select(
         F.col(f"`{id_col}`").alias("id"),
         F.col(f"`{text_col}`").cast("string").alias("text"),
-        F.struct(F.lit(0).alias("one"), *[F.col(f"`{c}`") for c in keep]).alias("kept"),
+        F.struct(F.lit(0).alias("one"), *[F.col(f"`{c}`") for c in keep or ()]).alias("kept"),
         F.lit(0).cast("long").alias("n_words"),
         F.lit(None).cast("array<bigint>").alias("starts"),
         F.lit(None).cast("array<bigint>").alias("ends"),
@@ -111,8 +111,8 @@ def find_overlaps(
         part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item", "words"), F.lit(blocks)) == k)
         src = narrow(src, _scan(patterns_of([(r.item, r.words.encode()) for r in part.toLocalIterator()], window)), src.schema.simpleString()[7:-1])
     spans = F.expr("transform(sequence(1, size(starts)), i -> struct(starts[i - 1] as `from`, ends[i - 1] as `to`))")
-    if keep:
-        return src.select(F.col("starts").alias("spans"), "kept")
+    if keep is not None:
+        return src.select(F.col("starts").alias("spans"), "text", "kept")
     return src.select(
         F.col("id").alias("doc_id"),
         "n_words",
@@ -161,4 +161,6 @@ def hit_words() -> F.Column:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents, all columns, that hold no benchmark window."""
-    return find_overlaps(docs, benchmark, keep=tuple(docs.columns), **options).where(F.size("spans") == 0).select(*[F.col(f"kept.`{c}`").alias(c) for c in docs.columns])
+    text = options.get("text_col", "text")
+    found = find_overlaps(docs, benchmark, keep=tuple(c for c in docs.columns if c != text), **options).where(F.size("spans") == 0)
+    return found.select(*[F.col("text").alias(c) if c == text else F.col(f"kept.`{c}`").alias(c) for c in docs.columns])

@@ -268,7 +268,7 @@ def assigned(values: DataFrame, key: bytes) -> DataFrame:
 def replace(docs: DataFrame, *, text_col: str = "text", key: bytes = KEY, entities_col: str | None = None) -> DataFrame:
     """The documents, all columns, with surrogates in the text; with ``entities_col``, also the array of (start, end, kind) in the old text."""
     cols = docs.columns
-    src = docs.select(F.col(f"`{text_col}`").cast("string").alias("__text"), F.struct(F.lit(0).alias("__0"), *[F.col(f"`{c}`") for c in cols]).alias("__row"))
+    src = docs.select(F.col(f"`{text_col}`").cast("string").alias("__text"), F.struct(F.lit(0).alias("__0"), *[F.col(f"`{c}`") for c in cols if c != text_col]).alias("__row"))
     row = src.schema["__row"].dataType.simpleString()
 
     def split(wanted: bool):
@@ -300,4 +300,4 @@ def replace(docs: DataFrame, *, text_col: str = "text", key: bytes = KEY, entiti
     done = narrow(some.join(by_row, "__uid").select("__text", "__row", "__found", "__new"), rewrite, f"__text string, __row {row}, __found {entity}")
     every = split(False).union(done)
     more = [F.transform("__found", lambda f: F.struct(f["start"].alias("start"), f["end"].alias("end"), f["kind"].alias("kind"))).alias(entities_col)] if entities_col else []
-    return every.select(*[F.when(F.col(f"__row.`{c}`").isNotNull(), F.col("__text")).alias(c) if c == text_col else F.col(f"__row.`{c}`").alias(c) for c in cols], *more)
+    return every.select(*[F.col("__text").alias(c) if c == text_col else F.col(f"__row.`{c}`").alias(c) for c in cols], *more)

@@ -136,12 +136,14 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
 def score(docs: DataFrame, model: Model, *, text_col: str = "text", bits: int = BITS, score_col: str = "score") -> DataFrame:
     """The columns of docs with the score appended; a narrow pass."""
     sent = docs.sparkSession.sparkContext.broadcast(model)  # 2 ** (bits + 4) bytes, whatever the input
-    src = docs.select(F.col(f"`{text_col}`").cast("string").alias("__text"), F.struct(F.lit(0).alias("__0"), *[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
+    others = [c for c in docs.columns if c != text_col]
+    src = docs.select(F.col(f"`{text_col}`").cast("string").alias("__text"), F.struct(F.lit(0).alias("__0"), *[F.col(f"`{c}`") for c in others]).alias("__row"))
     kind = src.schema["__row"].dataType.simpleString()
 
     def batch(b: pa.RecordBatch) -> pa.RecordBatch:
         m = sent.value
-        return pa.RecordBatch.from_arrays([b.column(1), pa.array([m.score(features(t, bits)) for t in utf8(b.column(0))], pa.float64())], ["__row", "__score"])
+        scores = [m.score(features(t, bits)) for at in range(0, b.num_rows, 512) for t in utf8(b.column(0).slice(at, 512))]
+        return pa.RecordBatch.from_arrays([*b.columns, pa.array(scores, pa.float64())], ["__text", "__row", "__score"])
 
-    out = narrow(src, batch, f"__row {kind}, __score double")
-    return out.select(*[F.col(f"__row.`{c}`").alias(c) for c in docs.columns], F.col("__score").alias(score_col))
+    out = narrow(src, batch, f"__text string, __row {kind}, __score double")
+    return out.select(*[F.col("__text").alias(c) if c == text_col else F.col(f"__row.`{c}`").alias(c) for c in docs.columns], F.col("__score").alias(score_col))
