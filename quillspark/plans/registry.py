@@ -11,12 +11,25 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
+#: Tables of texts, whose rows take long; and up to which size their rows are dealt out if they are in too few files.
+TEXTS, SMALL = ("documents", "pages"), 256 << 20
+
+
+def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of a folder. A small table of texts in fewer files than there are cores would be one task's work; its rows are dealt out."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if name in TEXTS and len(df.inputFiles()) < cores and df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < SMALL:
+        return df.repartition(cores)
+    return df
+
+
 def query(sql: str | None = None, name: str | None = None) -> Callable:
     """Register f(read) under its name; read(table) gives a table of the folder at hand."""
 
     def add(f: Callable[[Callable[[str], DataFrame]], DataFrame]) -> Callable:
         key = name or f.__name__
-        QUERIES[key] = lambda spark, sf_dir: f(lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet"))
+        QUERIES[key] = lambda spark, sf_dir: f(lambda t: read_table(spark, sf_dir, t))
         if sql:
             SQL[key] = sql
         return f
