@@ -209,10 +209,14 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return fps.join(named, "fp").select("id", "text_hash", "fp", "root", "component_id")
 
 
-def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents, all columns, one of each component: the row of least id, then least text hash; of equal rows one."""
-    found = near_duplicates(docs, id_col=id_col, text_col=text_col)
+def first_of_each(docs: DataFrame, found: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents, all columns, one of each root of found (id, text_hash, root): the row of least id, then least text hash; of equal rows one."""
     first = found.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_hash")).alias("k"))
     first = stage(first.select(F.coalesce(F.col("k.id").cast("string"), F.lit("")).alias("__id"), F.col("k.text_hash").alias("__hash")).distinct(), "kept")
     keyed = docs.select("*", F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")).alias("__id"), F.xxhash64(F.col(f"`{text_col}`").cast("string")).alias("__hash"))
     return keyed.join(first, ["__id", "__hash"]).dropDuplicates(["__id", "__hash"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents, all columns, one of each component: the row of least id, then least text hash; of equal rows one."""
+    return first_of_each(docs, near_duplicates(docs, id_col=id_col, text_col=text_col), id_col=id_col, text_col=text_col)
