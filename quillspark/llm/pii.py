@@ -22,6 +22,7 @@ from __future__ import annotations
 import hashlib
 import hmac
 import re
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
@@ -53,7 +54,7 @@ ENDINGS = {"latin": ("", ""), "cyrillic": ("ов", "ова"), "greek": ("ης",
 
 _GENDER = {name: (gender, script) for (gender, script), names in GIVEN.items() for name in names}
 _CAP = r"[A-ZÀ-ÖØ-ÞΆ-ΫА-ЯЁ][a-zß-öø-ÿά-ώа-яё]+(?:-[A-ZÀ-ÖØ-ÞΆ-ΫА-ЯЁ][a-zß-öø-ÿά-ώа-яё]+)?"
-_NAME = re.compile(rf"(?<![\w.@-])(?:({'|'.join(sorted(HONORIFICS, key=len, reverse=True))})\.?[ \n])?({_CAP}(?:[ \n]{_CAP}){{0,3}})(?![\w@])")
+_RUN = re.compile(rf"(?<![\w.@-])(?:(?:(?:{'|'.join(sorted(HONORIFICS, key=len, reverse=True))})\.|{_CAP})[ \n])*{_CAP}(?![\w@])")
 _EMAIL = re.compile(r"(?<![\w.%+-])[\w.%+-]+@(?:[\w-]+\.)+[^\W\d_]{2,}")
 _IP = re.compile(r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\d|\.\d)", re.ASCII)
 _CARD = re.compile(r"(?<![\d+-])\d(?:[ -]?\d){12,18}(?!\d)", re.ASCII)
@@ -84,6 +85,49 @@ def _iban_check(country: str, rest: str) -> str:
     return f"{98 - int(''.join(str(int(c, 36)) for c in rest + country + '00')) % 97:02d}"
 
 
+def _phone(m: re.Match[str]) -> re.Match[str] | None:
+    """The match, or its longest form that ends with a group of digits and has 7 to 15; a card number that follows is left out."""
+    form: re.Match[str] | None = m
+    text, end = m.string, m.end()
+    if len(_DIGITS.findall(m[0])) > 15:
+        for i in range(m.start() + 1, m.end()):
+            c = _CARD.match(text, i) if text[i - 1] == " " else None
+            if c and luhn("".join(_DIGITS.findall(c[0]))):
+                end = i
+                break
+        form = _PHONE.match(text, m.start(), end)
+    while form and (len(_DIGITS.findall(form[0])) > 15 or form.end() < len(text) and re.match(r"\w", text[form.end()])):
+        form = _PHONE.match(text, m.start(), form.end() - 1)
+    return form if form and len(_DIGITS.findall(form[0])) >= 7 and (form[0][0] == "+" or not form[0].isdigit()) else None
+
+
+def _names(run: str) -> Iterator[tuple[str, list[tuple[int, int, str]]]]:
+    """(gender of the honorific or "", (start, end, word) of each part) of the names in a run of title-case words.
+
+    A name begins after an honorific, or at a known given name that another word follows, and ends where the next begins:
+    given names in a row are one name's. It has up to three words without an honorific and four with one, or one more than its given names.
+    """
+    words = [(m.start(), m.end(), m[0]) for m in re.finditer(r"[^ \n]+", run)]
+    last = len(words) - 1
+    called = [HONORIFICS.get(w.removesuffix(".")) if i < last else None for i, (_, _, w) in enumerate(words)]
+    at, gender = 0, ""
+    while at <= last:
+        if called[at]:
+            gender, at = called[at] if called[at] != "u" or not gender else gender, at + 1
+            continue
+        if not gender and (words[at][2] not in _GENDER or at == last or called[at + 1]):
+            at += 1
+            continue
+        end = at
+        while end <= last and words[end][2] in _GENDER:
+            end += 1
+        most = max(at + (4 if gender else 3), end + 1)
+        while end <= last and end < most and not called[end] and not (words[end][2] in _GENDER and end < last and not called[end + 1]):
+            end += 1
+        yield gender, words[at:end]
+        at, gender = end, ""
+
+
 def detect(text: str) -> list[Entity]:
     """(start, end, type) of every entity, apart from each other, in order of start."""
     found: list[Entity] = []
@@ -94,6 +138,20 @@ def detect(text: str) -> list[Entity]:
             taken.append((start, end))
             found.append((start, end, kind))
 
+    def add_numbers(pattern: re.Pattern[str], kind: str, shorter: Callable[[re.Match[str]], re.Match[str] | None]) -> None:
+        """Of each match the part before the next entity, in a form that shorter accepts."""
+        at = 0
+        while m := pattern.search(text, at):
+            over = [t for t in taken if t[0] <= m.start() < t[1]]
+            after = min((a for a, _ in taken if m.start() < a < m.end()), default=None)
+            form = None
+            if not over:
+                form = m if after is None else pattern.match(text, m.start(), after)
+                form = form and shorter(form)
+            if form:
+                add(form.start(), form.end(), kind)
+            at = form.end() if form else over[0][1] if over else m.start() + 1
+
     if "@" in text:
         for m in _EMAIL.finditer(text):
             add(m.start(), m.end(), "email")
@@ -107,30 +165,22 @@ def detect(text: str) -> list[Entity]:
                 add(m.start(), m.end(), "ip")
         for m in _SSN.finditer(text):
             add(m.start(), m.end(), "ssn")
-        for m in _PHONE.finditer(text):
-            if 7 <= len(_DIGITS.findall(m[0])) <= 15 and (m[0][0] == "+" or not m[0].isdigit()):
-                add(m.start(), m.end(), "phone")
-        for m in _CARD.finditer(text):
-            add(m.start(), m.end(), "card")
+        add_numbers(_PHONE, "phone", _phone)
+        add_numbers(_CARD, "card", lambda m: m)
     known: dict[str, str] = {}
-    for m in _NAME.finditer(text):
-        parts = [(p.start() + m.start(2), p.end() + m.start(2), p[0]) for p in re.finditer(r"[^ \n]+", m[2])]
-        if not m[1]:  # without an honorific, a name begins with a known given name
-            at = next((i for i, p in enumerate(parts[:-1]) if p[2] in _GENDER), None)
-            if at is None:
-                continue
-            parts = parts[at : at + 3]
-        gender = HONORIFICS.get(m[1] or "", "u")
-        for i, (s, e, w) in enumerate(parts):
-            if i < len(parts) - 1:
-                kind = f"given_{_GENDER[w][0] if w in _GENDER else gender}"
-            elif len(parts) == 1 and w in _GENDER:
-                kind = f"given_{_GENDER[w][0]}"
-            else:
-                first = parts[0][2]
-                kind = f"surname_{_GENDER[first][0] if first in _GENDER and len(parts) > 1 else gender}" if script(w) != "latin" else "surname"
-            add(s, e, kind)
-            known[w] = kind
+    for m in _RUN.finditer(text):
+        for honoured, words in _names(m[0]) if " " in m[0] or "\n" in m[0] else ():
+            parts, gender = [(m.start() + s, m.start() + e, w) for s, e, w in words], honoured or "u"
+            for i, (s, e, w) in enumerate(parts):
+                if i < len(parts) - 1:
+                    kind = f"given_{_GENDER[w][0] if w in _GENDER else gender}"
+                elif len(parts) == 1 and w in _GENDER:
+                    kind = f"given_{_GENDER[w][0]}"
+                else:
+                    first = parts[0][2]
+                    kind = f"surname_{_GENDER[first][0] if first in _GENDER and len(parts) > 1 else gender}" if script(w) != "latin" else "surname"
+                add(s, e, kind)
+                known[w] = kind
     if known:
         for m in re.finditer(rf"(?<![\w@.-])(?:{'|'.join(map(re.escape, sorted(known, key=len, reverse=True)))})(?![\w@])", text):
             add(m.start(), m.end(), known[m[0]])

@@ -81,3 +81,30 @@ def test_same_value_same_surrogate_across_documents(spark):
         by.setdefault(r.doc_id % 4, set()).add(re.search(r"at (\S+)", r.text)[1])
     assert all(len(v) == 1 for v in by.values()) and len(set.union(*by.values())) == 4
     assert all(e.kind == "email" for r in got for e in r.e)
+
+
+def test_planted_values_beside_each_other_leave_the_text():
+    phone, ip, card, ssn = "+1 (826) 555-4081", "190.137.223.204", "4111 1111 1111 1111", "078-05-1120"
+    planted = [(phone, ip), (phone, card), (card, ssn), (phone, ssn), (phone, "12345678"), (phone, "1234 5678 9012"), (ip, phone), (card, phone)]
+    for pair in planted:
+        new = swapped(f"see {' '.join(pair)} there")
+        assert pair[0] not in new, pair
+        assert pair[1] not in new or pair[1][0] == "1" and "." not in pair[1], pair
+    assert pii.detect("code +123456789012345678 end") == []
+
+
+def test_planted_names_in_runs_of_capitals_leave_the_text():
+    for text, words in {
+        "María Lopez\nJohn Smith": "María Lopez John Smith",
+        "Today Our Friend Anna Schmidt": "Anna Schmidt",
+        "One Two Three Four Five Six Peter Weber": "Peter Weber",
+        "Anna Keller Mr. Weber María Lopez Dr Braun": "Anna Keller Weber María Lopez Braun",
+        "Anna María Carmen Elena Lopez": "Anna María Carmen Elena Lopez",
+        "María Lopez John": "María Lopez John",
+    }.items():
+        found = {text[s:e]: k for s, e, k in pii.detect(text)}
+        assert list(found) == words.split(), text
+        new = dict(zip(text.split(), swapped(text).split(), strict=True))
+        assert all(new[w] != w for w in words.split())
+    kinds = [k for _, _, k in pii.detect("María Lopez\nJohn Smith")]
+    assert kinds == ["given_f", "surname", "given_m", "surname"]
