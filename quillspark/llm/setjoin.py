@@ -6,7 +6,7 @@ order, two sets of n and more that are similar enough share one of their first n
 a set is filed. The order puts shingles that are common in a sample of documents last; it decides the cost, not the result.
 
 Links are found in two turns, so that a dense group costs about its size: first each file's sets are compared with its
-least set in three fixed orders, and the links give components; then all pairs of a file whose components differ are
+least set in a fixed order, and the links give components; then all pairs of a file whose components differ are
 compared. Pairs are pruned by size, then by the parities of 1,024 buckets of their hashes, which differ in no more places
 than the sets do, and what is left is compared in full. Defined results are those of simhash.py; an empty text has an empty set.
 """
@@ -29,7 +29,7 @@ SHINGLE = 5
 PART, WHOLE = 4, 5
 #: About how many documents are read for common shingles, and how many of those are kept at most.
 SAMPLE, COMMON = 1 << 15, 1 << 18
-_SEEDS = (np.uint64(0), np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
+_BITS = 1 << 24
 _BUCKETS = 1024
 _BLOCK = 1 << 20
 
@@ -112,19 +112,17 @@ def _fit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def _stars(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-    """Each node of a file with the file's least node in each fixed order."""
+    """Each node of a file with the file's least node in a fixed order."""
     key, node, n = cols
-    a, b = [], []
-    for seed in _SEEDS if len(key) else ():
-        order = np.lexsort((mix64(node.view(np.uint64) ^ seed), key))
-        k, x, m = key[order], node[order], n[order]
-        at, size = _bounds(k)
-        first = np.repeat(at, size)
-        ok = (x != x[first]) & _fit(m, m[first])
-        a.append(x[first][ok])
-        b.append(x[ok])
-    if a:
-        yield _edges(np.concatenate(a), np.concatenate(b))
+    if not len(key):
+        return
+    order = np.lexsort((mix64(node.view(np.uint64)), key))
+    k, x, m = key[order], node[order], n[order]
+    at, size = _bounds(k)
+    first = np.repeat(at, size)
+    ok = (x != x[first]) & _fit(m, m[first])
+    if ok.any():
+        yield _edges(x[first][ok], x[ok])
 
 
 def _across(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -149,11 +147,30 @@ def _across(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         at = upto
 
 
+def _only(sets: DataFrame, nodes: DataFrame) -> DataFrame:
+    """A row of sets for each of the nodes. A bitmap of bounded size drops most other rows before they are shuffled."""
+    bit = F.pmod("node", F.lit(_BITS))
+    parts = nodes.groupBy(F.bitmap_bucket_number(bit).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits")).collect()
+    some = np.zeros(_BITS + (1 << 16), bool)
+    for r in parts:  # buckets of 32,768 bits, numbered from 1 for bits 1 to 32,768; bit 0 has bucket 0
+        bits = np.unpackbits(np.frombuffer(bytes(r.bits), np.uint8), bitorder="little")
+        place = (r.k - 1) * len(bits) + 1 if r.k > 0 else 0
+        some[place : place + len(bits)] |= bits == 1
+    packed = np.packbits(some)
+
+    def run(b: pa.RecordBatch) -> pa.RecordBatch:
+        at = b.column(0).to_numpy() % _BITS
+        return b.filter(pa.array((packed[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1))
+
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in sets.schema)
+    return narrow(sets, run, schema).join(nodes, "node", "left_semi").dropDuplicates(["node"])
+
+
 def _linked(pairs: DataFrame, sets: DataFrame, name: str) -> DataFrame:
     """The pairs (a, b) of nodes that are similar; sets: node, n, parity, grams, a row a node or more."""
     pairs = stage(pairs.distinct(), f"{name}-pairs")
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    small = stage(sets.select("node", "n", "parity").join(nodes, "node", "left_semi").dropDuplicates(["node"]), f"{name}-parities")
+    small = stage(_only(sets.select("node", "n", "parity"), nodes), f"{name}-parities")
 
     def sides(p: DataFrame, s: DataFrame, cols: list[str]) -> DataFrame:
         for x in "ab":
@@ -168,7 +185,7 @@ def _linked(pairs: DataFrame, sets: DataFrame, name: str) -> DataFrame:
 
     left = stage(narrow(sides(pairs, small, ["n", "parity"]), prune, "a bigint, b bigint"), f"{name}-candidates")
     nodes = left.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    full = stage(sets.select("node", "grams").join(nodes, "node", "left_semi").dropDuplicates(["node"]), f"{name}-sets")
+    full = stage(_only(sets.select("node", "grams"), nodes), f"{name}-sets")
 
     def verify(b: pa.RecordBatch) -> pa.RecordBatch:
         hit = [similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
