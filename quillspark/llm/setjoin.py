@@ -28,7 +28,7 @@ SHINGLE = 5
 #: Similarity of 4 / 5 or more, in whole numbers.
 PART, WHOLE = 4, 5
 #: About how many documents are read for common shingles, and how many of those are kept at most.
-SAMPLE, COMMON = 1 << 15, 1 << 18
+SAMPLE, COMMON = 1 << 13, 1 << 18
 _BITS = 1 << 24
 _BUCKETS = 1024
 _BLOCK = 1 << 20
