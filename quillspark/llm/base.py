@@ -3,17 +3,21 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_STAGED: list[tuple[SparkSession, str]] = []
+_STAGED: dict[str, SparkSession] = {}
 _LOCAL_ROOT = "file:///tmp/checkpoints/quillspark"
+#: Bytes of an Arrow batch that goes to a Python worker, where the session has Spark's default of 64 MB.
+BATCH_BYTES = "4m"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,24 +26,37 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset."""
-    return spark.conf.get("spark.checkpoint.dir", None) or _LOCAL_ROOT
+    """The folder that driver and executors share: spark.checkpoint.dir. Unset, it is a local one, if all runs on this machine."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return root or _LOCAL_ROOT
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it again: lineage ends here, so a lost executor costs no recomputation.
 
-    The files are removed when the driver's Python exits. Shuffle files of what was staged before go as soon as the
+    The files stay until ``unstage`` or the exit of the driver's Python. Shuffle files of what was staged before go as soon as the
     driver's garbage is collected, which is asked for here.
     """
     spark = df.sparkSession
     release(spark)
     path = f"{shared_root(spark).rstrip('/')}/staged/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
     if not _STAGED:
         atexit.register(_clean)
-    _STAGED.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    _STAGED[path] = spark
+    df.write.option("compression", "zstd").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def unstage(*tables: DataFrame) -> None:
+    """Remove the files of staged tables that nothing will read again; a table that isn't staged is left alone."""
+    for df in tables:
+        path = df.__dict__.pop("staged_at", None)
+        if path in _STAGED:
+            _remove(_STAGED.pop(path), path)
 
 
 def release(spark: SparkSession) -> None:
@@ -48,14 +65,16 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def _clean() -> None:
-    for spark, path in _STAGED:
-        try:
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-        except Exception:  # the session may be gone at exit
+    for path, spark in _STAGED.items():
+        if spark.sparkContext._jsc is None or spark.sparkContext._jsc.sc().isStopped():  # a stopped session can't remove them
             return
+        _remove(spark, path)
 
 
 def id_and_text(docs: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
@@ -73,6 +92,58 @@ def strings(column: pa.Array) -> list[str]:
     return [x or "" for x in column.to_pylist()]
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, whose session now sends Python workers batches of bounded bytes, if it had Spark's default."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(key) == "67108864b":
+        conf.set(key, BATCH_BYTES)
+    return df
+
+
+@lru_cache(maxsize=1)
+def _trim() -> Callable[[int], int] | None:
+    return getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def settle() -> None:
+    """Give freed memory back to the system: Python workers live long, and share their executor's with the JVM."""
+    pa.default_memory_pool().release_unused()
+    if _trim():
+        _trim()(0)
+
+
+def through(df: DataFrame, f: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """mapInArrow with batches of bounded bytes, settled now and then."""
+
+    def settled(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size = 0
+        for b in batches:
+            yield b
+            size += b.nbytes
+            if size >= 4 << 20:
+                settle()
+                size = 0
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from f(settled(batches))
+        settle()
+
+    return small_batches(df).mapInArrow(run, schema)
+
+
+def column_function(f: Callable[..., pa.Array], kind: str) -> Callable[..., F.Column]:
+    """A function of columns that goes through Python in Arrow batches and settles after each."""
+
+    def run(*columns: pa.Array) -> pa.Array:
+        out = f(*columns)
+        settle()
+        return out
+
+    if f.__code__.co_argcount == 1:
+        return F.arrow_udf(lambda a: run(a), kind)
+    return F.arrow_udf(lambda a, b, c: run(a, b, c), kind)
+
+
 def narrow(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
     """Apply f to each Arrow batch; no shuffle."""
 
@@ -81,12 +152,17 @@ def narrow(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch], schema:
             if b.num_rows:
                 yield f(b)
 
-    return df.mapInArrow(run, schema)
+    return through(df, run, schema)
+
+
+def rid_text(doc_id: str = "id") -> F.Column:
+    """The id as text; null is empty."""
+    return F.coalesce(F.col(doc_id).cast("string"), F.lit(""))
 
 
 def rid(doc_id: str = "id") -> F.Column:
     """crc32 of the id as text, the number by which contracts divide rows; a null id counts as empty text."""
-    return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary"))
+    return F.crc32(rid_text(doc_id).cast("binary"))
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

@@ -6,9 +6,11 @@ blocks says how far the search may skip, patterns whose leading part ends in the
 hash bucket, and a direct comparison confirms each occurrence. Patterns are searched in classes of similar length, so a
 short item doesn't shorten every skip.
 
-Items are read in blocks of bounded bytes, one narrow pass over the documents for each; there is no shuffle. Defined
-results: null and empty texts have no words and no hits; items without words have no pattern; repeated items count
-once under their item_id; repeated documents each get a row; an empty benchmark hits nothing; other columns are ignored.
+Items come in blocks of bounded bytes, whose tables the tasks build: one block goes along in one narrow pass over the documents,
+without a shuffle. Several blocks are searched one after the other, each in a job of its own whose hits, not texts, are staged;
+the documents then get the hits of all by id and hash of the text. Defined results: null and empty texts have no words and no hits;
+items without words have no pattern; repeated items count once under their item_id; repeated documents each get a row; an empty
+benchmark hits nothing; a very long text is searched whole; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,11 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import id_and_text, narrow, utf8
+from .base import column_function, id_and_text, rid_text, small_batches, stage, utf8
 
 WINDOW = 10
-#: Bytes of item texts whose tables one pass carries.
-BLOCK_BYTES = 8 << 20
+#: Bytes of item texts that one pass carries; their tables take about a hundred times as much in a task.
+BLOCK_BYTES = 1 << 20
 #: A to Z become lower case; every other ASCII character but digits and letters parts words.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 0x80 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 
@@ -92,66 +94,91 @@ def find_overlaps(
     item_text_col: str = "text",
     window: int = WINDOW,
     block_bytes: int = BLOCK_BYTES,
-    keep: tuple[str, ...] | None = None,
 ) -> DataFrame:
-    """One row a document: doc_id, n_words, spans (word ranges [from, to) that items cover, merged), item_ids (sorted as strings). With ``keep``: spans' starts, the text, and those columns in the struct kept."""
-    items = benchmark.select(F.coalesce(F.col(f"`{item_col}`").cast("string"), F.lit("")).alias("item"), F.col(f"`{item_text_col}`").cast("string").alias("words")).where("words is not null")
-    size = items.agg(F.coalesce(F.sum(F.octet_length("words")), F.lit(0))).first()[0]
-    blocks = -(-size // block_bytes) if size > block_bytes else 1
-    src = docs.select(
-        F.col(f"`{id_col}`").alias("id"),
-        F.col(f"`{text_col}`").cast("string").alias("text"),
-        F.struct(F.lit(0).alias("one"), *[F.col(f"`{c}`") for c in keep or ()]).alias("kept"),
-        F.lit(0).cast("long").alias("n_words"),
-        F.lit(None).cast("array<bigint>").alias("starts"),
-        F.lit(None).cast("array<bigint>").alias("ends"),
-        F.lit(None).cast("array<string>").alias("items"),
-    )
-    for k in range(blocks):
-        part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item", "words"), F.lit(blocks)) == k)
-        src = narrow(src, _scan(patterns_of([(r.item, r.words.encode()) for r in part.toLocalIterator()], window)), src.schema.simpleString()[7:-1])
+    """One row a document: doc_id, n_words, spans (word ranges [from, to) that items cover, merged), item_ids (sorted as strings)."""
+    src = small_batches(id_and_text(docs, id_col, text_col))
+    items, blocks = _items(benchmark, item_col, item_text_col, block_bytes)
+    if blocks == 1:
+        found = src.select("id", _search(_block(items, 0, 1), window)("text").alias("r")).select("id", "r.*")
+    else:
+        counted = src.select("id", rid_text().alias("name"), F.xxhash64("text").alias("hash"), _search([], window)("text")["n_words"].alias("n_words"))
+        found = counted.join(_hits(src, items, blocks, window), ["name", "hash"], "left")
     spans = F.expr("transform(sequence(1, size(starts)), i -> struct(starts[i - 1] as `from`, ends[i - 1] as `to`))")
-    if keep is not None:
-        return src.select(F.col("starts").alias("spans"), "text", "kept")
-    return src.select(
+    return found.select(
         F.col("id").alias("doc_id"),
         "n_words",
         F.when(F.size("starts") > 0, spans).otherwise(F.expr("cast(array() as array<struct<`from`: bigint, `to`: bigint>>)")).alias("spans"),
-        F.col("items").alias("item_ids"),
+        F.coalesce("names", F.expr("cast(array() as array<string>)")).alias("item_ids"),
     )
 
 
-def _scan(patterns: dict[bytes, set[str]]):
-    search: list[WuManber] = []
+def _items(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> tuple[DataFrame, int]:
+    """Names and texts of the items, and how many blocks they make."""
+    items = benchmark.select(F.coalesce(F.col(f"`{item_col}`").cast("string"), F.lit("")).alias("item"), F.col(f"`{text_col}`").cast("string").alias("words")).where("words is not null")
+    size = items.agg(F.coalesce(F.sum(F.octet_length("words")), F.lit(0))).first()[0]
+    return items, max(1, -(-size // block_bytes))
+
+
+def _block(items: DataFrame, k: int, blocks: int) -> list[tuple[str, bytes]]:
+    part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item", "words"), F.lit(blocks)) == k)
+    return [(r.item, r.words.encode()) for r in part.toLocalIterator()]
+
+
+def _hits(src: DataFrame, items: DataFrame, blocks: int, window: int) -> DataFrame:
+    """Of documents with a hit, by name (the id as text) and hash of the text: starts, ends and names over all blocks."""
+    parts = None
+    for k in range(blocks):
+        found = src.select(rid_text().alias("name"), F.xxhash64("text").alias("hash"), _search(_block(items, k, blocks), window)("text").alias("r")).where(F.size("r.starts") > 0)
+        found = stage(found.dropDuplicates(["name", "hash"]), "hits")
+        parts = found if parts is None else parts.union(found)
+
+    def merge(column: pa.Array) -> pa.Array:
+        rows = []
+        for several in column.to_pylist():
+            spans = _merged([x for r in several for x in zip(r["starts"], r["ends"], strict=True)])
+            rows.append({"starts": [a for a, _ in spans], "ends": [b for _, b in spans], "names": sorted({n for r in several for n in r["names"]})})
+        return pa.array(rows, pa.struct(list(_FOUND)[1:]))
+
+    merged = column_function(merge, "struct<starts: array<bigint>, ends: array<bigint>, names: array<string>>")
+    return parts.groupBy("name", "hash").agg(F.collect_list("r").alias("several")).select("name", "hash", merged("several").alias("r")).select("name", "hash", "r.*")
+
+
+_FOUND = pa.struct([("n_words", pa.int64()), ("starts", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64())), ("names", pa.list_(pa.string()))])
+
+
+def _merged(spans: list[tuple[int, int]]) -> list[list[int]]:
+    out: list[list[int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], b)
+        else:
+            out.append([a, b])
+    return out
+
 
-    def one(text: bytes, starts: list[int] | None, ends: list[int] | None, items: list[str] | None):
+def _search(items: list[tuple[str, bytes]], window: int):
+    """A function of a text column: the number of words, starts and ends of the spans that the items cover, and those items' names."""
+    ready: list[tuple[dict[bytes, set[str]], WuManber]] = []
+
+    def one(text: bytes) -> dict[str, object]:
+        patterns, search = ready[0]
         w = words(text)
         line = b" " + b" ".join(w) + b" "
-        found = list(search[0].find(line)) if patterns and w else []
-        spans = list(zip(starts or (), ends or (), strict=True))
-        names = set(items or ())
-        if found:
-            space = np.flatnonzero(np.frombuffer(line, np.uint8) == 32)
-            first = np.searchsorted(space, [at for at, _ in found])
-            spans += [(int(a), int(a) + p.count(b" ") - 1) for a, (_, p) in zip(first, found, strict=True)]
-            names = names.union(*(patterns[p] for _, p in found))
-        merged: list[list[int]] = []
-        for a, b in sorted(spans):
-            if merged and a <= merged[-1][1]:
-                merged[-1][1] = max(merged[-1][1], b)
-            else:
-                merged.append([a, b])
-        return len(w), [a for a, _ in merged], [b for _, b in merged], sorted(names)
-
-    def batch(b: pa.RecordBatch) -> pa.RecordBatch:
-        if not search:
-            search.append(WuManber(list(patterns)))
-        rows = [one(*x) for x in zip(utf8(b.column(1)), *(b.column(i).to_pylist() for i in (4, 5, 6)), strict=True)]
-        n, s, e, names = zip(*rows, strict=True)
-        more = [pa.array(n, pa.int64()), pa.array(s, pa.list_(pa.int64())), pa.array(e, pa.list_(pa.int64())), pa.array(names, pa.list_(pa.string()))]
-        return pa.RecordBatch.from_arrays([*b.columns[:3], *more], names=b.schema.names)
-
-    return batch
+        found = list(search.find(line)) if patterns and w else []
+        if not found:
+            return {"n_words": len(w), "starts": [], "ends": [], "names": []}
+        space = np.flatnonzero(np.frombuffer(line, np.uint8) == 32)
+        first = np.searchsorted(space, [at for at, _ in found])
+        spans = _merged([(int(a), int(a) + p.count(b" ") - 1) for a, (_, p) in zip(first, found, strict=True)])
+        return {"n_words": len(w), "starts": [a for a, _ in spans], "ends": [b for _, b in spans], "names": sorted(set().union(*(patterns[p] for _, p in found)))}
+
+    def scan(column: pa.Array) -> pa.Array:
+        if not ready:
+            patterns = patterns_of(items, window)
+            ready.append((patterns, WuManber(list(patterns))))
+        return pa.array([one(t) for t in utf8(column)], _FOUND)
+
+    return column_function(scan, "struct<n_words: bigint, starts: array<bigint>, ends: array<bigint>, names: array<string>>")
 
 
 def hit_words() -> F.Column:
@@ -159,8 +186,22 @@ def hit_words() -> F.Column:
     return F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["to"] - s["from"])
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The documents, all columns, that hold no benchmark window."""
-    text = options.get("text_col", "text")
-    found = find_overlaps(docs, benchmark, keep=tuple(c for c in docs.columns if c != text), **options).where(F.size("spans") == 0)
-    return found.select(*[F.col("text").alias(c) if c == text else F.col(f"kept.`{c}`").alias(c) for c in docs.columns])
+def drop_contaminated(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    *,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    item_col: str = "item_id",
+    item_text_col: str = "text",
+    window: int = WINDOW,
+    block_bytes: int = BLOCK_BYTES,
+) -> DataFrame:
+    """The documents, all columns, that hold no benchmark window. Only texts go to Python, and nothing but hits comes back."""
+    items, blocks = _items(benchmark, item_col, item_text_col, block_bytes)
+    text = F.col(f"`{text_col}`").cast("string")
+    if blocks == 1:
+        return small_batches(docs).where(F.size(_search(_block(items, 0, 1), window)(text)["starts"]) == 0)
+    hits = stage(_hits(small_batches(id_and_text(docs, id_col, text_col)), items, blocks, window).select(F.col("name").alias("__name"), F.col("hash").alias("__hash")), "contaminated")
+    keyed = docs.withColumn("__name", rid_text(f"`{id_col}`")).withColumn("__hash", F.xxhash64(text))
+    return keyed.join(hits, ["__name", "__hash"], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

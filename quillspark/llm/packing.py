@@ -6,103 +6,42 @@ bounded. Within a group, documents go in descending order to the sequence of low
 room for the whole, the document is cut to fill the sequence that has most room. The sequences' capacities add up to
 the group's tokens: full ones, and the rest split into powers of two, which need no padding.
 
-Defined results: a null or empty text is one end token; repeated rows are packed once each; a null id is kept; an empty
+Defined results: a null or empty text is one end token; a text longer than a group is a group of its own, and fills
+sequences whole; repeated rows are packed once each; a null id is kept; an empty
 table gives no pieces; other columns are ignored. The special tokens' strings in a text are ordinary text.
 """
 
 from __future__ import annotations
 
-import json
 import os
-import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import chain, filterfalse
-from pathlib import Path
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .base import id_and_text, ragged, strings
+from .base import id_and_text, ragged, through
+from .words import coded, pieces
 
 CAPACITY = 2048
 GROUP_TOKENS = 1 << 20
 #: Cost of a token, and of a pair of tokens that attend to each other.
 LINEAR, QUADRATIC = 1.0, 1.0 / 1024
-_CACHE = 600_000
-_ODD_SPACE = {chr(c): None for c in range(0x1C, 0x20)}
-
-
-#: Words of these characters only are split and merged in bulk; others go to the library one by one.
-_PLAIN = re.compile("[\x21-\x7e\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-\u012f\u0131-\u024f]+").fullmatch
-_SPLIT = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[^\W\d_]+|\d|(?:[^\w\s]|_)+").findall
-
-
-class BulkMerger:
-    """Byte-pair merges of many pieces at once: in each round, every piece's pair of lowest rank is merged."""
-
-    def __init__(self, path: str):
-        model = json.loads(Path(path).read_text(encoding="utf-8"))["model"]
-        vocab, end = model["vocab"], model["end_of_word_suffix"]
-        shown = [b if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174 else -1 for b in range(256)]
-        hidden = iter(range(256, 512))  # bytes without a visible Latin-1 character are shown from here
-        chars = [chr(next(hidden) if c < 0 else c) for c in shown]
-        self.inner = np.array([vocab[c] for c in chars], np.int64)
-        self.last = np.array([vocab[c + end] for c in chars], np.int64)
-        pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
-        key = np.array([vocab[x] << 20 | vocab[y] for x, y in pairs], np.int64)
-        order = np.argsort(key, kind="stable")
-        self.key, self.rank = key[order], order
-        self.made = np.array([vocab[x + y] for x, y in pairs], np.int64)
-
-    def _ranks(self, sym: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """Rank of the pair that starts at each symbol; none: as many as there are merges."""
-        key = sym[:-1] << 20 | sym[1:]
-        at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
-        return np.append(np.where((self.key[at] == key) & (word[1:] == word[:-1]), self.rank[at], len(self.key)), len(self.key))
-
-    def __call__(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all pieces in order, and how many each has; no piece is empty."""
-        length = np.fromiter(map(len, pieces), np.int64, len(pieces))
-        raw = np.frombuffer(b"".join(pieces), np.uint8)
-        sym = self.inner[raw]
-        ends = np.cumsum(length) - 1
-        sym[ends] = self.last[raw[ends]]
-        word, none = np.repeat(np.arange(len(pieces)), length), len(self.key)
-        done: list[tuple[np.ndarray, np.ndarray]] = []
-        while len(sym):
-            rank = self._ranks(sym, word)
-            first = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
-            least = np.minimum.reduceat(rank, first)
-            each = np.repeat(least, np.diff(np.append(first, len(sym))))
-            idle = each == none
-            if idle.any():
-                done.append((word[idle], sym[idle]))
-                sym, word, rank, each = sym[~idle], word[~idle], rank[~idle], each[~idle]
-                if not len(sym):
-                    break
-            hit = rank == each
-            run = np.flatnonzero(hit & np.append(False, hit[:-1]))  # a pair that overlaps the one before it
-            for i in run:
-                if hit[i - 1]:
-                    hit[i] = False
-            at = np.flatnonzero(hit)
-            sym[at] = self.made[rank[at]]
-            keep = np.ones(len(sym), bool)
-            keep[at + 1] = False
-            sym, word = sym[keep], word[keep]
-        word = np.concatenate([w for w, _ in done])
-        order = np.argsort(word, kind="stable")
-        return np.concatenate([s for _, s in done])[order].astype(np.uint32), np.bincount(word, minlength=len(pieces))
+#: Distinct words that a Python worker remembers, how many new ones the library gets as one text, and bytes of texts looked up at once.
+_CACHE, _LINE, _PIECE = 200_000, 256, 4 << 20
+_MARK = "\0"
 
 
 class WordCachedTokenizer:
-    """Ids of whole texts, equal to ``Tokenizer.encode``, with one look-up for each white-space word.
+    """Ids of whole texts, equal to ``Tokenizer.encode``, of which the library makes those of each distinct word once.
 
-    No token of the vocabulary's splitter spans white space, so a text's ids are those of its words in order. Words not
-    seen before are encoded together. The cache is bounded; it lives as long as the Python worker.
+    No token of the vocabulary's splitter spans white space and its normaliser looks at single characters and their
+    combining marks, so a text's ids are those of its words in order; A to Z may be lowered before. New words are encoded
+    many to a text, with a word of one zero byte after each: its id, which no other word has, shows where they end. Words with a
+    zero byte are encoded alone. What is remembered is bounded, and lives as long as the Python worker.
     """
 
     def __init__(self, path: str):
@@ -111,58 +50,70 @@ class WordCachedTokenizer:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.full = Tokenizer.from_file(path)
         self.full.encode_special_tokens = True
-        self.merge = BulkMerger(path)
-        self._reset()
-
-    def _reset(self) -> None:
+        (self.mark,) = self.full.encode(_MARK, add_special_tokens=False).ids
         self.seen: dict[str, int] = {}
-        self.ids = np.zeros(1 << 16, np.uint32)
-        self.start = np.zeros(1 << 16, np.int64)
-        self.used = 0
-
-    def _add(self, words: list[str]) -> None:
-        plain = list(filter(_PLAIN, words))
-        odd = list(filterfalse(_PLAIN, words)) if len(plain) < len(words) else []
-        parts = [_SPLIT(w.lower()) for w in plain]
-        flat, sizes = self.merge([p.encode() for q in parts for p in q]) if plain else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
-        counts = np.fromiter(map(len, parts), np.int64, len(parts))
-        lengths = np.add.reduceat(sizes, np.cumsum(counts) - counts) if plain else sizes
+        self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
+        self.start, self.met = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+
+    def _forget(self) -> None:
+        """Keep only words that were met again, half of what may be remembered at most."""
+        names, often = list(self.seen), self.met[: len(self.seen)]
+        kept = np.flatnonzero(often > 1)
+        if len(kept) > _CACHE // 2:
+            kept = np.sort(kept[np.argsort(-often[kept], kind="stable")[: _CACHE // 2]])
+        sizes = self.start[kept + 1] - self.start[kept]
+        ids = self.ids[ragged(self.start[kept], sizes)]
+        self.seen = {names[i]: k for k, i in enumerate(kept.tolist())}
+        self.ids[: len(ids)], self.used = ids, len(ids)
+        self.start[: len(kept) + 1] = np.append(0, np.cumsum(sizes))
+        self.met[: len(kept)], self.met[len(kept) :] = 1, 0
+
+    def _add(self, words: list[str]) -> dict[str, int]:
+        """Remember the ids of words that are new, and give their places."""
+        odd = [w for w in words if _MARK in w]
+        words = [w for w in words if _MARK not in w] if odd else words
+        lines = [f" {_MARK} ".join([*words[i : i + _LINE], ""]) for i in range(0, len(words), _LINE)]
+        got = [np.array(e.ids, np.uint32) for e in self.full.encode_batch_fast(lines, add_special_tokens=False)]
+        flat = np.concatenate(got) if got else np.zeros(0, np.uint32)
+        ends = np.flatnonzero(flat == self.mark)
+        sizes = np.diff(ends, prepend=-1) - 1
+        flat = np.delete(flat, ends)
         if odd:
-            more = [e.ids for e in self.full.encode_batch(odd, add_special_tokens=False)]
-            flat = np.concatenate([flat, np.array([i for x in more for i in x], np.uint32)])
-            lengths = np.concatenate([lengths, np.fromiter(map(len, more), np.int64, len(more))])
-        words = plain + odd
+            more = [e.ids for e in self.full.encode_batch_fast(odd, add_special_tokens=False)]
+            flat = np.concatenate([flat, *(np.array(x, np.uint32) for x in more)])
+            sizes = np.append(sizes, [len(x) for x in more])
+            words = words + odd
         while self.used + len(flat) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
         while len(self.seen) + len(words) + 1 > len(self.start):
-            self.start = np.concatenate([self.start, np.zeros_like(self.start)])
+            self.start, self.met = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.met))
         self.ids[self.used : self.used + len(flat)] = flat
         at = len(self.seen)
-        self.start[at + 1 : at + 1 + len(words)] = self.used + np.cumsum(lengths)
-        self.seen.update(zip(words, range(at, at + len(words)), strict=True))
+        self.start[at + 1 : at + 1 + len(words)] = self.used + np.cumsum(sizes)
+        places = dict(zip(words, range(at, at + len(words)), strict=True))
+        self.seen.update(places)
         self.used += len(flat)
+        return places
 
     def __call__(self, text: str) -> np.ndarray:
-        return self.many([text])[0]
+        return self.many(pa.array([text], pa.string()))[0]
 
-    def many(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text; the words of all of them are looked up together."""
+    def many(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts end to end, and where each text's begin (and the end)."""
+        codes, bounds, words = coded(column)
         if len(self.seen) > _CACHE:
-            self._reset()
-        odd = {i for i, t in enumerate(texts) if any(c in t for c in _ODD_SPACE)}  # str.split parts there, the vocabulary's splitter doesn't
-        words = [[] if i in odd else t.split() for i, t in enumerate(texts)]
-        new = set().union(*words).difference(self.seen)
-        if new:
-            self._add(list(new))
-        counts = np.fromiter(map(len, words), np.int64, len(words))
-        k = np.fromiter(map(self.seen.__getitem__, chain.from_iterable(words)), np.int64, int(counts.sum()))
-        sizes = self.start[k + 1] - self.start[k]
-        ids = self.ids[ragged(self.start[k], sizes)]
-        ends = np.append(0, np.cumsum(sizes))[np.append(0, np.cumsum(counts))]
-        out = [ids[x:y] for x, y in zip(ends[:-1], ends[1:], strict=True)]
-        for i in odd:
-            out[i] = np.array(self.full.encode(texts[i], add_special_tokens=False).ids, np.uint32)
-        return out
+            self._forget()
+        known = words.to_pylist()
+        at = np.fromiter(map(self.seen.get, known, repeat(-1)), np.int64, len(known))
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            fresh = [known[i] for i in new.tolist()]
+            places = self._add(fresh)
+            at[new] = [places[w] for w in fresh]
+        self.met[at] += 1
+        first, size = self.start[at], self.start[at + 1] - self.start[at]
+        sizes = size[codes]
+        return self.ids[ragged(first[codes], sizes)], np.append(0, np.cumsum(sizes))[bounds]
 
 
 @lru_cache(maxsize=2)
@@ -234,7 +185,6 @@ def pack(
         ids: list[np.ndarray] = []
         names: list[pa.Array] = []
         held = 0
-        id_type = None
 
         def flush() -> pa.RecordBatch:
             nonlocal first, held
@@ -262,15 +212,17 @@ def pack(
             return out
 
         for b in batches:
-            id_type = b.column(0)
-            for i, got in enumerate(got for at in range(0, b.num_rows, 1024) for got in encode.many(strings(b.column(1).slice(at, 1024)))):
-                x = np.append(got, np.uint32(end_id)).astype("<u4")
-                ids.append(x)
-                names.append(id_type.slice(i, 1))
-                held += len(x)
-                if held >= group_tokens:
-                    yield flush()
+            at = 0
+            for part in pieces(b.column(1), _PIECE):
+                flat, bounds = encode.many(part)
+                for i in range(len(part)):
+                    ids.append(np.append(flat[bounds[i] : bounds[i + 1]], np.uint32(end_id)).astype("<u4"))
+                    names.append(b.column(0).slice(at + i, 1))
+                    held += len(ids[-1])
+                    if held >= group_tokens:
+                        yield flush()
+                at += len(part)
         if ids:
             yield flush()
 
-    return src.mapInArrow(run, schema)
+    return through(src, run, schema)

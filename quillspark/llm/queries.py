@@ -19,7 +19,7 @@ def vocabulary() -> str:
 
 def op1_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    done = pii.replace(docs, key=spark.conf.get("spark.quillspark.pii.key", pii.KEY.decode()).encode(), entities_col="found")
+    done = pii.replace(docs, entities_col="found")
     listed = F.array_join(F.transform("found", lambda e: F.concat_ws(":", e["kind"], e["start"].cast("string"), e["end"].cast("string"))), ",")
     return done.select("doc_id", "text", F.size("found").cast("long").alias("n_entities"), listed.alias("entities"))
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import narrow, stage, utf8
+from .base import narrow, stage, through, unstage, utf8
 from .components import components
 
 SHINGLE = 4
@@ -96,13 +96,12 @@ def files(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(keys).view(np.int64), np.concatenate(of)
 
 
-def ring_filter(differing: np.ndarray, distance: int = DISTANCE) -> np.ndarray:
-    """Which XORs have a chain around the whole ring that keeps its budgets of distance * j / segments."""
-    m = len(WIDTHS)
-    per = np.stack([np.bitwise_count(s).astype(np.int64) for s in _segments(differing)])
-    ok = np.zeros(len(differing), bool)
+def chains(per: np.ndarray, distance: int | np.ndarray) -> np.ndarray:
+    """Of pairs whose bits differ as per[segment] says: which have a chain around the whole ring that keeps its budgets of distance * j / segments."""
+    m = len(per)
+    ok = np.zeros(per.shape[1], bool)
     for i in range(m):
-        chain, good = np.zeros(len(differing), np.int64), np.ones(len(differing), bool)
+        chain, good = np.zeros(per.shape[1], np.int64), np.ones(per.shape[1], bool)
         for j in range(1, m + 1):
             chain += per[(i + j - 1) % m]
             good &= chain * m <= distance * j
@@ -110,6 +109,11 @@ def ring_filter(differing: np.ndarray, distance: int = DISTANCE) -> np.ndarray:
     return ok
 
 
+def ring_filter(differing: np.ndarray, distance: int = DISTANCE) -> np.ndarray:
+    """Which XORs have such a chain."""
+    return chains(np.stack([np.bitwise_count(s).astype(np.int64) for s in _segments(differing)]), distance)
+
+
 def near(x: np.ndarray, y: np.ndarray, distance: int = DISTANCE) -> np.ndarray:
     """Which pairs differ in at most distance bits: ring filter, then the full comparison of what it leaves."""
     d = x ^ y
@@ -194,7 +198,7 @@ def links(nodes: DataFrame, *, distance: int = DISTANCE, limit: int = LIMIT) ->
         filed = filed.select("key", "fp", (F.least("c", "own") * F.lit(1 << 15) + F.greatest("c", "own")).alias("pair"))
     filed = filed.select("key", "pair", "fp")
     dealt = filed.repartition("key", "pair").sortWithinPartitions("key", "pair")
-    return dealt.mapInArrow(lambda rows: _meet(rows, distance), "a bigint, b bigint").distinct()
+    return through(dealt, lambda rows: _meet(rows, distance), "a bigint, b bigint").distinct()
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, limit: int = LIMIT) -> DataFrame:
@@ -210,11 +214,25 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
 
 def first_of_each(docs: DataFrame, found: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents, all columns, one of each root of found (id, text_hash, root): the row of least id, then least text hash; of equal rows one."""
-    first = found.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_hash")).alias("k"))
-    first = stage(first.select(F.coalesce(F.col("k.id").cast("string"), F.lit("")).alias("__id"), F.col("k.text_hash").alias("__hash")).distinct(), "kept")
-    keyed = docs.select("*", F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")).alias("__id"), F.xxhash64(F.col(f"`{text_col}`").cast("string")).alias("__hash"))
-    return keyed.join(first, ["__id", "__hash"]).dropDuplicates(["__id", "__hash"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The documents, all columns, one of each root of found (id, text_hash, root): the row of least id, then least text hash; of equal ones that of least hash.
+
+    Rows that share their id and text with no other row of a root pass unshuffled, but for some that a bitmap of bounded size can't tell.
+    """
+    from .setjoin import hit
+
+    name = F.coalesce(F.col("id").cast("string"), F.lit(""))
+    first = found.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_hash")).alias("k"), F.count("*").alias("rows")).where("rows > 1")
+    first = stage(first.select("root", "k.id", "k.text_hash"), "kept")
+    crowd = found.select("id", "text_hash", "root").join(first.select("root"), "root", "left_semi").select(F.xxhash64(name, "text_hash").alias("__row")).distinct()
+    first = first.select(F.xxhash64(name, "text_hash").alias("__row")).distinct().withColumn("__first", F.lit(True))
+    crowd = stage(crowd.join(first, "__row", "left"), "crowd")
+    keyed = docs.withColumn("__row", F.xxhash64(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")), F.xxhash64(F.col(f"`{text_col}`").cast("string"))))
+    keyed = keyed.withColumn("__some", hit(keyed, "__row", crowd.select("__row")))
+    cols = [F.col(f"`{c}`") for c in docs.columns]
+    judged = keyed.where("__some").join(crowd.withColumn("__in", F.lit(True)), "__row", "left").where("__in is null or __first")
+    alone = judged.where("__in is null").select(cols)
+    one = judged.where("__in").groupBy("__row").agg(F.min_by(F.struct(cols), F.xxhash64(*cols)).alias("__kept")).select(*[F.col(f"__kept.`{c}`").alias(c) for c in docs.columns])
+    return keyed.where("not __some").select(cols).union(alone).union(one)
 
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -42,6 +42,28 @@ def test_round_trip(spark, sf, vocabulary):
         assert {r.doc_tokens for r in rows} == {len(ids)}
 
 
+def test_all_ids_are_the_librarys(spark, vocabulary):
+    exact = Tokenizer.from_file(vocabulary)
+    exact.encode_special_tokens = True
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    pieces = packing.pack(docs, vocabulary).collect()
+    check(pieces)
+    got = whole(pieces)
+    for r in docs.collect():
+        rows = sorted(got.pop(r.doc_id), key=lambda x: x.start)
+        assert b"".join(x.ids for x in rows) == np.array([*exact.encode(r.text or "", add_special_tokens=False).ids, 1], "<u4").tobytes()
+    assert not got
+
+
+def test_words_are_remembered_within_bounds(vocabulary, monkeypatch):
+    monkeypatch.setattr(packing, "_CACHE", 40)
+    t = packing.WordCachedTokenizer(vocabulary)
+    for i in range(30):
+        text = " ".join(f"word{j} other{j % 3}, \0 a\0b" for j in range(i * 9, i * 9 + 30))
+        assert t(text).tolist() == t.full.encode(text, add_special_tokens=False).ids
+    assert len(t.seen) <= 40 + 70
+
+
 def test_tokenizer_equals_the_library(vocabulary):
     t = packing.WordCachedTokenizer(vocabulary)
     for text in ("It's they're 12³ ½ don''t", "naïve Œuvre ŠČ İstanbul ΣΑΣ ς", "a\x1cb c\x85d e f", "<|endoftext|> <|startoftext|>x", "aaaa aaaaaaa __ ..,, 文字 كتاب é́ é", "x" * 300, "", " \n"):

@@ -108,3 +108,88 @@ def test_planted_names_in_runs_of_capitals_leave_the_text():
         assert all(new[w] != w for w in words.split())
     kinds = [k for _, _, k in pii.detect("María Lopez\nJohn Smith")]
     assert kinds == ["given_f", "surname", "given_m", "surname"]
+
+
+def test_names_with_particles_initials_and_capitals():
+    for text, words in {
+        "Mr. John McDonald met Mrs O'Brien.": "John McDonald O'Brien",
+        "MR. JOHN SMITH left, Smith too": "JOHN SMITH",
+        "John F. Kennedy": "John F Kennedy",
+        "Anna von der Heide": "Anna Heide",
+        "Marie Garcia-Lopez": "Marie Garcia-Lopez",
+        "Jean-Pierre Dupont’s": "Jean-Pierre Dupont",
+    }.items():
+        assert [text[s:e] for s, e, _ in pii.detect(text)] == words.split(), text
+        new = swapped(text)
+        assert all(w not in new for w in words.split() if len(w) > 1)
+    a, b = re.fullmatch(r"Dr\. (\S+ \S+) and Mr\. (\S+ \S+)", swapped("Dr. Kim Lee and Mr. Kim Lee")).groups()
+    assert a == b  # the same person, whatever the honorific
+    assert re.fullmatch(r"[A-Z][a-z]{5}-[A-Z][a-z]{4}", swapped("Marie Garcia-Lopez").split()[1])
+    upper, title = re.fullmatch(r"MR\. (\S+) and Mr\. (\S+)", swapped("MR. SMITH and Mr. Smith")).groups()
+    assert upper == title.upper()
+    he, she = re.fullmatch(r"Господин (\S+) и Госпожа (\S+)", swapped("Господин Петров и Госпожа Петрова")).groups()
+    assert he + "а" == she and he.endswith("ов")
+
+
+def test_every_shape_is_permuted_without_a_fixed_point():
+    make = pii.surrogates(pii.KEY)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    for kind, values in {
+        "email": [f"{x}@b.com" for x in letters],
+        "phone": [f"+49|49{i:02d}" for i in range(100)],
+        "ssn": [f"{i:03d}" for i in range(1000)],
+        "ip": [f"10.0.0.{i}" for i in range(256)],
+        "name": [f"{x}{y}" for x in letters for y in letters],
+        "card": [x for x in (f"4{i:03d}" for i in range(1000)) if pii.luhn(x)],
+    }.items():
+        for step in (1, 2):
+            new = [make(kind, v, step) for v in values]
+            assert len(set(new)) == len(values) and all(a != b for a, b in zip(new, values, strict=True)), kind
+            assert all(make.shape(kind, a) == make.shape(kind, b) for a, b in zip(new, values, strict=True)), kind
+
+
+def test_crowded_shapes_stay_distinct(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rows = [("email", f"{x}@example.org") for x in "0123456789"] + [("email", f"{x}{y}@example.com") for x in letters for y in letters] + [("email", f"{x}@b.com") for x in letters] + [("name", f"{x}{y}o") for x in "bcd" for y in "aei"]
+    got = pii.assigned(spark.createDataFrame(rows, "kind string, value string"), pii.KEY).collect()
+    assert {(r.kind, r.value) for r in got} == set(rows) and len(got) == len(rows)
+    assert len({(r.kind, r.surrogate) for r in got}) == len(rows) and all(r.surrogate != r.value for r in got)
+    real = {r.value for r in got if r.kind == "name"}
+    assert not real & {r.surrogate for r in got if r.kind == "name"}  # not crowded: no other real value
+
+
+def test_whole_table_against_one_text_at_a_time(spark):
+    """Distinctness, coreference and formats over a table; what detect() finds in each text, and nothing else, is replaced."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    got = {r.doc_id: r for r in pii.replace(docs, key=pii.KEY, entities_col="found").collect()}
+    assert got.keys() == texts.keys()
+    to, back = {}, {}
+    for i, text in texts.items():
+        new, at, where = got[i].text, 0, 0
+        assert [(e.start, e.end, e.kind) for e in got[i].found] == pii.detect(text or "")
+        for e in got[i].found:
+            assert new[where : where + e.start - at] == text[at : e.start]
+            where += e.start - at
+            v = pii.normal(e.kind, text[e.start : e.end])
+            kind = pii.family(e.kind, v)
+            end = where + (e.end - e.start if kind != "given" and kind != "ip" else len(re.match(r"[\d.]+|[\w-]+", new[where:])[0]))
+            s = pii.normal(e.kind, new[where:end])
+            assert to.setdefault((kind, v), s) == s and back.setdefault((kind, s), v) == v
+            at, where = e.end, end
+        assert new is None and text is None or new[where:] == text[at:]
+    assert len(to) > 50 and not {k for k in to if k[0] not in ("given", "initial")} & {k for k in back if k[0] not in ("given", "initial")}
+
+
+def test_many_finds_in_a_text_take_time_in_proportion():
+    text = " ".join(f"a{i}@b{i}.org" for i in range(20_000))
+    assert len(pii.detect(text)) == 20_000
+
+
+def test_key_of_the_session(spark):
+    assert len(pii.session_key(spark)) == 32 and pii.session_key(spark) == pii.session_key(spark) != pii.KEY
+    spark.conf.set("spark.quillspark.pii.key", "mine")
+    try:
+        assert pii.session_key(spark) == b"mine"
+    finally:
+        spark.conf.unset("spark.quillspark.pii.key")
