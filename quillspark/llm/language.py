@@ -5,7 +5,8 @@ profile lists a language's most frequent n-grams in order of frequency, ties by
 frequent n-grams are compared with each profile: an n-gram costs the difference of its two ranks, or ``top`` if the
 profile lacks it. The language of least total distance wins, ties by name. The score is 1 - distance / greatest distance.
 
-Profiles count every training text. Counting is a narrow pass with sums in each task before the shuffle on n-grams.
+Profiles count every training text. Counting is a narrow pass with sums in each task before the shuffle on n-grams; no n-gram spans texts,
+and a very long text is counted in pieces with the same result as at once. Combining marks go with letters, but are none.
 Defined results: a null text, or one without letters, is ``und`` with score 0; rows with a null language train nothing;
 without any training row all is ``und``; repeated rows count each time; other columns are ignored.
 """
@@ -21,18 +22,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import narrow, strings
+from .base import narrow, strings, through
 
 TOP = 400
 ORDERS = 3
-#: Letters handled at once; longer texts are counted in pieces that overlap by what an n-gram needs.
+#: Characters handled at once.
 _PIECE = 1 << 20
+_GAP = 0
 _BITS = 21
 
 
 @lru_cache(maxsize=1)
 def _letters() -> np.ndarray:
-    """For each code point: its lower case if it is a letter, else a space."""
+    """For each code point: its lower case if it is a letter, itself if it is a combining mark, else a space."""
     out = np.full(0x110000, 32, np.int64)
     for c in range(0x110000):
         ch = chr(c)
@@ -44,23 +46,39 @@ def _letters() -> np.ndarray:
     return out
 
 
+def _symbols(text: str) -> Iterator[np.ndarray]:
+    """Letters in lower case with single spaces between words and at both ends, piece by piece."""
+    yield np.array([32])
+    if not any(map(str.isalpha, text)):
+        return
+    last = 32
+    for at in range(0, len(text), _PIECE):
+        raw = np.frombuffer(text[at : at + _PIECE].encode("utf-32-le", "surrogatepass"), np.uint32)
+        s = _letters()[raw]
+        s = s[(s != 32) | np.append(last != 32, s[:-1] != 32)]
+        if len(s):
+            last = int(s[-1])
+            yield s
+    if last != 32:
+        yield np.array([32])
+
+
 def symbols(text: str) -> np.ndarray:
-    """Letters in lower case with single spaces between words and at both ends."""
-    raw = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    s = np.concatenate([[32], _letters()[raw], [32]])
-    return s[(s != 32) | np.append(True, s[:-1] != 32)]
+    """All at once."""
+    return np.concatenate(list(_symbols(text)))
 
 
 def grams(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct n-grams as numbers (three code points of 21 bits, earlier ones higher) and their counts; a lone space is none."""
+    """Distinct n-grams as numbers (three code points of 21 bits, earlier ones higher) and their counts; a lone space is none, nor what a gap parts."""
     alphabet, code = np.unique(s, return_inverse=True)
     wide = len(alphabet) + 1
     code = code.astype(np.int64) + 1
-    keys = [code[s != 32]]
-    key = code
-    for _ in range(1, ORDERS):
+    keys = [code[(s != 32) & (s != _GAP)]]
+    key, whole = code, s != _GAP
+    for n in range(1, ORDERS):
         key = key[:-1] * wide + code[len(code) - len(key) + 1 :]
-        keys.append(key)
+        whole = whole[:-1] & (s[n:] != _GAP)
+        keys.append(key[whole])
     key = np.concatenate(keys)
     if wide**ORDERS <= 1 << 22 and len(key) > 1 << 16:
         count = np.bincount(key)
@@ -96,18 +114,28 @@ def count(texts: Iterable[str]) -> tuple[np.ndarray, np.ndarray]:
             keys[:], counts[:] = [k], [c]
 
     for t in texts:
-        for at in range(0, max(1, len(t)), _PIECE):
-            s = symbols(t[max(0, at - ORDERS + 1) : at + _PIECE] if at else t[:_PIECE])
-            held.append(s if not held else s[1:])
+        before = np.zeros(0, np.int64)  # the end of what has gone to fold, where the text goes on
+        for s in _symbols(t):
+            held.append(s)
             size += len(s)
             if size >= _PIECE:
+                before = np.concatenate([before, *held])[-ORDERS + 1 :]
+                before = before[np.flatnonzero(before == _GAP)[-1] + 1 :] if (before == _GAP).any() else before
                 fold()
+                if len(before):  # it is counted again with what follows, so once less here
+                    held.append(before)
+                    k, c = grams(before)
+                    keys.append(k)
+                    counts.append(-c)
+        held.append(np.array([_GAP]))
+        size += 1
     if held:
         fold()
     if not keys:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     k, at = np.unique(np.concatenate(keys), return_inverse=True)
-    return k, np.bincount(at, np.concatenate(counts)).astype(np.int64)
+    n = np.bincount(at, np.concatenate(counts)).astype(np.int64)
+    return k[n > 0], n[n > 0]
 
 
 def profiles(train: DataFrame, *, text_col: str = "text", lang_col: str = "lang", top: int = TOP) -> DataFrame:
@@ -125,7 +153,7 @@ def profiles(train: DataFrame, *, text_col: str = "text", lang_col: str = "lang"
             n = np.bincount(at, np.concatenate([p[1] for p in parts])).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(k)), pa.array(k), pa.array(n)], ["lang", "gram", "n"])
 
-    counted = src.mapInArrow(run, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counted = through(src, run, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     return counted.withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < top).select("lang", "gram", "rank")
 

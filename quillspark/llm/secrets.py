@@ -1,7 +1,7 @@
 """Secret scan: three patterns of known form, and a battery of randomness tests for the rest.
 
-Candidates of the battery are runs of 20 or more characters of an encoding's alphabet, inferred in this order: hex (either
-case), base32, base64 and its URL form. Under the null hypothesis a candidate is ordinary writing: its characters come
+Candidates of the battery are the maximal runs of 20 or more characters of an encoding's alphabet, inferred in this order: hex (either
+case), base32, base64 and its URL form; numerals alone are none. A run that mixes the last two has parts in either. Under the null hypothesis a candidate is ordinary writing: its characters come
 independently from the corpus's own distribution over that alphabet, learned from all texts. Three statistics are held
 against that null by their normal approximations, all small or all large when characters are uniform:
 
@@ -10,14 +10,15 @@ against that null by their normal approximations, all small or all large when ch
 * serial correlation: the lag-one product of deviations of character ranks, and the share of repeated neighbours,
   which must not be large (a counter or a repeated word is not random).
 
-The p-values of the first two are combined by Stouffer's rule with equal weights. A candidate must also pass for random:
-if the third test rejects independence of neighbours, or chi-squared rejects uniformity itself, its p-value is 1. False discoveries are controlled by
-Benjamini and Hochberg's step-up rule within classes of length (20-23, 24-31, 32-47, 48-79, 80 and more), each at level ``rate``:
+The p-values of the first two are combined by Stouffer's rule with equal weights, and the third by the intersection-union rule: the
+combined value is the greatest of theirs, and 1 where the third test rejects independence of neighbours, or chi-squared
+uniformity itself. A value that only grows stays valid. False discoveries are controlled by
+Benjamini and Hochberg's step-up rule over all candidates tested, within classes of length (20-23, 24-31, 32-47, 48-79, 80 and more), each at level ``rate``:
 long ordinary tokens therefore cannot pay for short doubtful ones. The rule runs on counts of p-values in 2,048 bins of
 their logarithm, rounded up, so what is gathered is bounded and the rule only gets stricter.
 
 Two narrow passes read the texts (null distribution; candidates and patterns); found candidates are staged. Defined results: a
-null or empty text has no spans; repeated rows get a row each and count each time; an empty table gives none; other columns are
+null or empty text has no spans; a very long text is searched whole; repeated rows get a row each and count each time; an empty table gives none; other columns are
 ignored. Offsets are code points, end exclusive.
 """
 
@@ -32,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import id_and_text, narrow, stage, strings, utf8
+from .base import id_and_text, narrow, stage, strings, through, utf8
 
 RATE = 0.01
 SHORTEST = 20
@@ -51,6 +52,8 @@ ALPHABETS = {
     "base64url": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_",
 }
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}", re.ASCII)
+_BOTH = re.compile("[+/]"), re.compile("[_-]")
+_PARTS = re.compile("[A-Za-z0-9+/]{20,}"), re.compile("[A-Za-z0-9_-]{20,}")
 _EDGES = (20, 24, 32, 48, 80)
 
 
@@ -62,6 +65,21 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def candidates(text: str) -> Iterator[tuple[int, int]]:
+    """Spans of what may be encoded: whole runs of one alphabet; of a run that mixes both forms of base64, the longest parts in either."""
+    for m in _CANDIDATE.finditer(text):
+        run = m[0].rstrip("=")
+        if not (_BOTH[0].search(run) and _BOTH[1].search(run)):
+            yield m.start(), m.end()
+            continue
+        parts = {(m.start() + p.start(), m.start() + p.end()) for form in _PARTS for p in form.finditer(run)}
+        last = 0
+        for s, e in sorted(parts, key=lambda p: (p[0], -p[1])):
+            if e > last:  # else within the one before
+                last = e
+                yield s, m.end() if e == m.start() + len(run) else e
+
+
 def encoding(token: str) -> str | None:
     """The first alphabet that has all of a token's characters."""
     chars = set(token)
@@ -120,7 +138,7 @@ def byte_counts(docs: DataFrame, text_col: str = "text") -> np.ndarray:
 
     src = docs.select(F.col(f"`{text_col}`").cast("string").alias("text"))
     out = np.zeros(256)
-    for r in src.mapInArrow(run, "byte int, n bigint").groupBy("byte").agg(F.sum("n").alias("n")).collect():
+    for r in through(src, run, "byte int, n bigint").groupBy("byte").agg(F.sum("n").alias("n")).collect():
         out[r.byte] = r.n
     return out
 
@@ -136,13 +154,12 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rat
             spans = base_spans(t)
             base.append([{"start": s, "kind": k, "end": e} for s, k, e in spans])
             found = []
-            for m in _CANDIDATE.finditer(t):
-                token = m[0].rstrip("=")
+            for start, end in candidates(t):
+                token = t[start:end].rstrip("=")
                 kind = encoding(token)
-                if kind and not any(s < m.end() and m.start() < e for s, _, e in spans) and any(c.isdigit() for c in token) and any(c.isalpha() for c in token):
+                if kind and not token.isdigit() and not any(s < end and start < e for s, _, e in spans):
                     p = p_value(token, kind, null)
-                    if p < 1:
-                        found.append({"start": m.start(), "end": m.end(), "bin": math.floor(-8 * math.log2(max(p, 1e-300))), "size": length_class(len(token))})
+                    found.append({"start": start, "end": end, "bin": math.floor(-8 * math.log2(max(p, 1e-300))), "size": length_class(len(token))})
             more.append(found)
         return pa.RecordBatch.from_arrays([b.column(0), pa.array(base, _BASE), pa.array(more, _MORE)], ["id", "base", "more"])
 

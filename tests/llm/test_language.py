@@ -33,6 +33,22 @@ def test_pieces_of_a_long_text_count_alike(monkeypatch):
     assert near <= 0.02 * sum(whole.values())
 
 
+def test_pieces_count_as_the_whole(monkeypatch):
+    texts = ["Lorem, ipsum  dolor 12 " * 40, "", "ab\u0301c", "\u0301", "x" * 1000, " . " * 500 + "é"]
+    whole = [dict(zip(*map(list, language.count([t])), strict=True)) for t in texts]
+    together = dict(zip(*map(list, language.count(texts)), strict=True))
+    assert together == dict(sum((Counter(w) for w in whole), Counter()))
+    for piece in (1, 2, 3, 7, 500):
+        monkeypatch.setattr(language, "_PIECE", piece)
+        assert [dict(zip(*map(list, language.count([t])), strict=True)) for t in texts] == whole
+        assert dict(zip(*map(list, language.count(texts)), strict=True)) == together
+
+
+def test_marks_alone_are_no_letters(spark, edge):
+    docs = spark.createDataFrame([(1, "\u0301", "en"), (2, "12 \u0301 ?", "en"), (3, "a\u0301", "en")], "doc_id long, text string, lang string")
+    assert {r.doc_id: r.lang_pred for r in language.identify(docs, edge).collect()} == {1: "und", 2: "und", 3: "en"}
+
+
 def test_held_out_accuracy_and_distance(spark, sf):
     sf = sf.replace("sf0.001", "sf0.01")
     docs = table(spark, sf, "documents")

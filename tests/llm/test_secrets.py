@@ -1,6 +1,8 @@
 import random
 import re
 
+import numpy as np
+
 from quillspark.llm import secrets
 from quillspark.llm.base import table
 
@@ -62,6 +64,52 @@ def test_battery_tells_random_from_ordinary(spark):
     assert not any(got[i] for i in got if i not in planted)
 
 
+def plain(docs, rate):
+    """Spans of the battery by the rule as it stands in books: p-values sorted, not binned."""
+    counts = [0] * 256
+    for _, t in docs:
+        for c in (t or "").encode():
+            counts[c] += 1
+    tested = {}
+    for i, t in docs:
+        base = slow(t or "")
+        at = 0
+        while m := re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}").search(t or "", at):
+            at = m.end()
+            run = m[0].rstrip("=")
+            mixed = any(c in "+/" for c in run) and any(c in "-_" for c in run)
+            parts = [(0, len(m[0]))]
+            if mixed:
+                every = [(p.start(), p.end()) for p in (*re.finditer("[A-Za-z0-9+/]{20,}", run), *re.finditer("[A-Za-z0-9_-]{20,}", run))]
+                parts = [(a, b) for a, b in set(every) if not any((c, d) != (a, b) and c <= a and b <= d for c, d in every)]
+                parts = [(a, len(m[0]) if b == len(run) else b) for a, b in parts]
+            for a, b in parts:
+                s, e = m.start() + a, m.start() + b
+                token = t[s:e].rstrip("=")
+                if not token.isdigit() and not any(x < e and s < y for x, _, y in base):
+                    p = secrets.p_value(token, secrets.encoding(token), np.array(counts, float))
+                    tested.setdefault(secrets.length_class(len(token)), []).append((p, i, s, e))
+    out = set()
+    for rows in tested.values():
+        rows.sort()
+        last = max((k for k, (p, *_) in enumerate(rows, 1) if p <= rate * k / len(rows)), default=0)
+        out |= {r[1:] for r in rows[:last]}
+    return out
+
+
+def test_battery_equals_the_rule_over_all_candidates(spark):
+    rng = random.Random(3)
+    docs = [(r.doc_id, r.text) for r in table(spark, "/root/testdata/sf0.001", "documents").collect()]
+    for form in ("base64", "base64url", "hex", "base32"):
+        docs += [(10_000 + len(docs), "see " + "".join(rng.choice(secrets.ALPHABETS[form]) for _ in range(rng.randint(20, 90))) + " end") for _ in range(25)]
+    docs += [(20_000 + i, "u/" + "".join(rng.choice(secrets.ALPHABETS["base64"]) for _ in range(40)) + "_sk-live_" + "x" * i) for i in range(20)]
+    docs += [(30_000 + i, " ".join("".join(rng.choice("eeeetttaaaooiinnsshhrrdl") for _ in range(rng.randint(20, 60))) for _ in range(5))) for i in range(40)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {(r.doc_id, s.start, s.end) for r in secrets.scan(frame).collect() for s in r.spans if s.kind == 3}
+    exact = plain(docs, secrets.RATE)
+    assert got <= exact and len(got) >= 0.97 * len(exact) and len(exact) > 80  # bins only make the rule stricter
+
+
 def test_edge_rows(edge, nothing):
     got = secrets.scan(edge).collect()
     assert len(got) == edge.count() and all(not r.spans for r in got if r.doc_id in (3, 4, 5))
