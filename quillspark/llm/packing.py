@@ -20,6 +20,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
@@ -33,15 +34,17 @@ LINEAR, QUADRATIC = 1.0, 1.0 / 1024
 #: Distinct words that a Python worker remembers, how many new ones the library gets as one text, and bytes of texts looked up at once.
 _CACHE, _LINE, _PIECE = 200_000, 256, 4 << 20
 _MARK = "\0"
+_PLAIN = frozenset("abcdefghijklmnopqrstuvwxyz0123456789")
 
 
 class WordCachedTokenizer:
     """Ids of whole texts, equal to ``Tokenizer.encode``, of which the library makes those of each distinct word once.
 
     No token of the vocabulary's splitter spans white space and its normaliser looks at single characters and their
-    combining marks, so a text's ids are those of its words in order; A to Z may be lowered before. New words are encoded
-    many to a text, with a word of one zero byte after each: its id, which no other word has, shows where they end. Words with a
-    zero byte are encoded alone. What is remembered is bounded, and lives as long as the Python worker.
+    combining marks, so a text's ids are those of its words in order; A to Z may be lowered before, and a space put between a
+    letter of a to z and a full stop or the like, where the splitter parts them anyway. New words are encoded many to a text,
+    with one zero byte after each: its id, which no other word has, shows where they end. Words with a zero byte are encoded
+    alone. What is remembered is bounded, and lives as long as the Python worker.
     """
 
     def __init__(self, path: str):
@@ -72,7 +75,11 @@ class WordCachedTokenizer:
         """Remember the ids of words that are new, and give their places."""
         odd = [w for w in words if _MARK in w]
         words = [w for w in words if _MARK not in w] if odd else words
-        lines = [f" {_MARK} ".join([*words[i : i + _LINE], ""]) for i in range(0, len(words), _LINE)]
+        # beside a letter or numeral the zero byte is a piece of its own; elsewhere it needs spaces
+        plain = [w for w in words if w[:1] in _PLAIN and w[-1:] in _PLAIN]
+        other = [w for w in words if not (w[:1] in _PLAIN and w[-1:] in _PLAIN)]
+        words = plain + other
+        lines = [sep.join([*ws[i : i + _LINE], ""]) for sep, ws in ((_MARK, plain), (f" {_MARK} ", other)) for i in range(0, len(ws), _LINE)]
         got = [np.array(e.ids, np.uint32) for e in self.full.encode_batch_fast(lines, add_special_tokens=False)]
         flat = np.concatenate(got) if got else np.zeros(0, np.uint32)
         ends = np.flatnonzero(flat == self.mark)
@@ -100,7 +107,7 @@ class WordCachedTokenizer:
 
     def many(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, and where each text's begin (and the end)."""
-        codes, bounds, words = coded(column)
+        codes, bounds, words = coded(pc.replace_substring_regex(pc.ascii_lower(column), "([a-z])([.,;:!?])", r"\1 \2"), lower=False)
         if len(self.seen) > _CACHE:
             self._forget()
         known = words.to_pylist()
