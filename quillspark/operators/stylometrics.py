@@ -95,15 +95,19 @@ def features(docs: DataFrame, text_col: str = "text", only: list[str] | None = N
 def syntax_features(parses: DataFrame, key: str = "doc_id") -> DataFrame:
     """parse_depth_mean and subordinate_ratio from a parse table (key, sent, token, head, pos, dep); a root is its own head.
 
-    A token's depth is found by following heads, all tokens one step a round, until every one has reached its root.
+    A sentence's heads are one row's array, in which every token doubles its way to the root: as many turns as the logarithm of
+    the sentence's length, without a join. A head that isn't there counts as a root.
     """
-    t = parses.select(F.col(key).alias("key"), "sent", "token", F.col("head").alias("at"), F.lit(1).alias("depth"), (F.col("head") == F.col("token")).alias("done"))
-    heads = parses.select(F.col(key).alias("key"), "sent", F.col("token").alias("at"), F.col("head").alias("next"))
-    for _ in range(parses.groupBy(key, "sent").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]):
-        if not t.where("not done").limit(1).count():
-            break
-        t = t.join(heads, ["key", "sent", "at"], "left").select("key", "sent", "token", F.when(F.col("done"), F.col("at")).otherwise(F.col("next")).alias("at"), F.when(F.col("done"), F.col("depth")).otherwise(F.col("depth") + 1).alias("depth"), (F.col("done") | (F.col("next") == F.col("at"))).alias("done"))
-    depth = t.groupBy("key", "sent").agg(F.max("depth").alias("d")).groupBy("key").agg(F.avg("d").alias("parse_depth_mean"))
+    one = parses.groupBy(F.col(key).alias("key"), "sent").agg(F.array_sort(F.collect_list(F.struct("token", "head"))).alias("t"))
+    place = F.transform("t", lambda x: F.array_position(F.transform("t", lambda y: y["token"]), x["head"]).cast("int"))
+    counted = F.forall(F.transform("t", lambda x, i: x["token"] == i + 1), lambda x: x)  # tokens from 1: a head is its own place
+    one = one.select("key", F.size("t").alias("n"), F.when(counted, F.transform("t", lambda x: x["head"].cast("int"))).otherwise(place).alias("h"))
+    one = one.withColumn("h", F.transform("h", lambda h, i: F.when((h >= 1) & (h <= F.col("n")), h).otherwise(i + 1)))
+    start = F.struct(F.col("h").alias("up"), F.transform("h", lambda h, i: (h != i + 1).cast("int")).alias("far"))
+    at = lambda a, i: F.element_at(a, i)
+    turn = lambda s, _: F.struct(F.transform(s["up"], lambda u: at(s["up"], u)).alias("up"), F.zip_with(s["far"], s["up"], lambda f, u: f + at(s["far"], u)).alias("far"))
+    deep = one.withColumn("s", F.aggregate(F.sequence(F.lit(1), F.ceil(F.log2(F.col("n") + 1)).cast("int")), start, turn))
+    depth = deep.groupBy("key").agg(F.avg(F.array_max("s.far") + 1).alias("parse_depth_mean"))
     sub = F.sum(((F.col("pos") == "VERB") & F.col("dep").isin("advcl", "acl", "ccomp", "xcomp", "relcl")).cast("long"))
     ratio = parses.groupBy(F.col(key).alias("key")).agg(F.coalesce(F.try_divide(sub, F.sum((F.col("pos") == "VERB").cast("long"))), F.lit(0.0)).alias("subordinate_ratio"))
     return depth.join(ratio, "key").select(F.col("key").alias(key), "parse_depth_mean", "subordinate_ratio")

@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from .matrix import pearson
 
+#: Bytes of vectors that may be sent to every task.
+SENT = 64 << 20
+
 
 def order_of(path: str = "path", pos: str = "pos") -> Window:
     return Window.partitionBy(path).orderBy(pos)
@@ -75,11 +83,42 @@ def shuffled(items: DataFrame, id_col: str, permutations: int, seed: str = "42")
     return some.withColumn("pos", F.row_number().over(Window.partitionBy("perm").orderBy(key, "id"))).select("perm", "pos", "id")
 
 
-def permutation_null(items: DataFrame, id_col: str, vector_col: str, permutations: int, seed: str = "42") -> DataFrame:
-    """perm, mean_similarity, mean_distance, mean_curvature of each shuffled path."""
+def permutation_null(items: DataFrame, id_col: str, vector_col: str, permutations: int, seed: str = "42", sent: int = SENT) -> DataFrame:
+    """perm, mean_similarity, mean_distance, mean_curvature of each shuffled path.
+
+    Vectors of ``sent`` bytes together at most go to every task, which takes whole permutations as matrix products; beyond that,
+    ids are shuffled and joined to their vectors. Either way gives the same paths.
+    """
     v = items.select(F.col(id_col).alias("id"), V.doubles(F.col(vector_col)).alias("v"))
-    paths = shuffled(items, id_col, permutations, seed).join(v, "id").select(F.col("perm").alias("path"), "pos", "v")
-    return smoothness(paths).join(curvature(paths), "path").select(F.col("path").alias("perm"), "mean_similarity", "mean_distance", "mean_curvature")
+    size = v.agg(F.coalesce(F.sum(F.size("v")) * 8, F.lit(0))).first()[0]
+    if size > sent:
+        paths = shuffled(items, id_col, permutations, seed).join(v, "id").select(F.col("perm").alias("path"), "pos", "v")
+        return smoothness(paths).join(curvature(paths), "path").select(F.col("path").alias("perm"), "mean_similarity", "mean_distance", "mean_curvature")
+    spark = items.sparkSession
+    every = v.where("v is not null").orderBy("id").toArrow()
+    names = every["id"].to_pylist()
+    matrix = spark.sparkContext.broadcast(np.array(every["v"].to_pylist(), float).reshape(len(names), -1) if names else np.zeros((0, 1)))  # ``sent`` bytes at most
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = matrix.value
+        for b in batches:
+            perms = b.column(0).to_pylist()
+            rows = []
+            for perm in perms:
+                keys = [hashlib.md5(f"{seed}|{perm}|{i}".encode()).digest() for i in names]
+                order = sorted(range(len(names)), key=keys.__getitem__)  # equal keys by id, in which order the names are
+                p = m[order]
+                step = np.diff(p, axis=0)
+                length = np.sqrt((step * step).sum(axis=1))
+                bent = (length[1:] >= 1e-10) & (length[:-1] >= 1e-10)
+                turn = (step[1:] * step[:-1]).sum(axis=1)[bent] / (length[1:] * length[:-1])[bent]
+                angle = np.arccos(np.clip(turn, -1, 1))
+                rows.append((perm, float((p[1:] * p[:-1]).sum(axis=1).mean()) if len(step) else None, float(length.mean()) if len(step) else None, float(angle.mean()) if len(angle) else 0.0))
+            cols = list(zip(*rows, strict=True)) if rows else [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.float64(), pa.float64(), pa.float64()), strict=True)], ["perm", "mean_similarity", "mean_distance", "mean_curvature"])
+
+    some = spark.range(1, permutations + 1, 1, spark.sparkContext.defaultParallelism * 4).select(F.col("id").cast("int"))
+    return some.mapInArrow(run, "perm int, mean_similarity double, mean_distance double, mean_curvature double").where("mean_similarity is not null")
 
 
 def z_score(observed: Column, mean: Column, std: Column, sign: int) -> Column:

@@ -199,4 +199,4 @@ def probe_summary(read):
 
 @query()
 def bootstrap_ci(read):
-    return rounded(S.bootstrap_mean(read("events").groupBy("event_type", "user_id").agg(F.round(F.avg("value"), 6).alias("v")), "event_type", "v", 200))
+    return rounded(S.bootstrap_mean(read("events").groupBy("event_type", "user_id").agg(F.round(F.avg("value"), 6).alias("v")), "event_type", "v"))

@@ -10,10 +10,10 @@ from ..functions import text as X
 from .registry import query, rounded
 from .texts import STYLE_COLS, STYLE_SQL
 
-DIMS = ["sent_len_mean", "mattr", "hapax_ratio", "articles_per_k", "word_len_mean", "para_len_mean"]
+DIMS = stylometrics.NAMES
 #: Features of each document with source and language; a segment is a document, numbered within its source.
 FEATURES = f"""feat AS ({STYLE_SQL} {', '.join(f'CAST({STYLE_COLS[d]} AS DOUBLE) AS {d}' for d in DIMS)} FROM o),
-seg AS (SELECT feat.*, source, lang, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS number FROM feat JOIN documents USING (doc_id))"""
+seg AS MATERIALIZED (SELECT feat.*, source, lang, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS number FROM feat JOIN documents USING (doc_id))"""
 LONG = FEATURES + ", long AS (" + " UNION ALL ".join(f"SELECT doc_id, source, lang, '{d}' AS dim, {d} AS value FROM seg" for d in DIMS) + ")"
 STAT = "count(*) AS n, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std, round(min(value), 6) AS least, round(max(value), 6) AS greatest, round(median(value), 6) AS median"
 
@@ -69,7 +69,7 @@ def top_variance_dims(read):
     return rounded(matrix.top_variance(long(read), 3).withColumn("rank", F.col("rank").cast("long")))
 
 
-_CORR = " UNION ALL ".join(f"SELECT '{a}' AS dim_a, '{b}' AS dim_b, round(covar_pop({a}, {b}) / (stddev_pop({a}) * stddev_pop({b})), 6) AS r FROM seg" for i, a in enumerate(DIMS) for b in DIMS[i + 1 :])
+_CORR = " UNION ALL ".join(f"SELECT '{a}' AS dim_a, '{b}' AS dim_b, round(covar_pop({a}, {b}) / nullif(stddev_pop({a}) * stddev_pop({b}), 0), 6) AS r FROM seg" for i, a in enumerate(DIMS) for b in DIMS[i + 1 :])
 
 
 @query(f"WITH {FEATURES} {_CORR}")
@@ -180,16 +180,17 @@ def source_selection(read):
     return chosen.select("work", "segment", F.col("start").cast("long").alias("start"))
 
 
-_SYNTAX = r"""tok AS (SELECT doc_id, unnest(w[1:12]) AS word, unnest(generate_series(1, least(12, len(w)))) AS token FROM (SELECT doc_id, regexp_extract_all(text, '\S+') AS w FROM documents))"""
+_SYNTAX = r"""tok AS (SELECT doc_id, unnest(w) AS word, unnest(generate_series(1, len(w))) AS token FROM (SELECT doc_id, regexp_extract_all(text, '\S+') AS w FROM documents))"""
 
 
-@query(rf"""WITH {_SYNTAX}, n AS (SELECT doc_id, max(token) AS d FROM tok GROUP BY doc_id),
+@query(rf"""WITH {_SYNTAX}, n AS (SELECT doc_id, floor(log2(max(token))) + 1 AS d FROM tok GROUP BY doc_id),
 r AS (SELECT doc_id, count(*) FILTER (WHERE length(word) % 3 = 0) AS v, count(*) FILTER (WHERE length(word) % 3 = 0 AND token % 2 = 0) AS s FROM tok GROUP BY doc_id)
 SELECT doc_id, round(CAST(d AS DOUBLE), 6) AS parse_depth_mean, round(CASE WHEN v > 0 THEN s / CAST(v AS DOUBLE) ELSE 0 END, 6) AS subordinate_ratio FROM n JOIN r USING (doc_id)""")
 def syntax_features(read):
-    """A parse table in which each of a document's first words hangs on the one before it."""
-    d = read("documents").select("doc_id", F.posexplode(F.slice(X.chunks(F.col("text")), 1, 12)).alias("i", "word"))
-    parse = d.select("doc_id", F.lit(0).alias("sent"), (F.col("i") + 1).alias("token"), F.greatest(F.lit(1), F.col("i")).alias("head"), F.when(F.length("word") % 3 == 0, "VERB").otherwise("NOUN").alias("pos"), F.when((F.col("i") + 1) % 2 == 0, "ccomp").otherwise("obj").alias("dep"))
+    """Stands in for a parser: a parse table in which each of a document's words hangs on that at half its place."""
+    d = read("documents").select("doc_id", F.posexplode(X.chunks(F.col("text"))).alias("i", "word"))
+    token = F.col("i") + 1
+    parse = d.select("doc_id", F.lit(0).alias("sent"), token.alias("token"), F.greatest(F.lit(1), F.floor(token / 2).cast("int")).alias("head"), F.when(F.length("word") % 3 == 0, "VERB").otherwise("NOUN").alias("pos"), F.when(token % 2 == 0, "ccomp").otherwise("obj").alias("dep"))
     return rounded(stylometrics.syntax_features(parse))
 
 
@@ -201,10 +202,12 @@ def coverage_audit(read):
     return audit.coverage(read("documents").select("doc_id"), have.union(extra), ["doc_id"])
 
 
-@query("SELECT source AS author, count(*) AS profile_count, count(*) FILTER (WHERE n_chars > 0) AS actual_count, count(*) = count(*) FILTER (WHERE n_chars > 0) AS ok FROM documents GROUP BY source")
+@query("SELECT source AS author, count(*) AS profile_count, count(l.doc_id) AS actual_count, count(*) = count(l.doc_id) AS ok FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l ON d.doc_id = l.doc_id GROUP BY source")
 def profile_audit(read):
-    d = read("documents").groupBy(F.col("source").alias("author")).agg(F.count("*").alias("profile_count"), F.sum((F.col("n_chars") > 0).cast("long")).alias("actual_count"))
-    return d.withColumn("ok", F.col("profile_count") == F.col("actual_count"))
+    """What the profile counts against the rows that the table of labels has for an author."""
+    rows = read("labels").select("doc_id").distinct().withColumn("there", F.lit(1))
+    d = read("documents").select("doc_id", F.col("source").alias("author")).join(rows, "doc_id", "left")
+    return d.groupBy("author").agg(F.count("*").alias("profile_count"), F.count("there").alias("actual_count")).withColumn("ok", F.col("profile_count") == F.col("actual_count"))
 
 
 @query("WITH e AS (SELECT CAST(embedding AS DOUBLE[]) AS v FROM embeddings) SELECT count(*) AS n_rows, CAST(min(len(v)) AS INT) AS min_dims, CAST(max(len(v)) AS INT) AS max_dims, CAST(0 AS BIGINT) AS nan_rows, count(*) FILTER (WHERE list_inner_product(v, v) = 0) AS zero_rows, round(min(sqrt(list_inner_product(v, v))), 6) AS min_norm, round(max(sqrt(list_inner_product(v, v))), 6) AS max_norm FROM e")
@@ -212,10 +215,12 @@ def data_integrity(read):
     return rounded(audit.vector_integrity(read("embeddings"), "embedding"))
 
 
-@query(f"WITH {FEATURES} SELECT source, count(*) AS n_rows, max(number) AS last_number, count(*) = max(number) AS aligned FROM seg GROUP BY source")
+@query("SELECT d.source, count(*) AS n_rows, count(e.vec_id) AS n_vectors, min(CASE WHEN e.vec_id IS NULL THEN d.doc_id END) AS first_without, count(*) = count(e.vec_id) AS aligned FROM documents d LEFT JOIN embeddings e ON d.doc_id = e.vec_id GROUP BY d.source")
 def alignment_check(read):
-    g = segments(read).groupBy("source").agg(F.count("*").alias("n_rows"), F.max("number").cast("long").alias("last_number"))
-    return g.withColumn("aligned", F.col("n_rows") == F.col("last_number"))
+    """Rows of the feature table against those of the matrix, by id."""
+    d = read("documents").select("doc_id", "source").join(read("embeddings").select(F.col("vec_id").alias("doc_id"), F.lit(1).alias("there")), "doc_id", "left")
+    g = d.groupBy("source").agg(F.count("*").alias("n_rows"), F.count("there").alias("n_vectors"), F.min(F.when(F.col("there").isNull(), F.col("doc_id"))).alias("first_without"))
+    return g.withColumn("aligned", F.col("n_rows") == F.col("n_vectors"))
 
 
 @query("SELECT name, claimed, round(observed, 6) AS observed, abs(observed - claimed) <= 0.15 AS ok FROM (SELECT 'quality' AS name, CAST(0.85 AS DOUBLE) AS claimed, avg(quality) AS observed FROM labels UNION ALL SELECT 'toxic', 0.5, avg(toxic) FROM labels)")

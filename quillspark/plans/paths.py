@@ -14,7 +14,9 @@ E = "e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embedding
 #: Two orders of all vectors: by id, and by a hash.
 PATHS = f"{E}, p AS (SELECT 'linear' AS path, vec_id, label, v, row_number() OVER (ORDER BY vec_id) AS pos FROM e UNION ALL SELECT 'hopscotch', vec_id, label, v, row_number() OVER (ORDER BY md5('hop|' || vec_id), vec_id) FROM e)"
 STEPS = f"{PATHS}, n AS (SELECT *, lead(v) OVER (PARTITION BY path ORDER BY pos) AS w, lead(v, 2) OVER (PARTITION BY path ORDER BY pos) AS x FROM p), s AS (SELECT path, pos, vec_id, label, list_inner_product(v, w) AS similarity, list_distance(v, w) AS distance FROM n WHERE w IS NOT NULL)"
-N_PERM = 20
+N_PERM = 5000
+#: Places of a vector.
+SIZE = 64
 PERMS = f"{E}, o AS (SELECT perm, vec_id, row_number() OVER (PARTITION BY perm ORDER BY md5('42|' || perm || '|' || vec_id), vec_id) AS pos FROM e, (SELECT unnest(generate_series(1, {N_PERM})) AS perm)), q AS (SELECT perm, pos, v, lead(v) OVER (PARTITION BY perm ORDER BY pos) AS w, lead(v, 2) OVER (PARTITION BY perm ORDER BY pos) AS x FROM o JOIN e USING (vec_id))"
 
 
@@ -178,17 +180,19 @@ def moving_avg(read):
     return rounded(e.select("user_id", "event_id", trajectory.moving_average(e, "value", 1, "user_id", "event_id").alias("smooth")))
 
 
-@query(f"WITH {PATHS} SELECT path, CAST(pos AS BIGINT) AS pos, vec_id, round(v[1], 6) AS x, round(v[2], 6) AS y FROM p LEFT JOIN (SELECT vec_id AS k FROM e WHERE label < 5) h ON vec_id = k WHERE k IS NOT NULL OR vec_id % 2 = 0")
+@query(f"WITH {PATHS} SELECT path, CAST(pos AS BIGINT) AS pos, vec_id, CASE WHEN k IS NOT NULL THEN round(v[1], 6) END AS x, CASE WHEN k IS NOT NULL THEN round(v[2], 6) END AS y FROM p LEFT JOIN (SELECT vec_id AS k FROM e WHERE label < 5) h ON vec_id = k")
 def path_coords(read):
+    """Every point of the paths; one without coordinates breaks its path."""
     p = paths(read)
     some = vectors(read).where("label < 5").select(F.col("vec_id").alias("k"))
-    j = p.join(some, p["vec_id"] == some["k"], "left").where("k is not null or vec_id % 2 = 0")
-    return rounded(j.select("path", F.col("pos").cast("long").alias("pos"), "vec_id", F.get("v", F.lit(0)).alias("x"), F.get("v", F.lit(1)).alias("y")))
+    j = p.join(some, p["vec_id"] == some["k"], "left")
+    at = lambda i: F.when(F.col("k").isNotNull(), F.get("v", F.lit(i)))
+    return rounded(j.select("path", F.col("pos").cast("long").alias("pos"), "vec_id", at(0).alias("x"), at(1).alias("y")))
 
 
-@query(f"WITH {PATHS} SELECT path, CAST(pos AS BIGINT) AS pos, {', '.join(f'round(v[{i + 1}], 6) AS d{i}' for i in range(4))} FROM p")
+@query(f"WITH {PATHS} SELECT path, CAST(pos AS BIGINT) AS pos, {', '.join(f'round(v[{i + 1}], 6) AS d{i}' for i in range(SIZE))} FROM p")
 def path_matrix(read):
-    return rounded(paths(read).select("path", F.col("pos").cast("long").alias("pos"), *[F.get("v", F.lit(i)).alias(f"d{i}") for i in range(4)]))
+    return rounded(paths(read).select("path", F.col("pos").cast("long").alias("pos"), *[F.get("v", F.lit(i)).alias(f"d{i}") for i in range(SIZE)]))
 
 
 @query(f"WITH {PATHS}, d AS (SELECT path, label, list(pos ORDER BY pos) AS places FROM p GROUP BY path, label) SELECT path, label, CAST(len(places) AS BIGINT) AS n, array_to_string(places[1:5], ',') AS first_places FROM d WHERE len(places) > 1")
@@ -228,16 +232,16 @@ def l2_norm(read):
     return vectors(read).select("vec_id", r6(n).alias("norm"), (F.abs(n - 1) < 1e-5).alias("unit"))
 
 
-@query(f"""WITH {E}, u AS (SELECT vec_id, v[1:4] AS a FROM e), s AS (SELECT {', '.join(f'avg(a[{i}]) AS m{i}, stddev_pop(a[{i}]) AS s{i}' for i in range(1, 5))} FROM u)
-SELECT vec_id, {', '.join(f'round((a[{i}] - m{i}) / CASE WHEN s{i} > 0 THEN s{i} ELSE 1 END, 6) AS d{i - 1}' for i in range(1, 5))} FROM u, s""")
+@query(f"""WITH {E}, u AS (SELECT vec_id, v AS a FROM e), s AS (SELECT {', '.join(f'avg(a[{i}]) AS m{i}, stddev_pop(a[{i}]) AS s{i}' for i in range(1, SIZE + 1))} FROM u)
+SELECT vec_id, {', '.join(f'round((a[{i}] - m{i}) / CASE WHEN s{i} > 0 THEN s{i} ELSE 1 END, 6) AS d{i - 1}' for i in range(1, SIZE + 1))} FROM u, s""")
 def z_standardize(read):
-    wide = vectors(read).select("vec_id", *[F.get("v", F.lit(i)).alias(f"d{i}") for i in range(4)])
-    return rounded(matrix.z_standardize(wide, [f"d{i}" for i in range(4)]))
+    wide = vectors(read).select("vec_id", *[F.get("v", F.lit(i)).alias(f"d{i}") for i in range(SIZE)])
+    return rounded(matrix.z_standardize(wide, [f"d{i}" for i in range(SIZE)]))
 
 
-@query(f"WITH {E} SELECT vec_id, round(v[1], 6) AS d0, round(v[3], 6) AS d2 FROM e")
+@query(f"WITH {E} SELECT vec_id, {', '.join(f'round(v[{i + 1}], 6) AS d{i}' for i in range(SIZE) if i != 1)} FROM e")
 def drop_dims(read):
-    wide = vectors(read).select("vec_id", *[F.get("v", F.lit(i)).alias(f"d{i}") for i in range(3)])
+    wide = vectors(read).select("vec_id", *[F.get("v", F.lit(i)).alias(f"d{i}") for i in range(SIZE)])
     return rounded(wide.drop("d1"))
 
 

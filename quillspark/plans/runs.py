@@ -147,11 +147,11 @@ def extract_params(read):
     return w.select(F.get("w", (F.array_position("w", "--host")).cast("int")).alias("host")).distinct()
 
 
-@query("""WITH p AS (SELECT 'e' || (event_id % 900) AS experiment_id, 'r' || event_id AS run_id, event_id FROM events WHERE event_id < 1000)
+@query("""WITH p AS (SELECT 'e' || (event_id - CASE WHEN event_id % 90 = 1 THEN 1 ELSE 0 END) AS experiment_id, event_id FROM events)
 SELECT 'duplicate experiment_id' AS issue, experiment_id AS value FROM p GROUP BY experiment_id HAVING count(*) > 1 UNION ALL SELECT 'empty command', experiment_id FROM p WHERE event_id % 250 = 0""")
 def plan_validation(read):
-    e = read("events").where("event_id < 1000")
-    p = e.select(F.format_string("e%d", F.col("event_id") % 900).alias("experiment_id"), F.format_string("r%d", F.col("event_id")).alias("run_id"), F.when(F.col("event_id") % 250 != 0, F.array(F.lit("run"))).alias("command"))
+    name = F.col("event_id") - F.when(F.col("event_id") % 90 == 1, 1).otherwise(0)
+    p = read("events").select(F.format_string("e%d", name).alias("experiment_id"), F.format_string("r%d", F.col("event_id")).alias("run_id"), F.when(F.col("event_id") % 250 != 0, F.array(F.lit("run"))).alias("command"))
     return audit.plan_issues(p)
 
 

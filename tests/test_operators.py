@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import vectors as V
 from quillspark.functions.lexicons import FAILURES
-from quillspark.operators import audit, backends, dataset, matrix, runs, scoring, stats, stylometrics, trajectory
+from quillspark.operators import audit, backends, dataset, matrix, runs, scoring, selection, stats, stylometrics, trajectory
 
 
 def test_moving_type_token_ratio_equals_windows(spark):
@@ -234,3 +234,36 @@ def test_backends(spark):
     df = spark.createDataFrame([(1, "a"), (2, None)], "id int, text string")
     assert [r.response for r in backends.generate(df, "text", Shout).orderBy("id").collect()] == ["A", ""]
     assert [r.embedding for r in backends.encode(df, "text", Shout).orderBy("id").collect()] == [[1.0], [0.0]]
+
+
+def test_permutations_by_blocks_and_by_joins_agree(spark, sf):
+    items = spark.read.parquet(f"{sf}/embeddings.parquet").where("vec_id < 40")
+    ways = [sorted(map(tuple, trajectory.permutation_null(items, "vec_id", "embedding", 7, sent=n).collect())) for n in (1 << 20, 0)]
+    assert len(ways[0]) == 7
+    for a, b in zip(*ways, strict=True):
+        assert a == pytest.approx(b, abs=1e-9)
+    assert trajectory.permutation_null(items.where("false"), "vec_id", "embedding", 3).count() == 0
+
+
+def test_depths_of_odd_parses(spark):
+    rows = [(1, 0, t, max(1, t - 1), "NOUN", "obj") for t in range(1, 301)] + [(2, 0, 10, 12, "NOUN", "a"), (2, 0, 12, 12, "VERB", "ROOT"), (2, 0, 15, 10, "NOUN", "b"), (2, 0, 16, 99, "NOUN", "c"), (2, 1, 1, 1, "NOUN", "d")]
+    got = {r.doc_id: r.parse_depth_mean for r in stylometrics.syntax_features(spark.createDataFrame(rows, "doc_id int, sent int, token int, head int, pos string, dep string")).collect()}
+    assert got == {1: 300.0, 2: 2.0}
+
+
+def test_bootstrap_of_a_constant_and_its_spread(spark):
+    rows = [("a", 1.0)] * 9 + [("b", float(i)) for i in range(50)]
+    got = {r.k: (r.low, r.high) for r in stats.bootstrap_mean(spark.createDataFrame(rows, "k string, v double"), "k", "v").collect()}
+    assert got["a"] == (1.0, 1.0) and 19 < got["b"][0] < 22 and 27 < got["b"][1] < 30
+
+
+def test_selection(spark):
+    a, b = spark.createDataFrame([(1, 5), (None, 1)], "k int, o int"), spark.createDataFrame([(1, 0), (2, 3), (2, 2)], "k int, o int")
+    assert sorted(map(tuple, selection.first_wins([a, b], "k", "o").collect()), key=str) == sorted([(1, 5, 0), (2, 2, 1), (None, 1, 0)], key=str)
+    items = spark.createDataFrame([(i, i % 3) for i in range(31)] + [(99, 9)], "i int, g int")
+    got = items.select("i", "g", selection.partner("i", "g").alias("p")).collect()
+    assert sorted(r.p for r in got) == sorted(r.i for r in got) and all(r.p != r.i for r in got if r.g != 9) and all((r.p % 3 == r.g) for r in got if r.g != 9)
+    cases = selection.shift_cases(items, items.select(F.col("g").alias("h")).distinct(), "g", "h", ["i", "h"], 2, 4)
+    assert len(cases.collect()) == 4
+    with pytest.raises(ValueError):
+        selection.shift_cases(items, items, "g", "g", ["i"], -1)
