@@ -17,7 +17,8 @@ Blocks are formed anew in each pass from the same scan, so the input must read a
 unless ``stable`` says that it is a table. A block that doesn't match its answers raises an error.
 
 Defined results: a null or empty text is one end token; repeated rows count and are scored each time; a null id is hashed as
-empty text; without training texts only the uniform part is left; an empty table gives no rows; other columns are ignored.
+empty text; without training texts only the uniform part is left; where only the learning fold has texts, weights can't be learned: the unigram's
+is 1e-6 and the bigram's 0.5; a very long text is a block of its own; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations

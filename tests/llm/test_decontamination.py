@@ -53,6 +53,12 @@ def test_edge_rows(edge, nothing, benchmark):
     assert sorted(r.doc_id or -1 for r in kept.collect()) == sorted(e[0] or -1 for e in expected if not e[2])
 
 
+def test_blocks_drop_the_same_documents(spark, edge, benchmark):
+    one, many = (sorted(str(r) for r in dc.drop_contaminated(edge, benchmark, block_bytes=n).collect()) for n in (dc.BLOCK_BYTES, 20))
+    assert one == many and len(one) < edge.count()
+    assert rows(dc.find_overlaps(edge, benchmark, block_bytes=20)) == rows(dc.find_overlaps(edge, benchmark))
+
+
 def test_query_equals_sql(spark, sf):
     from quillspark.llm import queries
 
