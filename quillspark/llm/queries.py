@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language, lm, media, packing, pii, quality, repeats, secrets, simhash
+from . import decontamination, language, lm, media, packing, pii, quality, repeats, search, secrets, simhash
 from .base import rid, table
 
 
@@ -75,13 +75,17 @@ def op10_image_descriptors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.find_copies(pictures, id_col="id", image_col="image").withColumnRenamed("id", "vec_id")
 
 
+def op11_sort_accumulation_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_pii_surrogates, op2_cost_packing, op3_deleted_interpolation, op4_wu_manber_decontamination, op5_two_stage_repeats, op6_quality_classifier, op7_language_rank_order, op8_secret_randomness, op9_simhash_pigeonring, op10_image_descriptors)
+    own = (op1_pii_surrogates, op2_cost_packing, op3_deleted_interpolation, op4_wu_manber_decontamination, op5_two_stage_repeats, op6_quality_classifier, op7_language_rank_order, op8_secret_randomness, op9_simhash_pigeonring, op10_image_descriptors, op11_sort_accumulation_search)
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_wu_manber_decontamination": OP4_SQL}
+    return {"op4_wu_manber_decontamination": OP4_SQL, "op11_sort_accumulation_search": OP11_SQL}
 
 
 #: ASCII upper case and lower case.
@@ -109,3 +113,19 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS
        sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)
 """
+
+OP11_SQL = rf"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents
+), b AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark
+), totals AS (SELECT count(*) AS nd, CAST(sum(len(w)) AS BIGINT) AS nt FROM d WHERE len(w) > 0
+), tf AS (SELECT doc_id, any_value(len(w)) AS n, term, count(*) AS tf FROM (SELECT doc_id, w, unnest(w) AS term FROM d) GROUP BY doc_id, term
+), weights AS (SELECT term, CAST(floor(1000 * ln((2 * nd + 2) / (2 * df + 1))) AS BIGINT) AS weight FROM (SELECT term, count(*) AS df FROM tf GROUP BY term), totals
+), scored AS (
+  SELECT item_id, doc_id, CAST(sum(weight * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + ((90 * n * nd) // nt))))) AS BIGINT) AS score
+  FROM b JOIN weights USING (term) JOIN tf USING (term), totals GROUP BY item_id, doc_id
+)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+FROM scored WHERE score > 0 QUALIFY rank <= 10
+"""
