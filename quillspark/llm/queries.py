@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language, lm, media, packing, pii, quality, repeats, search, secrets, simhash
+from . import decontamination, language, lm, media, packing, pii, quality, repeats, search, secrets, simhash, trie
 from .base import rid, table
 
 
@@ -79,13 +79,35 @@ def op11_sort_accumulation_search(spark: SparkSession, sf_dir: str) -> DataFrame
     return search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    convs = turns.select(F.col("conv_id").alias("conv")).where("conv is not null").distinct()
+    built = trie.prefix_trie(_rebuilt(turns, convs), convs=convs)
+    nodes = built.nodes.join(trie.ends_digest(built.ends), "node", "left")
+    return nodes.select(
+        F.col("conv").alias("conv_id"), "depth", F.col("parent_conv").alias("parent_conv_id"), "n_convs", "n_children", "n_leaves",
+        F.col("saved_bytes").alias("saved_tokens"), F.coalesce("digest", F.sha2(F.lit(""), 256)).alias("ends_sha256"),
+    )
+
+
+def _rebuilt(turns: DataFrame, convs: DataFrame) -> DataFrame:
+    """Each conversation c with the first h turns of conversation c - c % 5 for its own first h; h is crc32(c) % 9."""
+    h = F.crc32(F.col("conv").cast("string").cast("binary")) % 9
+    placed = trie.scanned(trie.turns_of(turns, "conv_id", "turn", "role", "text"))
+    heads = placed.where((F.col("conv") % 5 == 0) & (F.col("d") <= 8)).select(F.col("conv").alias("base"), "d", "role", "text")
+    wanted = convs.select("conv", (F.col("conv") - F.col("conv") % 5).alias("base"), h.alias("h"))
+    begun = wanted.join(heads, "base").where("d <= h").select("conv", "d", "role", "text")
+    rows = begun.union(placed.where(F.col("d") > h).select("conv", "d", "role", "text"))
+    return rows.select(F.col("conv").alias("conv_id"), F.col("d").alias("turn"), "role", "text")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_pii_surrogates, op2_cost_packing, op3_deleted_interpolation, op4_wu_manber_decontamination, op5_two_stage_repeats, op6_quality_classifier, op7_language_rank_order, op8_secret_randomness, op9_simhash_pigeonring, op10_image_descriptors, op11_sort_accumulation_search)
+    own = (op1_pii_surrogates, op2_cost_packing, op3_deleted_interpolation, op4_wu_manber_decontamination, op5_two_stage_repeats, op6_quality_classifier, op7_language_rank_order, op8_secret_randomness, op9_simhash_pigeonring, op10_image_descriptors, op11_sort_accumulation_search, op12_prefix_trie)
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_wu_manber_decontamination": OP4_SQL, "op11_sort_accumulation_search": OP11_SQL}
+    return {"op4_wu_manber_decontamination": OP4_SQL, "op11_sort_accumulation_search": OP11_SQL, "op12_prefix_trie": OP12_SQL}
 
 
 #: ASCII upper case and lower case.
@@ -129,3 +151,32 @@ WITH d AS (
 SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
 FROM scored WHERE score > 0 QUALIFY rank <= 10
 """
+
+#: A byte's share of crc32: eight shifts, each with the reversed polynomial if a bit falls out.
+_CRC_BYTE = "list_reduce(list_prepend(xor(crc, byte), range(8)), lambda x, i: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END))"
+_CRC = "xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda s: ascii(s)::BIGINT)), lambda crc, byte: " + _CRC_BYTE + "), 4294967295)"
+
+OP12_SQL = f"""
+WITH own AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS p
+  FROM conversations WHERE conv_id IS NOT NULL
+), convs AS (SELECT conv_id, conv_id - conv_id % 5 AS base, {_CRC} % 9 AS h FROM (SELECT DISTINCT conv_id FROM own)
+), turns AS (
+  SELECT c.conv_id, p, role, text FROM convs c JOIN own o ON o.conv_id = c.base WHERE p <= h
+  UNION ALL SELECT conv_id, p, role, text FROM own JOIN convs USING (conv_id) WHERE p > h
+), placed AS (SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY p) AS d FROM turns
+), whole AS (SELECT conv_id, count(d) AS len, list({{'r': role, 't': text}} ORDER BY d) FILTER (d IS NOT NULL) AS path FROM convs LEFT JOIN placed USING (conv_id) GROUP BY conv_id
+), prefixes AS (
+  SELECT conv_id, len, d, coalesce(path[1:d], []) AS prefix, CASE WHEN d = 0 THEN 0 ELSE octet_length(encode(path[d].t)) END AS bytes
+  FROM (SELECT conv_id, len, path, unnest(generate_series(0, len)) AS d FROM whole)
+), nodes AS (
+  SELECT prefix, d, min(conv_id) AS owner, count(*) AS n, min(bytes) AS bytes, sha256(coalesce(string_agg(conv_id, ',' ORDER BY conv_id) FILTER (len = d), '')) AS ends, max(len) = d AS leaf
+  FROM prefixes GROUP BY prefix, d
+), below AS (
+  SELECT a.prefix AS prefix, sum((b.n - 1) * b.bytes) AS saved, count(*) FILTER (b.leaf) AS leaves, count(*) FILTER (b.d = a.d + 1) AS children
+  FROM nodes a JOIN prefixes p ON p.prefix = a.prefix JOIN nodes b ON b.owner = p.conv_id AND b.d >= a.d GROUP BY a.prefix
+)
+SELECT a.owner AS conv_id, a.d AS depth, u.owner AS parent_conv_id, a.n AS n_convs, CAST(children AS BIGINT) AS n_children, CAST(leaves AS BIGINT) AS n_leaves,
+       CAST(saved AS BIGINT) AS saved_tokens, a.ends AS ends_sha256
+FROM nodes a JOIN below USING (prefix) LEFT JOIN nodes u ON a.d > 0 AND u.prefix = a.prefix[1:a.d - 1] AND u.d = a.d - 1
+"""
