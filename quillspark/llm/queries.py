@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language, lm, media, packing, pii, quality, repeats, search, secrets, simhash, trie
+from . import decontamination, forest, language, lm, media, packing, pii, quality, repeats, search, secrets, simhash, trie
 from .base import rid, table
 
 
@@ -101,13 +101,17 @@ def _rebuilt(turns: DataFrame, convs: DataFrame) -> DataFrame:
     return rows.select(F.col("conv").alias("conv_id"), F.col("d").alias("turn"), "role", "text")
 
 
+def op13_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forest.near_duplicates(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_pii_surrogates, op2_cost_packing, op3_deleted_interpolation, op4_wu_manber_decontamination, op5_two_stage_repeats, op6_quality_classifier, op7_language_rank_order, op8_secret_randomness, op9_simhash_pigeonring, op10_image_descriptors, op11_sort_accumulation_search, op12_prefix_trie)
+    own = (op1_pii_surrogates, op2_cost_packing, op3_deleted_interpolation, op4_wu_manber_decontamination, op5_two_stage_repeats, op6_quality_classifier, op7_language_rank_order, op8_secret_randomness, op9_simhash_pigeonring, op10_image_descriptors, op11_sort_accumulation_search, op12_prefix_trie, op13_lsh_forest)
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_wu_manber_decontamination": OP4_SQL, "op11_sort_accumulation_search": OP11_SQL, "op12_prefix_trie": OP12_SQL}
+    return {"op4_wu_manber_decontamination": OP4_SQL, "op11_sort_accumulation_search": OP11_SQL, "op12_prefix_trie": OP12_SQL, "op13_lsh_forest": OP13_SQL}
 
 
 #: ASCII upper case and lower case.
@@ -180,3 +184,18 @@ SELECT a.owner AS conv_id, a.d AS depth, u.owner AS parent_conv_id, a.n AS n_con
        CAST(saved AS BIGINT) AS saved_tokens, a.ends AS ends_sha256
 FROM nodes a JOIN below USING (prefix) LEFT JOIN nodes u ON a.d > 0 AND u.prefix = a.prefix[1:a.d - 1] AND u.d = a.d - 1
 """
+
+OP13_SQL = rf"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), grams AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 1], ' ') AS g FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(1, len(w) - 1))) AS i FROM d WHERE len(w) > 0)
+), sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id
+), links AS (
+  SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS n FROM grams x JOIN grams y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY 1, 2) p
+  JOIN sizes s ON s.doc_id = a JOIN sizes t ON t.doc_id = b WHERE 100 * p.n >= 80 * (s.n + t.n - p.n)
+), reach AS (SELECT doc_id, doc_id AS other FROM d UNION SELECT reach.doc_id, links.b FROM reach JOIN links ON reach.other = links.a
+), least AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
+SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id, d.doc_id = component_id AS kept
+FROM d JOIN least USING (doc_id) LEFT JOIN sizes USING (doc_id)
+"""
