@@ -10,8 +10,9 @@ before and behind, whose common prefix is the longest, are tried besides. Trying
 and pairs estimated five deviations below the threshold or more go on.
 
 Links are found in two turns, so that a dense group costs about its size: first each node's two most similar candidates of each region are
-confirmed on the full sets, and the links give components; then nodes that were candidates are tried again, and all pairs of different components
-are confirmed. Components are found by joins.
+confirmed on the full sets, and the links give components. Then the nodes that were candidates are tried again for pairs of different components;
+those that have such a pair come with their whole set (hashes of 32 bits; a sample by hash where it has over 2,048) into the regions, where all these pairs are compared
+in memory, and what may still be similar is confirmed. So of a group of many nodes just below the threshold no pair leaves its region. Components are found by joins.
 
 Two sets of similarity 0.8 miss each other in an order's region of depth k with probability 1 - 0.8 ** k, so in all 24 at depth 1, 2, 3, 4 with 2e-17, 2e-11,
 3e-8, 3e-6, if the estimate keeps them (all but about one in a million). Regions are of depth 1 or 2 up to some millions of documents.
@@ -23,7 +24,7 @@ ids; an empty table gives an empty result; very long texts are taken whole; othe
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -52,6 +53,8 @@ _OWN = _SEEDS.permutation(MINIMA)
 PLACES = np.array([(own := _OWN[OWN * o : OWN * o + OWN]).tolist() + _SEEDS.permutation(np.setdiff1d(np.arange(MINIMA), own))[: DEPTH - OWN].tolist() for o in range(ORDERS)])
 #: Equal sketch places needed of the first 16 and of all: five deviations below what similarity 0.8 gives, chance matches included.
 _FIRST, _ALL = 5, 82
+#: Most hashes of a set that come into a region, and the similarity of samples from which a pair goes on: five deviations below the threshold.
+SAMPLED, SAMPLE_BAR = 2048, 0.75
 _FILE = ["ord", "key", "node", "n", "sketch"]
 _KIND = "ord int, key binary, node bigint, n bigint, sketch binary"
 
@@ -195,6 +198,38 @@ class Rows:
         return self.node[held >> (width + 8)], self.node[order[held & ((1 << width) - 1)]]
 
 
+def sampled(a: np.ndarray) -> tuple[int, np.ndarray]:
+    """How many low bits must be zero in the sample of a set, and the sample: 32 bits of each hash, all of them if the set is not too large."""
+    level = max(0, -(-len(a) // SAMPLED) - 1).bit_length()
+    short = a.astype(np.uint32)
+    return level, short[short & np.uint32((1 << level) - 1) == 0]
+
+
+def alike(samples: list[tuple[int, np.ndarray]], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which pairs of rows may be similar by their samples: a set's hashes mark a table of 65,536 by their upper half, in which its partners' are looked up. Nothing similar fails."""
+    out = np.zeros(len(a), bool)
+    order = np.argsort(a, kind="stable")
+    first = np.flatnonzero(np.append(True, a[order][1:] != a[order][:-1])) if len(a) else order
+    table = np.zeros(1 << 16, bool)
+    for x, y in zip(first.tolist(), np.append(first[1:], len(a)).tolist(), strict=True):
+        level, own = samples[a[order[x]]]
+        table[own >> np.uint32(16)] = True
+        for at in range(x, y, 512):
+            some = order[at : min(y, at + 512)]
+            levels = np.array([samples[i][0] for i in b[some].tolist()])
+            size = np.array([len(samples[i][1]) for i in b[some].tolist()])
+            other = np.concatenate([samples[i][1] for i in b[some].tolist()])
+            both = np.maximum(levels, level)
+            inside = other & np.repeat((1 << both) - 1, size).astype(np.uint32) == 0 if both.any() else np.ones(len(other), bool)
+            counts = np.stack([np.append(0, np.cumsum(c))[np.append(0, np.cumsum(size))] for c in (inside, inside & table[other >> np.uint32(16)])])
+            theirs, shared = np.diff(counts, axis=1)
+            mine = np.array([int((own & np.uint32((1 << k) - 1) == 0).sum()) for k in range(int(both.max()) + 1)])[both]
+            bar = np.where(both > 0, SAMPLE_BAR, PART / WHOLE)
+            out[some] = shared >= bar * (mine + theirs - shared) - 1e-9
+        table[own >> np.uint32(16)] = False
+    return out
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     """A binary column of equal lengths as one array of bytes."""
     _, offsets, data = column.buffers()
@@ -207,15 +242,39 @@ def _pairs(a: np.ndarray, b: np.ndarray) -> list[pa.Array]:
     return [pa.array(np.ascontiguousarray(both[:, i])) for i in range(2)]
 
 
-def candidates(nodes: DataFrame, roots: DataFrame | None = None) -> DataFrame:
-    """Pairs (a, b), a < b, of nodes (node, n, signature) that may be similar: each row's best, or with roots (node, root) all whose roots differ.
+def best_pairs(columns: list[pa.Array]) -> list[pa.Array]:
+    return _pairs(*Rows(columns).best())
+
+
+def open_nodes(columns: list[pa.Array]) -> list[pa.Array]:
+    """Nodes that have a candidate of another root; as pairs of one."""
+    rows, root = Rows(columns), columns[5].to_numpy()
+    found = [np.unique(np.concatenate([x[apart], y[apart]])) for x, y, _ in rows.tried() for apart in [root[x] != root[y]]]
+    node = rows.node[np.unique(np.concatenate([np.zeros(0, np.int64), *found]))]
+    return [pa.array(node), pa.array(node)]
+
+
+def pairs_across(columns: list[pa.Array]) -> list[pa.Array]:
+    """Pairs of different roots that may be similar by their samples."""
+    rows, root = Rows(columns), columns[5].to_numpy()
+    samples = [(x[0], np.frombuffer(x, np.uint32, offset=4)) for x in columns[6].to_pylist()]
+    found = []
+    for x, y, _ in rows.tried():
+        apart = root[x] != root[y]
+        x, y = x[apart], y[apart]
+        good = alike(samples, x, y)
+        found.append((rows.node[x[good]], rows.node[y[good]]))
+    return _pairs(*[np.concatenate(c) for c in zip((np.zeros(0, np.int64),) * 2, *found, strict=True)])
+
+
+def candidates(nodes: DataFrame, met: Callable[[list[pa.Array]], list[pa.Array]] = best_pairs) -> DataFrame:
+    """Distinct pairs (a, b) that ``met`` finds among rows that are handled at once. nodes: node, n, signature, and what more a row should carry (root, then sample).
 
     The rows of all orders are sorted in ranges. A task handles its rows some thousands at a time, neighbouring turns sharing a region's rows. What
     is near a border goes to a second job; one row a partition tells the driver how many rows it has.
     """
-    if roots is not None:
-        nodes = nodes.join(roots, "node")
-    more, kind = (["root"], ", root bigint") if roots is not None else ([], "")
+    more = [c for c in nodes.columns if c not in ("node", "n", "signature")]
+    kind = "".join(f", {c} {nodes.schema[c].dataType.simpleString()}" for c in more)
 
     def file(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -228,16 +287,8 @@ def candidates(nodes: DataFrame, roots: DataFrame | None = None) -> DataFrame:
                 each = pa.array(np.repeat(np.arange(n), ORDERS))
                 yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(ORDERS, dtype=np.int32), n)), key, *[c.take(each) for c in (part.column(0), part.column(1), sketch, *part.columns[3:])]], [*_FILE, *more])
 
-    def met(rows: list[pa.Array]) -> list[pa.Array]:
-        own = Rows(rows)
-        if not more:
-            return _pairs(*own.best())
-        root = rows[5].to_numpy()
-        found = [(own.node[a], own.node[b]) for x, y, _ in own.tried() for a, b in [(x[root[x] != root[y]], y[root[x] != root[y]])]]
-        return _pairs(*[np.concatenate(c) for c in zip((np.zeros(0, np.int64),) * 2, *found, strict=True)])
-
     wide = [*_FILE, *more]
-    kinds = [pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), *[pa.int64() for _ in more]]
+    kinds = [pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), *[pa.binary() if c == "sample" else pa.int64() for c in more]]
     blank = lambda n, types: [pa.nulls(n, t) for t in types]
 
     def walk(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -315,23 +366,28 @@ def _flat(c: pa.ChunkedArray) -> pa.Array:
     return c if isinstance(c, pa.Array) else c.chunk(0) if c.num_chunks else pa.array([], c.type)
 
 
-def confirmed(pairs: DataFrame, nodes: DataFrame, src: DataFrame) -> DataFrame:
-    """The pairs (a, b) that are similar on their full sets, made from texts again. nodes: node, text_hash; src: text_hash, text."""
-    wanted = stage(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "text_hash"), "node"), "wanted")
+def _made(wanted: DataFrame, src: DataFrame, make: Callable[[np.ndarray], bytes]) -> DataFrame:
+    """node, made: bytes made of the set of each wanted node (node, text_hash), from its text again. src: text_hash, text. A staged table."""
 
     def grams(b: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([b.column(0), pa.array([s.tobytes() for s in sets_of(b.column(1))], pa.binary())], ["text_hash", "grams"])
+        return pa.RecordBatch.from_arrays([b.column(0), pa.array([make(s) for s in sets_of(b.column(1))], pa.binary())], ["text_hash", "made"])
 
     keys = wanted.select("text_hash")
     some = src.where(hit(src, "text_hash", keys)).join(keys, "text_hash", "left_semi").groupBy("text_hash").agg(F.first("text").alias("text"))
-    full = stage(narrow(some.select("text_hash", "text"), grams, "text_hash bigint, grams binary").join(wanted, "text_hash").select("node", "grams"), "sets")
+    return stage(narrow(some.select("text_hash", "text"), grams, "text_hash bigint, made binary").join(wanted, "text_hash").select("node", "made"), "sets")
+
+
+def confirmed(pairs: DataFrame, nodes: DataFrame, src: DataFrame) -> DataFrame:
+    """The pairs (a, b) that are similar on their full sets. nodes: node, text_hash; src: text_hash, text."""
+    wanted = stage(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "text_hash"), "node"), "wanted")
+    full = _made(wanted, src, lambda s: s.tobytes())
 
     def verify(b: pa.RecordBatch) -> pa.RecordBatch:
         same = [similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
         keep = pa.array(same, pa.bool_())
         return pa.RecordBatch.from_arrays([b.column(i).filter(keep) for i in range(2)], ["a", "b"])
 
-    x, y = (full.select(F.col("node").alias(s), F.col("grams").alias(f"grams_{s}")) for s in "ab")
+    x, y = (full.select(F.col("node").alias(s), F.col("made").alias(f"grams_{s}")) for s in "ab")
     out = stage(narrow(pairs.join(x, "a").join(y, "b").select("a", "b", "grams_a", "grams_b"), verify, "a bigint, b bigint"), "links")
     unstage(wanted, full)
     return out
@@ -370,7 +426,11 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     links = confirmed(tried, nodes, src)
     roots = components(links)
     again = stage(tried.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root")), "again")
-    across = stage(candidates(nodes, again).join(tried, ["a", "b"], "left_anti"), "across")
+    rooted = nodes.join(again, "node").select("node", "n", "signature", "root")
+    apart = stage(candidates(rooted, open_nodes).select(F.col("a").alias("node")).join(nodes.select("node", "text_hash"), "node"), "apart")
+    samples = _made(apart, src, lambda s: (lambda level, short: np.uint32(level).tobytes() + short.tobytes())(*sampled(s)))
+    full = rooted.join(samples.withColumnRenamed("made", "sample"), "node").select("node", "n", "signature", "root", "sample")
+    across = stage(candidates(full, pairs_across).join(tried, ["a", "b"], "left_anti"), "across")
     if across.limit(1).count():
         more = confirmed(across, nodes, src)
         if more.limit(1).count():

@@ -126,6 +126,23 @@ def test_estimates_keep_what_is_similar():
     assert high > 300 and lost == 0 and low > 300 and kept <= low // 50
 
 
+def test_samples_keep_what_is_similar():
+    """Sets within the region as they are, or by sample where they are large or of two levels: nothing similar fails, little else passes."""
+    rng = np.random.default_rng(6)
+    for n, change in ((100, 0.1), (2000, 0.11), (2047, 0.11), (5000, 0.11), (9000, 0.11), (300, 0.2), (6000, 0.3)):
+        a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+        others = [np.unique(np.append(np.where(rng.random(len(a)) < change, rng.integers(0, 1 << 63, len(a), dtype=np.uint64), a), rng.integers(0, 1 << 63, k, dtype=np.uint64))) for k in (0, 2, n // 40)]
+        sets = [a, *others]
+        samples = [forest.sampled(x) for x in sets]
+        assert all(len(x) <= 1.2 * forest.SAMPLED for _, x in samples)
+        got = forest.alike(samples, np.zeros(3, int), np.arange(1, 4))
+        for x, good in zip(others, got.tolist(), strict=True):
+            both = len(np.intersect1d(a, x))
+            j = both / (len(a) + len(x) - both)
+            assert good or j < 0.8
+            assert not good or j > 0.7
+
+
 def test_orders_begin_with_places_of_their_own():
     first = forest.PLACES[:, : forest.OWN].ravel()
     assert len(set(first.tolist())) == len(first) and all(len(set(p)) == forest.DEPTH for p in forest.PLACES.tolist())
