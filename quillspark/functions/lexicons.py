@@ -37,3 +37,21 @@ LEAKS = ["thinking process:", "reasoning:", "analysis:", "chain of thought:", "1
 
 # Labels of failed cases, in order.
 FAILURES = ["semantic_drift", "target_miss", "length_guardrail", "lexical_overlap", "stalled_revision"]
+
+# Fixed values of the parser by rules: articles, subordinators with the clause they open, endings of verbs.
+DETERMINERS = set("el la los las un una unos unas the a an der die das ein eine le les une".split())
+SUBORDINATORS = {w: "ccomp" for w in "que that dass qu".split()} | {w: "advcl" for w in "si cuando porque aunque mientras if when because although while wenn weil obwohl quand lorsque".split()}
+VERB_ENDING = "(ar|er|ir|ando|iendo|aba|ed|ing|ten|ent)$"
+
+# What goes from a chapter page before its text is read, in this order.
+CHAPTER_NOISE = [
+    r"(?s)<h3[^>]*>.*?</h3>",
+    r'(?s)<p[^>]*class="[^"]*derecha[^"]*"[^>]*>.*?</p>',
+    r'(?s)<p[^>]*class="centrado"[^>]*>\s*\*\s*\*\s*\*\s*</p>',
+    r"(?s)<p[^>]*>\s*\(\*Nota edici[oó]n epub:.*?\).*?</p>",
+    r"(?s)<p[^>]*>\s*</p>",
+]
+
+# Paragraphs of visible reasoning before an answer, and a comment after it.
+REASONING_PREFIX = r"^(?iu)(?:\s*(?:\*{0,2}\s*)?(?:(?:thinking process|reasoning|analysis|chain of thought|an[áa]lisis|comentario|commentary|nota|note|cambios realizados|changes made)\s*:\s*(?:\*{0,2}\s*)?[^\n]*?\n\s*\n|[0-9]+\.\s+\*\*?analyze\*\*?)\n?)+"
+COMMENT_SUFFIX = r"(?isu)\n\s*\n((?:\*\*)?\s*(?:nota|note|notes|explicaci[oó]n|explanation|comentario|commentary|justificaci[oó]n|justification|cambios realizados|changes made)\s*:\s*(?:\*\*)?).*$"

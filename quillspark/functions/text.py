@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import lexicons as L
+from .entities import unescape
 
 WORD = "[a-záéíóúüñàâçèêëîïôùûœæ]+"
 TOKEN = r"[\p{L}\p{N}_]+"
@@ -58,13 +59,6 @@ def occurrences(c: Column, *marks: str) -> Column:
     return total.cast("long")
 
 
-def _entities(c: Column) -> Column:
-    """The named entities that occur in practice, and & last."""
-    for name, char in (("&nbsp;", "\xa0"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&copy;", "©"), ("&middot;", "·"), ("&mdash;", "—"), ("&ndash;", "–"), ("&hellip;", "…"), ("&amp;", "&")):
-        c = F.replace(c, F.lit(name), F.lit(char))
-    return c
-
-
 def _body(c: Column) -> Column:
     inner = F.regexp_extract(c, r"(?s)<body[^>]*>(.*)</body>", 1)
     return F.when(c.rlike(r"(?s)<body[^>]*>.*</body>"), inner)
@@ -76,11 +70,11 @@ def _trim_lines(c: Column) -> Column:
 
 def html_to_text(c: Column) -> Column:
     """Prose of a chapter page: headings, navigation, star lines and editors' notes go, blocks become paragraphs."""
-    for pattern in (r"(?s)<h3[^>]*>.*?</h3>", r'(?s)<p[^>]*class="[^"]*derecha[^"]*"[^>]*>.*?</p>', r'(?s)<p[^>]*class="centrado"[^>]*>\s*\*\s*\*\s*\*\s*</p>', r"(?s)<p[^>]*>\s*\(\*Nota edici[oó]n epub:.*?\).*?</p>", r"(?s)<p[^>]*>\s*</p>"):
+    for pattern in L.CHAPTER_NOISE:
         c = F.regexp_replace(c, pattern, "")
     c = F.coalesce(_body(c), c)
     c = F.regexp_replace(F.regexp_replace(c, r"<br\s*/?>", "\n"), r"</(?:p|div|blockquote)>", "\n\n")
-    return _trim_lines(_entities(F.regexp_replace(c, r"<[^>]+>", "")))
+    return _trim_lines(unescape(F.regexp_replace(c, r"<[^>]+>", "")))
 
 
 def html_main_text(c: Column) -> Column:
@@ -88,19 +82,19 @@ def html_main_text(c: Column) -> Column:
     c = F.regexp_replace(c, r"(?s)<!--.*?-->", "")
     for tag in ("script", "style", "nav", "header", "footer"):
         c = F.regexp_replace(c, rf"(?s)<{tag}(?:\s[^>]*)?>.*?</{tag}>", "")
-    c = _entities(F.regexp_replace(c, r"<[^>]+>", "\n"))
+    c = unescape(F.regexp_replace(c, r"<[^>]+>", "\n"))
     return strip(F.regexp_replace(F.regexp_replace(c, r"\n\s*\n", "\n\n"), " +", " "))
 
 
 def html_epigraph(c: Column) -> Column:
     inner = F.regexp_replace(F.coalesce(_body(c), F.lit("")), r"(?s)<h2[^>]*>.*?</h2>", "")
-    inner = _entities(F.regexp_replace(F.regexp_replace(inner, r"<br\s*/?>", "\n"), r"<[^>]+>", ""))
+    inner = unescape(F.regexp_replace(F.regexp_replace(inner, r"<br\s*/?>", "\n"), r"<[^>]+>", ""))
     return strip(F.regexp_replace(F.regexp_replace(inner, r"[ \t]+", " "), r"\n[ \t]+", "\n"))
 
 
 def extract_sequence(c: Column) -> Column:
     """Whole numbers, in order, of lines that hold three or more."""
-    plain = _entities(F.regexp_replace(F.coalesce(_body(c), c), r"<[^>]+>", " "))
+    plain = unescape(F.regexp_replace(F.coalesce(_body(c), c), r"<[^>]+>", " "))
     lines = F.filter(F.transform(F.split(plain, "\n"), lambda s: pieces(s, "[0-9]+")), lambda a: F.size(a) >= 3)
     return F.transform(F.flatten(lines), lambda s: s.cast("long"))
 
@@ -170,24 +164,20 @@ def leak_flag(c: Column) -> Column:
     return F.coalesce(out, F.lit(False))
 
 
-_PREFIX = r"^(?iu)(?:\s*(?:\*{0,2}\s*)?(?:(?:thinking process|reasoning|analysis|chain of thought|an[áa]lisis|comentario|commentary|nota|note|cambios realizados|changes made)\s*:\s*(?:\*{0,2}\s*)?[^\n]*?\n\s*\n|[0-9]+\.\s+\*\*?analyze\*\*?)\n?)+"
-_SUFFIX = r"(?isu)\n\s*\n((?:\*\*)?\s*(?:nota|note|notes|explicaci[oó]n|explanation|comentario|commentary|justificaci[oó]n|justification|cambios realizados|changes made)\s*:\s*(?:\*\*)?).*$"
-
-
 def strip_prefix(c: Column) -> Column:
     """Without leading paragraphs of visible reasoning."""
-    return strip(F.regexp_replace(strip(c), _PREFIX, ""))
+    return strip(F.regexp_replace(strip(c), L.REASONING_PREFIX, ""))
 
 
 def strip_suffix(c: Column) -> Column:
     """Without a trailing comment after a blank line, unless nothing else is left."""
-    cut = F.regexp_replace(F.regexp_replace(c, _SUFFIX, ""), r"\s+$", "")
+    cut = F.regexp_replace(F.regexp_replace(c, L.COMMENT_SUFFIX, ""), r"\s+$", "")
     return F.when(cut != "", strip(cut)).otherwise(strip(c))
 
 
 def suffix_marker(c: Column) -> Column:
-    cut = F.regexp_replace(F.regexp_replace(c, _SUFFIX, ""), r"\s+$", "")
-    return F.when(c.rlike(_SUFFIX) & (cut != ""), strip(F.regexp_extract(c, _SUFFIX, 1)))
+    cut = F.regexp_replace(F.regexp_replace(c, L.COMMENT_SUFFIX, ""), r"\s+$", "")
+    return F.when(c.rlike(L.COMMENT_SUFFIX) & (cut != ""), strip(F.regexp_extract(c, L.COMMENT_SUFFIX, 1)))
 
 
 def normalize_output(c: Column) -> Column:

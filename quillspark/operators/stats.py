@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.special import correlation_p
 from .matrix import pearson
 
 
@@ -22,6 +23,33 @@ def spearman(df: DataFrame, x: str, y: str, keys: list[str] | None = None) -> Da
     return ranked.groupBy(*keys).agg(pearson("__x", "__y").alias("rho"), F.count("*").alias("n"))
 
 
+def correlation_tests(df: DataFrame, x: str, y: str, keys: list[str]) -> DataFrame:
+    """keys, n, rho and r with their two-sided p-values; null for a constant column, p also for fewer than three pairs.
+
+    Rows are counted by pair of values first. Ranks come from running counts of distinct values, so an ordinal scale has a few rows to sort, whatever the number of pairs.
+    """
+    pairs = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*keys, x, y).agg(F.count("*").alias("__c"))
+    for c in (x, y):
+        upto = Window.partitionBy(*keys).orderBy(c).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        one = pairs.groupBy(*keys, c).agg(F.sum("__c").alias("__m"))
+        rank = one.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col(c).alias("__v"), (F.sum("__m").over(upto) - (F.col("__m") - 1) / 2).alias(f"__r_{c}"))
+        same = [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)]
+        pairs = pairs.join(rank, [*same, F.col(c) == F.col("__v")]).drop("__v", *[f"__k{i}" for i in range(len(keys))])
+    total = pairs.groupBy(*keys).agg(F.sum("__c").alias("n"), *[(F.sum(F.col("__c") * F.col(c)) / F.sum("__c")).alias(f"__m_{c}") for c in (x, y)])
+    both = pairs.join(total.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], "n", f"__m_{x}", f"__m_{y}"), [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)])
+
+    def r(a: Column, b: Column) -> Column:
+        s = lambda p, q: F.sum(F.col("__c") * p * q)
+        return F.try_divide(s(a, b), F.nullif(F.sqrt(s(a, a)) * F.sqrt(s(b, b)), F.lit(0.0)))
+
+    middle = (F.col("n") + 1) / 2  # the mean of all ranks
+    rho = r(F.col(f"__r_{x}") - middle, F.col(f"__r_{y}") - middle)
+    plain = r(F.col(x) - F.col(f"__m_{x}"), F.col(y) - F.col(f"__m_{y}"))
+    g = both.groupBy(*keys, "n").agg(rho.alias("rho"), plain.alias("r"))
+    bound = lambda c: F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col(c)))
+    return g.select(*keys, "n", "rho", correlation_p(bound("rho"), F.col("n")).alias("rho_p"), "r", correlation_p(bound("r"), F.col("n")).alias("r_p"))
+
+
 def mantel(pairs: DataFrame, scales: list[str]) -> DataFrame:
     """scale_a, scale_b, rho between the distance columns of a table of pairs."""
     ranked = pairs.select(*[average_rank(s).alias(s) for s in scales])

@@ -28,6 +28,27 @@ def spearman(read):
     return rounded(S.spearman(raters(read), "a", "b", ["dim"]))
 
 
+def _p_sql(r: str) -> str:
+    """1 - I(r^2; 1/2, (n - 2) / 2), by the power series of the incomplete beta function, term by term in logarithms."""
+    z, b = f"({r} * {r})", "((n - 2) / 2.0)"
+    front = f"0.5 * ln({z}) + {b} * ln(1 - {z}) - ln(0.5) + lgamma(0.5 + {b}) - lgamma(0.5) - lgamma({b})"
+    term = f"lgamma(1.5) + lgamma(0.5 + {b} + k + 1) - lgamma(k + 2.5) - lgamma(0.5 + {b}) + (k + 1) * ln({z})"
+    return f"1 - (exp({front}) + list_sum(list_transform(range(0, 400), lambda k: exp({front} + {term}))))"
+
+
+_WEAK = "wk AS (SELECT l_linenumber AS dim, 'discount' AS other, CAST(l_quantity AS DOUBLE) AS a, CAST(l_discount AS DOUBLE) AS b FROM lineitem UNION ALL SELECT l_linenumber, 'tax', CAST(l_quantity AS DOUBLE), CAST(l_tax AS DOUBLE) FROM lineitem)"
+
+
+@query(f"""WITH {_WEAK}, rk AS (SELECT dim, other, a, b, rank() OVER (PARTITION BY dim, other ORDER BY a) + (count(*) OVER (PARTITION BY dim, other, a) - 1) / 2.0 AS ra, rank() OVER (PARTITION BY dim, other ORDER BY b) + (count(*) OVER (PARTITION BY dim, other, b) - 1) / 2.0 AS rb FROM wk),
+g AS (SELECT dim, other, count(*) AS n, corr(ra, rb) AS rho, corr(a, b) AS r FROM rk GROUP BY dim, other)
+SELECT dim, other, n, round(rho, 6) AS rho, round({_p_sql('rho')}, 6) AS rho_p, round(r, 6) AS r, round({_p_sql('r')}, 6) AS r_p FROM g""")
+def spearman_p(read):
+    """Correlations with p-values of columns that hardly depend on each other."""
+    d = read("lineitem").select(F.col("l_linenumber").alias("dim"), F.col("l_quantity").cast("double").alias("a"), *[F.col(f"l_{c}").cast("double").alias(c) for c in ("discount", "tax")])
+    each = d.select("dim", "a", F.inline(F.array(*[F.struct(F.lit(c).alias("other"), F.col(c).alias("b")) for c in ("discount", "tax")])))
+    return rounded(S.correlation_tests(each, "a", "b", ["dim", "other"]))
+
+
 @query(f"WITH {RATERS} SELECT dim, round(corr(a, b), 6) AS r FROM ra GROUP BY dim")
 def pearson(read):
     return rounded(raters(read).groupBy("dim").agg(matrix.pearson("a", "b").alias("r")))

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import audit, dataset, matrix, stylometrics
-from ..functions import text as X
+from ..functions import lexicons as L
+from ..operators import audit, dataset, matrix, parsing, stylometrics
 from .registry import query, rounded
 from .texts import STYLE_COLS, STYLE_SQL
 
@@ -180,18 +180,27 @@ def source_selection(read):
     return chosen.select("work", "segment", F.col("start").cast("long").alias("start"))
 
 
-_SYNTAX = r"""tok AS (SELECT doc_id, unnest(w) AS word, unnest(generate_series(1, len(w))) AS token FROM (SELECT doc_id, regexp_extract_all(text, '\S+') AS w FROM documents))"""
+def _one_of(words) -> str:
+    return "(" + ", ".join(f"'{w}'" for w in sorted(words)) + ")"
 
 
-@query(rf"""WITH {_SYNTAX}, n AS (SELECT doc_id, floor(log2(max(token))) + 1 AS d FROM tok GROUP BY doc_id),
-r AS (SELECT doc_id, count(*) FILTER (WHERE length(word) % 3 = 0) AS v, count(*) FILTER (WHERE length(word) % 3 = 0 AND token % 2 = 0) AS s FROM tok GROUP BY doc_id)
-SELECT doc_id, round(CAST(d AS DOUBLE), 6) AS parse_depth_mean, round(CASE WHEN v > 0 THEN s / CAST(v AS DOUBLE) ELSE 0 END, 6) AS subordinate_ratio FROM n JOIN r USING (doc_id)""")
+#: The parser by rules in SQL: a row a token with its head, then every token walks to its root.
+_SYNTAX = rf"""st AS (SELECT doc_id, unnest(s) AS s, unnest(generate_series(1, len(s))) AS sent FROM (SELECT doc_id, string_split(regexp_replace(text, '([.!?…])[ \t\n\r\f\v]+', '\1' || chr(1), 'g'), chr(1)) AS s FROM documents)),
+w AS (SELECT doc_id, sent, unnest(x) AS word, unnest(generate_series(1, len(x))) AS i, len(x) AS n FROM (SELECT doc_id, sent, regexp_extract_all(lower(s), '[\p{{L}}\p{{N}}_]+') AS x FROM st) WHERE len(x) > 0),
+p AS (SELECT *, CASE WHEN word IN {_one_of(L.DETERMINERS)} THEN 'DET' WHEN word IN {_one_of(L.SUBORDINATORS)} THEN 'SCONJ' WHEN length(word) > 3 AND regexp_matches(word, '{L.VERB_ENDING}') THEN 'VERB' ELSE 'NOUN' END AS pos FROM w),
+q AS (SELECT *, max(CASE WHEN pos = 'VERB' THEN i END) OVER (PARTITION BY doc_id, sent ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before, coalesce(min(CASE WHEN pos = 'VERB' THEN i END) OVER (PARTITION BY doc_id, sent), 1) AS root,
+  max(CASE WHEN pos = 'SCONJ' THEN i END) OVER (PARTITION BY doc_id, sent ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS mark FROM p),
+tok AS (SELECT doc_id, sent, i, pos, CASE WHEN i = root THEN i WHEN pos = 'VERB' THEN before WHEN pos IN ('DET', 'SCONJ') THEN CASE WHEN i < n THEN i + 1 ELSE coalesce(before, root) END ELSE coalesce(before, root) END AS head, pos = 'VERB' AND i <> root AND mark > before AS sub FROM q),
+walk AS (SELECT doc_id, sent, i, head AS up, 1 AS far FROM tok UNION ALL SELECT walk.doc_id, walk.sent, walk.i, tok.head, far + 1 FROM walk JOIN tok ON tok.doc_id = walk.doc_id AND tok.sent = walk.sent AND tok.i = walk.up WHERE tok.head <> walk.up),
+deep AS (SELECT doc_id, sent, i, max(CASE WHEN up = i THEN 1 ELSE far + 1 END) AS d FROM walk GROUP BY doc_id, sent, i)"""
+
+
+@query(f"""WITH RECURSIVE {_SYNTAX}
+SELECT doc_id, parse_depth_mean, subordinate_ratio FROM (SELECT doc_id, round(avg(d), 6) AS parse_depth_mean FROM (SELECT doc_id, sent, max(d) AS d FROM deep GROUP BY doc_id, sent) GROUP BY doc_id)
+JOIN (SELECT doc_id, round(coalesce(count(*) FILTER (WHERE sub) / nullif(count(*) FILTER (WHERE pos = 'VERB'), 0), 0), 6) AS subordinate_ratio FROM tok GROUP BY doc_id) USING (doc_id)""")
 def syntax_features(read):
-    """Stands in for a parser: a parse table in which each of a document's words hangs on that at half its place."""
-    d = read("documents").select("doc_id", F.posexplode(X.chunks(F.col("text"))).alias("i", "word"))
-    token = F.col("i") + 1
-    parse = d.select("doc_id", F.lit(0).alias("sent"), token.alias("token"), F.greatest(F.lit(1), F.floor(token / 2).cast("int")).alias("head"), F.when(F.length("word") % 3 == 0, "VERB").otherwise("NOUN").alias("pos"), F.when(token % 2 == 0, "ccomp").otherwise("obj").alias("dep"))
-    return rounded(stylometrics.syntax_features(parse))
+    """Depth and subordination of the parses that the parser by rules gives."""
+    return rounded(stylometrics.syntax_features(parsing.parse(read("documents").select("doc_id", "text"), "text", keep=["doc_id"])))
 
 
 @query("""WITH b AS (SELECT doc_id, count(*) AS n FROM (SELECT doc_id FROM labels UNION ALL SELECT doc_id FROM labels WHERE doc_id % 50 = 0 UNION ALL SELECT -1) GROUP BY doc_id)

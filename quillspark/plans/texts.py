@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicons as L
 from ..functions import text as X
+from ..functions.entities import unescape
 from ..operators import dataset, scoring, stylometrics
 from ..operators.backends import dry_run
 from .registry import query, rounded
@@ -178,6 +179,22 @@ def _main(read):
     return read("pages").select("page_id", X.html_main_text(F.col("html")).alias("text"))
 
 
+@query(f"SELECT page_id, md5({_unescape('html')}) AS digest FROM pages")
+def html_unescape(read):
+    return read("pages").select("page_id", F.md5(unescape(F.col("html"))).alias("digest"))
+
+
+@query("SELECT doc_id, md5(text) AS digest FROM documents")
+def entity_round_trip(read):
+    """Texts escaped in all forms that a reference may have, and decoded again."""
+    t = F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    for char, reference in (("á", "&aacute;"), ("é", "&#233;"), ("í", "&#xED;"), ("ó", "&#x000f3;"), ("ü", "&uuml;"), ("ß", "&szlig;"), ("ç", "&#0231;"), (",", "&comma;")):
+        t = F.replace(t, F.lit(char), F.lit(reference))
+    for char, name in (("ñ", "&ntilde"), ("è", "&egrave"), ("ä", "&auml"), ("ö", "&#246")):
+        t = F.regexp_replace(t, f"{char}(?![;0-9])", name)
+    return read("documents").select("doc_id", F.md5(unescape(t)).alias("digest"))
+
+
 @query(f"SELECT page_id, {MAIN_SQL} AS text FROM pages")
 def html_main_text(read):
     return _main(read)
