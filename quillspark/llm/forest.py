@@ -1,7 +1,7 @@
 """Near copies by an LSH forest of MinHash signatures.
 
-A document's set holds 64-bit hashes of its distinct shingles of two words; equal sets are one node. A node's signature has 128 minima of 16 bits. It is
-filed in 24 orders, each a fixed choice of places of the signature whose first four no other order begins with. Within an order, nodes
+A document's set holds 64-bit hashes of its distinct shingles of two words; equal sets are one node. A node's signature has 96 minima of 16 bits. It is
+filed in 20 orders, each a fixed choice of places of the signature whose first four no other order begins with. Within an order, nodes
 are sorted by their minima, one after the other, and range-partitioned; rows near a border meet their neighbours across it in a second, small job.
 
 Candidates have a long common prefix: a node's region is the first depth at which at most ``REGION`` nodes of its order share all minima so far, deeper
@@ -9,13 +9,14 @@ where the data are dense, and all pairs of a region are tried; where the first m
 before and behind, whose common prefix is the longest, are tried besides. Trying is in memory: sizes must fit, then four bits of each minimum estimate the similarity,
 and pairs estimated five deviations below the threshold or more go on.
 
-Links are found in two turns, so that a dense group costs about its size: first each node's two most similar candidates of each region are
+Links are found in turns, so that a dense group costs about its size: first each node's two most similar candidates of all orders are
 confirmed on the full sets, and the links give components. Then the nodes that were candidates are tried again for pairs of different components;
 those that have such a pair come with their whole set (hashes of 32 bits; a sample by hash where it has over 2,048) into the regions, where all these pairs are compared
-in memory, and what may still be similar is confirmed. So of a group of many nodes just below the threshold no pair leaves its region. Components are found by joins.
+in memory. Of what is similar by that, the three best pairs of each two components and region are confirmed. So of a group of many nodes just
+below the threshold no pair leaves its region. Components are found by joins.
 
-Two sets of similarity 0.8 miss each other in an order's region of depth k with probability 1 - 0.8 ** k, so in all 24 at depth 1, 2, 3, 4 with 2e-17, 2e-11,
-3e-8, 3e-6, if the estimate keeps them (all but about one in a million). Regions are of depth 1 or 2 up to some millions of documents.
+Two sets of similarity 0.8 miss each other in an order's region of depth k with probability 1 - 0.8 ** k, so in all 20 at depth 1, 2, 3, 4 with 1e-14, 1e-9,
+6e-7, 3e-5, if the estimate keeps them (all but about one in a million). Regions are of depth 1 or 2 up to some millions of documents.
 
 Defined results: texts that are null, empty or without words have an empty set, which is linked with nothing; a text of one word has it for its only shingle;
 repeated rows and exact copies share a component; a component's id is its least id that isn't null, and a null id's row is kept only in a component of null
@@ -40,19 +41,19 @@ SHINGLE = 2
 #: Similarity of 80 / 100 or more, in whole numbers.
 PART, WHOLE = 80, 100
 #: Minima of a signature, orders, minima that an order sorts by before it turns to the four-bit sketch, and places that only one order begins with.
-MINIMA, ORDERS, DEPTH, OWN = 128, 24, 8, 4
+MINIMA, ORDERS, DEPTH, OWN = 96, 20, 4, 4
 #: Most nodes of a region, rows that are handled at once (neighbouring turns share a region's), and neighbours tried where regions are deep.
 REGION, TURN, NEIGHBOURS = 1024, 8192, 32
-#: Best candidates of each row in the first turn, and pairs compared at once.
-BEST, PAIRS = 2, 1 << 19
+#: Best candidates of each node in the first turn, best pairs of each two components in a region in the second, and pairs compared at once.
+BEST, ACROSS, PAIRS = 2, 3, 1 << 19
 _SEEDS = np.random.default_rng(13)
 _XOR = _SEEDS.integers(0, 1 << 63, MINIMA, dtype=np.uint64)
 _ODD = _SEEDS.integers(0, 1 << 63, MINIMA, dtype=np.uint64) | np.uint64(1)
 _OWN = _SEEDS.permutation(MINIMA)
 #: Places of the signature by which each order sorts.
-PLACES = np.array([(own := _OWN[OWN * o : OWN * o + OWN]).tolist() + _SEEDS.permutation(np.setdiff1d(np.arange(MINIMA), own))[: DEPTH - OWN].tolist() for o in range(ORDERS)])
+PLACES = np.array([_OWN[OWN * o : OWN * o + OWN] for o in range(ORDERS)])
 #: Equal sketch places needed of the first 16 and of all: five deviations below what similarity 0.8 gives, chance matches included.
-_FIRST, _ALL = 5, 82
+_FIRST, _ALL = 5, 59
 #: Most hashes of a set that come into a region, and the similarity of samples from which a pair goes on: five deviations below the threshold.
 SAMPLED, SAMPLE_BAR = 2048, 0.75
 _FILE = ["ord", "key", "node", "n", "sketch"]
@@ -182,8 +183,8 @@ class Rows:
                 yield a[fit], b[fit], total[fit]
             at = upto
 
-    def best(self) -> tuple[np.ndarray, np.ndarray]:
-        """Nodes of each row and its BEST partners, the most similar first, of equal ones in one order of nodes that all tasks have."""
+    def best(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Nodes of each row and its BEST partners, of equal ones in one order of nodes that all tasks have, and in how many places they differ."""
         order = np.argsort(mix64(self.node.view(np.uint64)), kind="stable")
         rank = np.empty_like(order)
         rank[order] = np.arange(len(order))
@@ -195,7 +196,7 @@ class Rows:
             row = held >> (width + 8)
             first = np.searchsorted(row, row)
             held = held[np.arange(len(held)) - first < BEST]
-        return self.node[held >> (width + 8)], self.node[order[held & ((1 << width) - 1)]]
+        return self.node[held >> (width + 8)], self.node[order[held & ((1 << width) - 1)]], (held >> width) & 255
 
 
 def sampled(a: np.ndarray) -> tuple[int, np.ndarray]:
@@ -206,8 +207,11 @@ def sampled(a: np.ndarray) -> tuple[int, np.ndarray]:
 
 
 def alike(samples: list[tuple[int, np.ndarray]], a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Which pairs of rows may be similar by their samples: a set's hashes mark a table of 65,536 by their upper half, in which its partners' are looked up. Nothing similar fails."""
-    out = np.zeros(len(a), bool)
+    """The similarity of pairs of sets by their samples, 0 where it is too low. For sets that are there as a whole it is exact, but for equal 32-bit hashes of different shingles.
+
+    A set's hashes mark a table of 65,536 by their upper half, in which those of its partners are looked up; what may then be similar is compared in full.
+    """
+    out = np.zeros(len(a))
     order = np.argsort(a, kind="stable")
     first = np.flatnonzero(np.append(True, a[order][1:] != a[order][:-1])) if len(a) else order
     table = np.zeros(1 << 16, bool)
@@ -216,16 +220,19 @@ def alike(samples: list[tuple[int, np.ndarray]], a: np.ndarray, b: np.ndarray) -
         table[own >> np.uint32(16)] = True
         for at in range(x, y, 512):
             some = order[at : min(y, at + 512)]
-            levels = np.array([samples[i][0] for i in b[some].tolist()])
-            size = np.array([len(samples[i][1]) for i in b[some].tolist()])
-            other = np.concatenate([samples[i][1] for i in b[some].tolist()])
-            both = np.maximum(levels, level)
-            inside = other & np.repeat((1 << both) - 1, size).astype(np.uint32) == 0 if both.any() else np.ones(len(other), bool)
-            counts = np.stack([np.append(0, np.cumsum(c))[np.append(0, np.cumsum(size))] for c in (inside, inside & table[other >> np.uint32(16)])])
-            theirs, shared = np.diff(counts, axis=1)
+            others = [samples[i] for i in b[some].tolist()]
+            both = np.maximum(np.array([k for k, _ in others]), level)
+            other = np.concatenate([z for _, z in others])
+            ends = np.append(0, np.cumsum([len(z) for _, z in others]))
+            inside = other & np.repeat((1 << both) - 1, np.diff(ends)).astype(np.uint32) == 0 if both.any() else np.ones(len(other), bool)
+            theirs, shared = (np.diff(np.append(0, np.cumsum(c))[ends]) for c in (inside, inside & table[other >> np.uint32(16)]))
             mine = np.array([int((own & np.uint32((1 << k) - 1) == 0).sum()) for k in range(int(both.max()) + 1)])[both]
-            bar = np.where(both > 0, SAMPLE_BAR, PART / WHOLE)
-            out[some] = shared >= bar * (mine + theirs - shared) - 1e-9
+            bar = np.where(both > 0, SAMPLE_BAR, PART / WHOLE) - 1e-9
+            for i in np.flatnonzero(shared >= bar * (mine + theirs - shared)).tolist():
+                mask = np.uint32((1 << int(both[i])) - 1)
+                n = len(np.intersect1d(own[own & mask == 0], others[i][1][others[i][1] & mask == 0]))
+                likeness = n / max(1, int(mine[i] + theirs[i]) - n)
+                out[some[i]] = likeness if likeness >= bar[i] else 0
         table[own >> np.uint32(16)] = False
     return out
 
@@ -239,11 +246,12 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 def _pairs(a: np.ndarray, b: np.ndarray) -> list[pa.Array]:
     both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
-    return [pa.array(np.ascontiguousarray(both[:, i])) for i in range(2)]
+    return [pa.array(np.ascontiguousarray(both[:, i])) for i in range(2)] + [pa.nulls(len(both), pa.int64())]
 
 
 def best_pairs(columns: list[pa.Array]) -> list[pa.Array]:
-    return _pairs(*Rows(columns).best())
+    """Nodes and their best partners, each pair as often as it is one's best, with what differs."""
+    return [pa.array(c) for c in Rows(columns).best()]
 
 
 def open_nodes(columns: list[pa.Array]) -> list[pa.Array]:
@@ -251,24 +259,31 @@ def open_nodes(columns: list[pa.Array]) -> list[pa.Array]:
     rows, root = Rows(columns), columns[5].to_numpy()
     found = [np.unique(np.concatenate([x[apart], y[apart]])) for x, y, _ in rows.tried() for apart in [root[x] != root[y]]]
     node = rows.node[np.unique(np.concatenate([np.zeros(0, np.int64), *found]))]
-    return [pa.array(node), pa.array(node)]
+    return _pairs(node, node)
 
 
 def pairs_across(columns: list[pa.Array]) -> list[pa.Array]:
-    """Pairs of different roots that may be similar by their samples."""
+    """The most similar pairs of each two roots, by their samples, of those that may be similar."""
     rows, root = Rows(columns), columns[5].to_numpy()
     samples = [(x[0], np.frombuffer(x, np.uint32, offset=4)) for x in columns[6].to_pylist()]
-    found = []
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
     for x, y, _ in rows.tried():
         apart = root[x] != root[y]
         x, y = x[apart], y[apart]
-        good = alike(samples, x, y)
-        found.append((rows.node[x[good]], rows.node[y[good]]))
-    return _pairs(*[np.concatenate(c) for c in zip((np.zeros(0, np.int64),) * 2, *found, strict=True)])
+        likeness = alike(samples, x, y)
+        found.append((x[likeness > 0], y[likeness > 0], likeness[likeness > 0]))
+    x, y, likeness = (np.concatenate(c) for c in zip(*found, strict=True))
+    low, high = np.minimum(root[x], root[y]), np.maximum(root[x], root[y])
+    order = np.lexsort((rows.node[y], rows.node[x], -likeness, high, low))
+    new = np.append(True, (low[order][1:] != low[order][:-1]) | (high[order][1:] != high[order][:-1]))[: len(order)]
+    start = np.flatnonzero(new)
+    place = np.arange(len(order)) - np.repeat(start, np.diff(np.append(start, len(order))))
+    first = order[place < ACROSS]
+    return _pairs(rows.node[x[first]], rows.node[y[first]])
 
 
 def candidates(nodes: DataFrame, met: Callable[[list[pa.Array]], list[pa.Array]] = best_pairs) -> DataFrame:
-    """Distinct pairs (a, b) that ``met`` finds among rows that are handled at once. nodes: node, n, signature, and what more a row should carry (root, then sample).
+    """a, b, far that ``met`` finds among rows that are handled at once, not distinct. nodes: node, n, signature, and what more a row should carry (root, then sample).
 
     The rows of all orders are sorted in ranges. A task handles its rows some thousands at a time, neighbouring turns sharing a region's rows. What
     is near a border goes to a second job; one row a partition tells the driver how many rows it has.
@@ -296,7 +311,7 @@ def candidates(nodes: DataFrame, met: Callable[[list[pa.Array]], list[pa.Array]]
         from pyspark import TaskContext
 
         part, at, held, lead = TaskContext.get().partitionId(), 0, None, 0
-        names = ["a", "b", "part", "at", *wide]
+        names = ["a", "b", "far", "part", "at", *wide]
 
         def give(a: list[pa.Array]) -> pa.RecordBatch:
             n = len(a[0])
@@ -304,7 +319,7 @@ def candidates(nodes: DataFrame, met: Callable[[list[pa.Array]], list[pa.Array]]
 
         def border(t: pa.Table, first: int) -> pa.RecordBatch:
             n = t.num_rows
-            return pa.RecordBatch.from_arrays([*blank(n, [pa.int64()] * 2), pa.array(np.full(n, part, np.int32)), pa.array(np.arange(first, first + n)), *[_flat(c) for c in t.columns]], names)
+            return pa.RecordBatch.from_arrays([*blank(n, [pa.int64()] * 3), pa.array(np.full(n, part, np.int32)), pa.array(np.arange(first, first + n)), *[_flat(c) for c in t.columns]], names)
 
         for b in batches:
             if not b.num_rows:
@@ -323,11 +338,11 @@ def candidates(nodes: DataFrame, met: Callable[[list[pa.Array]], list[pa.Array]]
             tail = held.slice(max(0, held.num_rows - min(REGION, max(0, at - REGION))))  # what hasn't been given as one of the first
             if at > REGION:
                 yield border(tail, at - tail.num_rows)
-            yield pa.RecordBatch.from_arrays([*blank(1, [pa.int64()] * 2), pa.array([part], pa.int32()), pa.array([at], pa.int64()), *blank(1, kinds)], names)
+            yield pa.RecordBatch.from_arrays([*blank(1, [pa.int64()] * 3), pa.array([part], pa.int32()), pa.array([at], pa.int64()), *blank(1, kinds)], names)
 
     order = ["ord", "key", "sketch", "node"]
     filed = through(nodes.select("node", "n", "signature", *more), file, _KIND + kind).repartitionByRange(*order).sortWithinPartitions(*order)
-    walked = stage(through(filed, walk, f"a bigint, b bigint, part int, at bigint, {_KIND}{kind}"), "walked")
+    walked = stage(through(filed, walk, f"a bigint, b bigint, far bigint, part int, at bigint, {_KIND}{kind}"), "walked")
     counts = {r.part: r.at for r in walked.where("part is not null and ord is null").select("part", "at").collect()}
     parts = sorted(counts)
     offset = dict(zip(parts, np.append(0, np.cumsum([counts[p] for p in parts])).tolist(), strict=False))
@@ -345,7 +360,7 @@ def candidates(nodes: DataFrame, met: Callable[[list[pa.Array]], list[pa.Array]]
         held = None
 
         def whole(t: pa.Table) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays(met([_flat(c) for c in t.columns[1:]]), ["a", "b"])
+            return pa.RecordBatch.from_arrays(met([_flat(c) for c in t.columns[1:]]), ["a", "b", "far"])
 
         for b in batches:
             held = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
@@ -358,7 +373,7 @@ def candidates(nodes: DataFrame, met: Callable[[list[pa.Array]], list[pa.Array]]
             yield whole(held)
 
     near = through(walked.where("ord is not null").select("part", "at", *wide), deal, f"border int, {_KIND}{kind}").repartition("border").sortWithinPartitions("border", *order)
-    return walked.where("a is not null").select("a", "b").union(through(near, meet, "a bigint, b bigint")).distinct()
+    return walked.where("a is not null").select("a", "b", "far").union(through(near, meet, "a bigint, b bigint, far bigint"))
 
 
 def _flat(c: pa.ChunkedArray) -> pa.Array:
@@ -367,29 +382,27 @@ def _flat(c: pa.ChunkedArray) -> pa.Array:
 
 
 def _made(wanted: DataFrame, src: DataFrame, make: Callable[[np.ndarray], bytes]) -> DataFrame:
-    """node, made: bytes made of the set of each wanted node (node, text_hash), from its text again. src: text_hash, text. A staged table."""
+    """node, made: bytes made of the set of each wanted node, from its text again; some others, which a bitmap can't tell, are there too. src: text_hash, text. A staged table."""
 
     def grams(b: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([b.column(0), pa.array([make(s) for s in sets_of(b.column(1))], pa.binary())], ["text_hash", "made"])
+        return pa.RecordBatch.from_arrays([b.column(0), pa.array([make(s) for s in sets_of(b.column(1))], pa.binary())], ["node", "made"])
 
-    keys = wanted.select("text_hash")
-    some = src.where(hit(src, "text_hash", keys)).join(keys, "text_hash", "left_semi").groupBy("text_hash").agg(F.first("text").alias("text"))
-    return stage(narrow(some.select("text_hash", "text"), grams, "text_hash bigint, made binary").join(wanted, "text_hash").select("node", "made"), "sets")
+    some = src.where(hit(src, "text_hash", wanted.select(F.col("node").alias("text_hash")))).select("text_hash", "text")
+    return stage(narrow(some, grams, "node bigint, made binary").groupBy("node").agg(F.first("made").alias("made")), "sets")
 
 
-def confirmed(pairs: DataFrame, nodes: DataFrame, src: DataFrame) -> DataFrame:
-    """The pairs (a, b) that are similar on their full sets. nodes: node, text_hash; src: text_hash, text."""
-    wanted = stage(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "text_hash"), "node"), "wanted")
-    full = _made(wanted, src, lambda s: s.tobytes())
+def confirmed(pairs: DataFrame, src: DataFrame) -> DataFrame:
+    """The pairs (a, b) of nodes that are similar on their full sets. src: text_hash, text. A staged table."""
 
     def verify(b: pa.RecordBatch) -> pa.RecordBatch:
         same = [similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
         keep = pa.array(same, pa.bool_())
         return pa.RecordBatch.from_arrays([b.column(i).filter(keep) for i in range(2)], ["a", "b"])
 
+    full = _made(pairs.select(F.explode(F.array("a", "b")).alias("node")), src, lambda s: s.tobytes())
     x, y = (full.select(F.col("node").alias(s), F.col("made").alias(f"grams_{s}")) for s in "ab")
-    out = stage(narrow(pairs.join(x, "a").join(y, "b").select("a", "b", "grams_a", "grams_b"), verify, "a bigint, b bigint"), "links")
-    unstage(wanted, full)
+    out = stage(narrow(pairs.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "grams_a", "grams_b"), verify, "a bigint, b bigint"), "links")
+    unstage(full)
     return out
 
 
@@ -420,24 +433,34 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
                 at += rows
 
     every = stage(through(src, sign, f"id {kind}, text_hash bigint, node bigint, n bigint, signature binary"), "signed")
+    # a node is called by the hash of one of its texts, so that its set can be made again
     least = F.min(F.struct("text_hash", "n", "signature")).alias("r")
-    nodes = stage(every.where("node is not null").groupBy("node").agg(least).select("node", "r.text_hash", "r.n", "r.signature"), "nodes")
-    tried = stage(candidates(nodes), "candidates")
-    links = confirmed(tried, nodes, src)
+    nodes = stage(every.where("node is not null").groupBy(F.col("node").alias("set")).agg(least).select("set", F.col("r.text_hash").alias("node"), "r.n", "r.signature"), "nodes")
+    slim = stage(every.select("id", F.col("node").alias("set"), "n"), "documents")
+    unstage(every)
+    signed = nodes.select("node", "n", "signature")
+    best = F.slice(F.array_sort(F.collect_set(F.struct("far", F.xxhash64("b").alias("rank"), "b"))), 1, BEST)  # of some dozens
+    tried = candidates(signed).groupBy("a").agg(best.alias("best")).select("a", F.explode("best.b").alias("b"))
+    tried = stage(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "tried")
+    links = confirmed(tried, src)
     roots = components(links)
-    again = stage(tried.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root")), "again")
-    rooted = nodes.join(again, "node").select("node", "n", "signature", "root")
-    apart = stage(candidates(rooted, open_nodes).select(F.col("a").alias("node")).join(nodes.select("node", "text_hash"), "node"), "apart")
+    among = stage(tried.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(signed, "node"), "among")
+    rooted = among.join(roots, "node", "left").select("node", "n", "signature", F.coalesce("root", "node").alias("root"))
+    apart = stage(candidates(rooted, open_nodes).select(F.col("a").alias("node")).distinct(), "apart")
     samples = _made(apart, src, lambda s: (lambda level, short: np.uint32(level).tobytes() + short.tobytes())(*sampled(s)))
-    full = rooted.join(samples.withColumnRenamed("made", "sample"), "node").select("node", "n", "signature", "root", "sample")
-    across = stage(candidates(full, pairs_across).join(tried, ["a", "b"], "left_anti"), "across")
+    full = rooted.join(apart, "node", "left_semi").join(samples.withColumnRenamed("made", "sample"), "node").select("node", "n", "signature", "root", "sample")
+    across = stage(candidates(full, pairs_across).select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "across")
     if across.limit(1).count():
-        more = confirmed(across, nodes, src)
-        if more.limit(1).count():
-            roots = components(links.union(more))
-    rooted = every.select("id", "n", "node").join(roots, "node", "left").select("id", "n", "node", F.coalesce("root", "node").alias("root"))
-    rooted = stage(rooted, "rooted")
-    named = stage(rooted.where("root is not null").groupBy("root").agg(F.min("id").alias("component_id")), "named")
-    full = rooted.join(named, "root", "left")
+        more = confirmed(across, src)
+        if more.limit(1).count():  # links between components: their components are found among roots alone
+            for x in "ab":
+                more = more.join(roots.withColumnRenamed("node", x), x, "left").withColumn(x, F.coalesce("root", x)).drop("root")
+            above = components(more)
+            joined = roots.join(above.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+            roots = joined.union(above.join(roots.select("node"), "node", "left_anti").select("node", "root"))
+    named = slim.join(nodes.select("set", "node"), "set", "left").join(roots, "node", "left").select("id", "n", "node", F.coalesce("root", "node").alias("root"))
+    named = stage(named, "rooted")
+    least = stage(named.where("root is not null").groupBy("root").agg(F.min("id").alias("component_id")), "named")
+    full = named.join(least, "root", "left")
     component = F.when(F.col("root").isNull(), F.col("id")).otherwise(F.col("component_id"))
     return full.select("id", F.col("n").alias("n_shingles"), "node", "root", component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
