@@ -55,3 +55,6 @@ CHAPTER_NOISE = [
 # Paragraphs of visible reasoning before an answer, and a comment after it.
 REASONING_PREFIX = r"^(?iu)(?:\s*(?:\*{0,2}\s*)?(?:(?:thinking process|reasoning|analysis|chain of thought|an[áa]lisis|comentario|commentary|nota|note|cambios realizados|changes made)\s*:\s*(?:\*{0,2}\s*)?[^\n]*?\n\s*\n|[0-9]+\.\s+\*\*?analyze\*\*?)\n?)+"
 COMMENT_SUFFIX = r"(?isu)\n\s*\n((?:\*\*)?\s*(?:nota|note|notes|explicaci[oó]n|explanation|comentario|commentary|justificaci[oó]n|justification|cambios realizados|changes made)\s*:\s*(?:\*\*)?).*$"
+
+# How a chapter's heading begins in running pages, with its number.
+CHAPTER_MARKER = r"(?:CAPÍTULO|Capítulo|Cap\.?|PARTE|Parte|Part)\s*(?:Nº?\s*)?([0-9]+|[IVX]+)"

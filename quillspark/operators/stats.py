@@ -46,7 +46,7 @@ def correlation_tests(df: DataFrame, x: str, y: str, keys: list[str]) -> DataFra
     rho = r(F.col(f"__r_{x}") - middle, F.col(f"__r_{y}") - middle)
     plain = r(F.col(x) - F.col(f"__m_{x}"), F.col(y) - F.col(f"__m_{y}"))
     g = both.groupBy(*keys, "n").agg(rho.alias("rho"), plain.alias("r"))
-    bound = lambda c: F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col(c)))
+    bound = lambda c: F.when(F.col(c).isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col(c))))
     return g.select(*keys, "n", "rho", correlation_p(bound("rho"), F.col("n")).alias("rho_p"), "r", correlation_p(bound("r"), F.col("n")).alias("r_p"))
 
 

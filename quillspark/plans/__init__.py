@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import analytics, corpus, paths, runs, selection, texts  # noqa: F401
+from . import analytics, corpus, paths, records, runs, selection, texts  # noqa: F401
 from .registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.lexicons import FAILURES
-from ..operators import audit, runs, scoring
+from ..operators import audit, metrics, runs, scoring
 from .registry import query, rounded
 
 CASES = f"""ca AS (SELECT event_type AS run, user_id AS "case", avg(value) AS objective, count(*) AS n, list_filter([CASE WHEN min(value) < 1 THEN '{FAILURES[0]}' END, CASE WHEN max(value) > 60 THEN '{FAILURES[1]}' END, CASE WHEN count(*) < 9 THEN '{FAILURES[2]}' END, CASE WHEN user_id % 7 = 0 THEN '{FAILURES[3]}' END, CASE WHEN user_id % 11 = 0 THEN '{FAILURES[4]}' END], lambda x: x IS NOT NULL) AS labels FROM events GROUP BY event_type, user_id)"""
@@ -133,10 +133,15 @@ def decision_score(read):
     return read("events").select("event_id", F.when(F.col("event_type") == "error", -1).when(F.col("value") > 10, 1).otherwise(0).alias("ordinal"))
 
 
-@query("SELECT user_id, round(avg(value) FILTER (WHERE event_type = 'click'), 6) AS control_click_mean, round(avg(value) FILTER (WHERE event_type = 'view'), 6) AS control_view_mean, round(max(value) FILTER (WHERE event_type = 'click'), 6) AS control_click_max, round(max(value) FILTER (WHERE event_type = 'view'), 6) AS control_view_max FROM events GROUP BY user_id")
+@query("""WITH g AS (SELECT user_id, event_type, count(*) AS n, avg(value) AS mean, max(value) AS top FROM events GROUP BY user_id, event_type)
+SELECT user_id, 'controls.' || event_type || '.count' AS name, CAST(n AS DOUBLE) AS value FROM g UNION ALL SELECT user_id, 'controls.' || event_type || '.mean', round(mean, 6) FROM g UNION ALL SELECT user_id, 'controls.' || event_type || '.last.0', top FROM g
+UNION ALL SELECT user_id, 'total_cases', CAST(sum(n) AS DOUBLE) FROM g GROUP BY user_id UNION ALL SELECT user_id, 'complete', CAST(count(*) = 5 AS INT) FROM g GROUP BY user_id""")
 def flatten_metrics(read):
-    p = read("events").groupBy("user_id").pivot("event_type", ["click", "view"]).agg(F.avg("value").alias("mean"), F.max("value").alias("max"))
-    return rounded(p.select("user_id", *[F.col(f"{k}_{s}").alias(f"control_{k}_{s}") for k in ("click", "view") for s in ("mean", "max")]))
+    """Each user's metrics by type of event as nested JSON, made flat."""
+    g = read("events").groupBy("user_id", "event_type").agg(F.count("*").alias("count"), F.avg("value").alias("mean"), F.array(F.max("value")).alias("last"))
+    one = g.groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("event_type", F.struct("count", "mean", "last", F.col("event_type").alias("label"))))).alias("controls"), F.sum("count").alias("total_cases"), (F.count("*") == 5).alias("complete"))
+    nested = one.select("user_id", F.to_json(F.struct("controls", "total_cases", "complete")).alias("payload"))
+    return rounded(metrics.flatten(nested, "payload", ["user_id"]))
 
 
 @query("SELECT DISTINCT split_part(split_part(url, '//', 2), '/', 1) AS host FROM pages")
