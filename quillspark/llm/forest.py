@@ -212,8 +212,10 @@ def alike(samples: list[tuple[int, np.ndarray]], a: np.ndarray, b: np.ndarray) -
     A set's hashes mark a table of 65,536 by their upper half, in which those of its partners are looked up; what may then be similar is compared in full.
     """
     out = np.zeros(len(a))
+    if not len(a):
+        return out
     order = np.argsort(a, kind="stable")
-    first = np.flatnonzero(np.append(True, a[order][1:] != a[order][:-1])) if len(a) else order
+    first = np.flatnonzero(np.append(True, a[order][1:] != a[order][:-1]))
     table = np.zeros(1 << 16, bool)
     for x, y in zip(first.tolist(), np.append(first[1:], len(a)).tolist(), strict=True):
         level, own = samples[a[order[x]]]
