@@ -8,12 +8,13 @@ the group's tokens: full ones, and the rest split into powers of two, which need
 
 Defined results: a null or empty text is one end token; a text longer than a group is a group of its own, and fills
 sequences whole; repeated rows are packed once each; a null id is kept; an empty
-table gives no pieces; other columns are ignored. The special tokens' strings in a text are ordinary text.
+table gives no pieces; other columns are ignored. The special tokens' strings in a text are those tokens, as in the library's plain call.
 """
 
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import repeat
@@ -52,7 +53,8 @@ class WordCachedTokenizer:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.full = Tokenizer.from_file(path)
-        self.full.encode_special_tokens = True
+        special = sorted(t.content.lower() for t in self.full.get_added_tokens_decoder().values() if t.content)
+        self.special = "|".join(map(re.escape, special)) or None
         (self.mark,) = self.full.encode(_MARK, add_special_tokens=False).ids
         self.seen: dict[str, int] = {}
         self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
@@ -106,7 +108,18 @@ class WordCachedTokenizer:
         return self.many(pa.array([text], pa.string()))[0]
 
     def many(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts end to end, and where each text's begin (and the end)."""
+        """Ids of all texts end to end, and where each text's begin (and the end). A text with the string of a special token, in any case, is the library's as a whole."""
+        if self.special:
+            rare = pc.match_substring_regex(pc.ascii_lower(column), self.special)
+            if pc.any(rare).as_py():
+                ids, bounds = self._words(pc.if_else(rare, "", column))
+                parts = [ids[a:z] for a, z in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+                for i in np.flatnonzero(rare.to_numpy(zero_copy_only=False)).tolist():
+                    parts[i] = np.array(self.full.encode(column[i].as_py(), add_special_tokens=False).ids, np.uint32)
+                return np.concatenate(parts), np.append(0, np.cumsum([len(x) for x in parts]))
+        return self._words(column)
+
+    def _words(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         codes, bounds, words = coded(pc.replace_substring_regex(pc.ascii_lower(column), "([a-z])([.,;:!?])", r"\1 \2"), lower=False)
         if len(self.seen) > _CACHE:
             self._forget()

@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 from tokenizers import Tokenizer
 
 from quillspark.llm import packing
@@ -30,7 +31,6 @@ def test_round_trip(spark, sf, vocabulary):
     pieces = packing.pack(docs, vocabulary, group_tokens=20_000).collect()
     check(pieces)
     exact = Tokenizer.from_file(vocabulary)
-    exact.encode_special_tokens = True
     texts = {r.doc_id: r.text for r in docs.collect()}
     got = whole(pieces)
     assert got.keys() == texts.keys()
@@ -44,7 +44,6 @@ def test_round_trip(spark, sf, vocabulary):
 
 def test_all_ids_are_the_librarys(spark, vocabulary):
     exact = Tokenizer.from_file(vocabulary)
-    exact.encode_special_tokens = True
     docs = table(spark, "/root/testdata/sf0.01", "documents")
     pieces = packing.pack(docs, vocabulary).collect()
     check(pieces)
@@ -96,3 +95,16 @@ def test_edge_rows(edge, nothing, vocabulary):
     assert sum(r.length for r in pieces if r.doc_id == 1) == 2 * next(r.doc_tokens for r in pieces if r.doc_id == 1)
     assert any(r.doc_id is None for r in pieces)
     assert packing.pack(nothing, vocabulary).count() == 0
+
+
+def test_special_tokens_are_the_librarys_plain_call(spark, vocabulary):
+    exact, t = Tokenizer.from_file(vocabulary), packing.WordCachedTokenizer(vocabulary)
+    texts = ["a <|startoftext|> b", "<|endoftext|>", "x<|endoftext|>y. z", "<|EndOfText|> a", "<|endoftext|><|endoftext|>", "plain, words", "< | endoftext|>", "é <|startoftext|>\n\tWord"]
+    ids, bounds = t.many(pa.array(texts))
+    for i, text in enumerate(texts):
+        assert ids[bounds[i] : bounds[i + 1]].tolist() == exact.encode(text, add_special_tokens=False).ids == t(text).tolist()
+    assert 49406 in t(texts[0]) and 49406 not in t(texts[3])
+    got = whole(packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), vocabulary).collect())
+    for i, text in enumerate(texts):
+        rows = sorted(got[i], key=lambda r: r.start)
+        assert np.concatenate([np.frombuffer(r.ids, "<u4") for r in rows]).tolist() == [*exact.encode(text, add_special_tokens=False).ids, 1]
