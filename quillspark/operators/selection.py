@@ -31,6 +31,26 @@ def partner(item: str, group: str, seed: str = "42") -> Column:
     return F.coalesce(F.lead(item).over(order), F.first(item).over(whole))
 
 
+def following(df: DataFrame, item: str, key: Column, bucket: Column, name: str) -> DataFrame:
+    """item with the next one in the order of key and item, after the last the first; an item alone is its own. Items must differ.
+
+    ``bucket`` must not fall as key rises: rows are sorted within buckets, and the last row of one is followed by the first of the next that isn't empty, of
+    which there is one row a bucket. So no task sorts all rows.
+    """
+    d = df.select(item, key.alias("__k"), bucket.alias("__b"))
+    within = Window.partitionBy("__b").orderBy("__k", item)
+    firsts = d.groupBy("__b").agg(F.min(F.struct("__k", item)).alias("f"))
+    over = Window.orderBy("__b")  # one row a bucket
+    whole = over.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    ahead = firsts.select("__b", F.coalesce(F.lead("f").over(over), F.first("f").over(whole))[item].alias("__next"))
+    return d.withColumn("__lead", F.lead(item).over(within)).join(F.broadcast(ahead), "__b").select(item, F.coalesce("__lead", "__next").alias(name))
+
+
+def hash_bucket(key: Column) -> Column:
+    """256 buckets of an md5 in hexadecimal digits, in its order."""
+    return F.substring(key, 1, 2)
+
+
 def smoothness_band(percentile: Column) -> Column:
     """What a percentile among random orders says."""
     return F.when(percentile > 95, "smoother than random").when(percentile > 50, "some signal").otherwise("not smoother than random")

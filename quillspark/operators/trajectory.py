@@ -86,16 +86,20 @@ def shuffled(items: DataFrame, id_col: str, permutations: int, seed: str = "42")
 def permutation_null(items: DataFrame, id_col: str, vector_col: str, permutations: int, seed: str = "42", sent: int = SENT) -> DataFrame:
     """perm, mean_similarity, mean_distance, mean_curvature of each shuffled path.
 
+    Items without a vector, or with a null in it, take no part; vectors of unequal length are an error. Orders are by the md5 of an id as Spark writes it.
     Vectors of ``sent`` bytes together at most go to every task, which takes whole permutations as matrix products; beyond that,
     ids are shuffled and joined to their vectors. Either way gives the same paths.
     """
-    v = items.select(F.col(id_col).alias("id"), V.doubles(F.col(vector_col)).alias("v"))
-    size = v.agg(F.coalesce(F.sum(F.size("v")) * 8, F.lit(0))).first()[0]
-    if size > sent:
-        paths = shuffled(items, id_col, permutations, seed).join(v, "id").select(F.col("perm").alias("path"), "pos", "v")
-        return smoothness(paths).join(curvature(paths), "path").select(F.col("path").alias("perm"), "mean_similarity", "mean_distance", "mean_curvature")
+    v = items.select(F.col(id_col).alias("id"), V.doubles(F.col(vector_col)).alias("v")).where(F.col("v").isNotNull() & ~F.exists("v", lambda x: x.isNull()))
+    seen = v.agg(F.coalesce(F.sum(F.size("v")) * 8, F.lit(0)).alias("bytes"), F.min(F.size("v")).alias("low"), F.max(F.size("v")).alias("high")).first()
+    if seen.low != seen.high:
+        raise ValueError(f"vectors have {seen.low} to {seen.high} places")
+    if seen.bytes > sent:
+        paths = shuffled(v, "id", permutations, seed).join(v, "id").select(F.col("perm").alias("path"), "pos", "v")
+        found = smoothness(paths).join(curvature(paths), "path").select(F.col("path").alias("perm"), "mean_similarity", "mean_distance", "mean_curvature")
+        return found.where("mean_similarity is not null")
     spark = items.sparkSession
-    every = v.where("v is not null").orderBy("id").toArrow()
+    every = v.orderBy("id").select(F.col("id").cast("string").alias("id"), "v").toArrow()
     names = every["id"].to_pylist()
     matrix = spark.sparkContext.broadcast(np.array(every["v"].to_pylist(), float).reshape(len(names), -1) if names else np.zeros((0, 1)))  # ``sent`` bytes at most
 

@@ -245,6 +245,35 @@ def test_permutations_by_blocks_and_by_joins_agree(spark, sf):
     assert trajectory.permutation_null(items.where("false"), "vec_id", "embedding", 3).count() == 0
 
 
+def test_permutations_leave_nulls_out_at_every_size(spark):
+    rows = [(i / 2, [float(i % 5), 1.0 / (i + 1), float(-i)]) for i in range(12)] + [(99.5, None), (98.5, [1.0, None, 2.0])]
+    items = spark.createDataFrame(rows, "k double, v array<double>")
+    ways = [sorted(map(tuple, trajectory.permutation_null(items, "k", "v", 5, sent=n).collect())) for n in (1 << 20, 0)]
+    clean = sorted(map(tuple, trajectory.permutation_null(items.where("k < 90"), "k", "v", 5).collect()))
+    assert len(clean) == 5
+    for a, b, c in zip(*ways, clean, strict=True):
+        assert a == pytest.approx(b, abs=1e-9) and a == pytest.approx(c, abs=1e-9)
+    ragged = items.union(spark.createDataFrame([(7.25, [1.0])], "k double, v array<double>"))
+    for n in (1 << 20, 0):
+        with pytest.raises(ValueError, match="1 to 3 places"):
+            trajectory.permutation_null(ragged, "k", "v", 5, sent=n)
+        assert trajectory.permutation_null(items.where("k = 1"), "k", "v", 5, sent=n).count() == 0
+
+
+def test_following_wraps_over_buckets(spark):
+    from quillspark.operators import selection
+
+    ids = [3, 4, 50, 51, 52, 300, -7]
+    df = spark.createDataFrame([(i,) for i in ids], "id int").repartition(3)
+    got = dict(map(tuple, selection.following(df, "id", F.col("id"), F.floor(F.col("id") / 10), "n").collect()))
+    order = sorted(ids)
+    assert got == {a: order[(k + 1) % len(order)] for k, a in enumerate(order)}
+    key = F.md5(F.col("id").cast("string"))
+    partner = dict(map(tuple, selection.following(df, "id", key, selection.hash_bucket(key), "n").collect()))
+    assert sorted(partner) == sorted(partner.values()) == order and all(a != b for a, b in partner.items())
+    assert selection.following(df.where("id = 3"), "id", F.col("id"), F.lit(0), "n").first().n == 3
+
+
 def test_depths_of_odd_parses(spark):
     rows = [(1, 0, t, max(1, t - 1), "NOUN", "obj") for t in range(1, 301)] + [(2, 0, 10, 12, "NOUN", "a"), (2, 0, 12, 12, "VERB", "ROOT"), (2, 0, 15, 10, "NOUN", "b"), (2, 0, 16, 99, "NOUN", "c"), (2, 1, 1, 1, "NOUN", "d")]
     got = {r.doc_id: r.parse_depth_mean for r in stylometrics.syntax_features(spark.createDataFrame(rows, "doc_id int, sent int, token int, head int, pos string, dep string")).collect()}
