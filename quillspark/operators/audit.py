@@ -36,6 +36,30 @@ def plan_issues(plan: DataFrame) -> DataFrame:
     return twice("experiment_id").union(twice("run_id")).union(empty)
 
 
+def profile_issues(profiles: DataFrame, rows: DataFrame, author: str, work: str) -> DataFrame:
+    """author, issue, work, stated, actual: where profiles (author, total, works as an array of work and n) don't say what the rows are.
+
+    A profile is missing or unexpected as a whole; else its total, and each work's count, stated or not, must be those of the rows.
+    """
+    counts = rows.groupBy(F.col(author).alias("author"), F.col(work).alias("work")).agg(F.count("*").alias("n"))
+    actual = counts.groupBy("author").agg(F.sum("n").alias("actual"))
+    both = profiles.select("author", F.col("total").cast("long").alias("stated"), F.lit(True).alias("there")).join(actual, "author", "full")
+    whole = F.when(F.col("there").isNull(), "missing profile").when(F.col("actual").isNull(), "unexpected profile").when(~F.col("stated").eqNullSafe(F.col("actual")), "total mismatch")
+    first = both.select("author", whole.alias("issue"), F.lit(None).cast("string").alias("work"), "stated", "actual").where("issue is not null")
+    listed = profiles.select("author", F.explode("works").alias("w")).select("author", F.col("w.work").alias("work"), F.col("w.n").cast("long").alias("stated"))
+    known = actual.join(profiles.select("author"), "author", "left_semi").select("author")
+    each = listed.join(known, "author", "left_semi").join(counts.join(known, "author", "left_semi").withColumnRenamed("n", "actual"), ["author", "work"], "full")
+    return first.union(each.where("not (stated <=> actual)").select("author", F.lit("work mismatch").alias("issue"), "work", "stated", "actual"))
+
+
+def progress(payload: Column, complete: int = 150) -> tuple[Column, Column]:
+    """How many chapters a result file (its text) has, and whether these are enough: 0 without a file or a list of chapters, -1 for what is no JSON."""
+    parsed = F.try_parse_json(payload)
+    found = F.coalesce(F.size(F.try_variant_get(parsed, "$.chapters", "array<variant>")), F.lit(0))
+    n = F.when(payload.isNull(), 0).when(parsed.isNull(), -1).otherwise(F.greatest(found, F.lit(0))).cast("long")
+    return n, n >= complete
+
+
 def same(a: Column, b: Column) -> Column:
     """Equal and both known: two nulls aren't comparable."""
     return a.isNotNull() & b.isNotNull() & (a == b)

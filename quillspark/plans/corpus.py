@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import lexicons as L
+from ..functions import text as X
 from ..operators import audit, dataset, matrix, parsing, stylometrics
 from .registry import query, rounded
 from .texts import STYLE_COLS, STYLE_SQL
@@ -211,12 +212,18 @@ def coverage_audit(read):
     return audit.coverage(read("documents").select("doc_id"), have.union(extra), ["doc_id"])
 
 
-@query("SELECT source AS author, count(*) AS profile_count, count(l.doc_id) AS actual_count, count(*) = count(l.doc_id) AS ok FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l ON d.doc_id = l.doc_id GROUP BY source")
+@query("""WITH a AS (SELECT source AS author, coalesce(lang, 'none') AS work, count(*) AS n FROM documents GROUP BY 1, 2), s AS (SELECT source AS author, coalesce(lang, 'none') AS work, count(*) AS n FROM documents WHERE doc_id % 9 <> 4 AND source <> 'src1' GROUP BY 1, 2 UNION ALL SELECT 'nobody', 'en', 3),
+t AS (SELECT coalesce(x.author, y.author) AS author, y.n AS stated, x.n AS actual FROM (SELECT author, CAST(sum(n) AS BIGINT) AS n FROM a GROUP BY author) x FULL JOIN (SELECT author, CAST(sum(n) AS BIGINT) AS n FROM s GROUP BY author) y ON x.author = y.author),
+w AS (SELECT coalesce(a.author, s.author) AS author, coalesce(a.work, s.work) AS work, s.n AS stated, a.n AS actual FROM a FULL JOIN s ON a.author = s.author AND a.work = s.work)
+SELECT author, CASE WHEN stated IS NULL THEN 'missing profile' WHEN actual IS NULL THEN 'unexpected profile' ELSE 'total mismatch' END AS issue, NULL AS work, stated, actual FROM t WHERE stated IS DISTINCT FROM actual
+UNION ALL SELECT author, 'work mismatch', work, stated, actual FROM w JOIN t USING (author) WHERE t.stated IS NOT NULL AND t.actual IS NOT NULL AND w.stated IS DISTINCT FROM w.actual""".replace("JOIN t USING (author) WHERE", "JOIN (SELECT author, stated AS ts, actual AS ta FROM t) t USING (author) WHERE").replace("t.stated IS NOT NULL AND t.actual IS NOT NULL", "ts IS NOT NULL AND ta IS NOT NULL"))
 def profile_audit(read):
-    """What the profile counts against the rows that the table of labels has for an author."""
-    rows = read("labels").select("doc_id").distinct().withColumn("there", F.lit(1))
-    d = read("documents").select("doc_id", F.col("source").alias("author")).join(rows, "doc_id", "left")
-    return d.groupBy("author").agg(F.count("*").alias("profile_count"), F.count("there").alias("actual_count")).withColumn("ok", F.col("profile_count") == F.col("actual_count"))
+    """Profiles that were made before some documents came, without one source and with one too many, against all documents."""
+    d = read("documents").select("doc_id", F.col("source").alias("author"), F.coalesce("lang", F.lit("none")).alias("work"))
+    counts = d.where("doc_id % 9 <> 4 and author <> 'src1'").groupBy("author", "work").agg(F.count("*").alias("n"))
+    counts = counts.union(d.sparkSession.createDataFrame([("nobody", "en", 3)], counts.schema))
+    profiles = counts.groupBy("author").agg(F.sum("n").alias("total"), F.collect_list(F.struct("work", "n")).alias("works"))  # a few works each
+    return audit.profile_issues(profiles, d, "author", "work")
 
 
 @query("WITH e AS (SELECT CAST(embedding AS DOUBLE[]) AS v FROM embeddings) SELECT count(*) AS n_rows, CAST(min(len(v)) AS INT) AS min_dims, CAST(max(len(v)) AS INT) AS max_dims, CAST(0 AS BIGINT) AS nan_rows, count(*) FILTER (WHERE list_inner_product(v, v) = 0) AS zero_rows, round(min(sqrt(list_inner_product(v, v))), 6) AS min_norm, round(max(sqrt(list_inner_product(v, v))), 6) AS max_norm FROM e")
@@ -238,9 +245,12 @@ def claim_check(read):
     return rounded(audit.claims(one, {"quality": 0.85, "toxic": 0.5}))
 
 
-@query("SELECT source, count(*) AS n, count(*) >= 45 AS complete FROM documents GROUP BY source")
+@query(r"SELECT doc_id, n, n >= 150 AS complete FROM (SELECT doc_id, CAST(CASE WHEN doc_id % 7 = 0 THEN -1 ELSE coalesce(len(regexp_extract_all(text, '\S+')), 0) END AS BIGINT) AS n FROM documents)")
 def progress(read):
-    return read("documents").groupBy("source").agg(F.count("*").alias("n")).withColumn("complete", F.col("n") >= 45)
+    """Each document as a result file with a chapter a word; every seventh is cut off within its JSON."""
+    file = F.to_json(F.struct(F.coalesce(X.chunks(F.col("text")), F.array().cast("array<string>")).alias("chapters")))
+    n, complete = audit.progress(F.when(F.col("doc_id") % 7 == 0, F.expr("substr(f, 1, length(f) - 2)")).otherwise(F.col("f")))
+    return read("documents").withColumn("f", file).select("doc_id", n.alias("n"), complete.alias("complete"))
 
 
 @query(f"WITH {LONG} SELECT DISTINCT dim AS name, CASE WHEN dim LIKE '%per_k' THEN 'Rate' ELSE NULL END AS label, coalesce(CASE WHEN dim LIKE '%per_k' THEN 'Rate' END, array_to_string(list_transform(string_split(dim, '_'), lambda w: upper(w[1]) || w[2:]), ' ')) AS shown FROM long")

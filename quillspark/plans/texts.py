@@ -208,15 +208,22 @@ def strip_editorial(read):
     return _main(read).select("page_id", X.strip_editorial(F.col("text")).alias("text"))
 
 
+_PLANTED = "CASE WHEN page_id % 4 = 0 THEN chr(10) || page_id || chr(10) || 'ISBN 978-84-376-0494-7' WHEN page_id % 4 = 1 THEN chr(10) || 'Copyright ' || page_id || chr(10) || 'TITULO DE LA OBRA' ELSE chr(10) || 'Capítulo ' || page_id END"
+
+
 @query(f"""
-WITH pg AS (SELECT page_id, {MAIN_SQL} AS text FROM pages), ln AS ({_LINES}), k AS (SELECT {_kind_sql('s')} AS kind, substr(s, 1, 100) AS example, page_id, i FROM ln),
+WITH pg AS (SELECT page_id, {MAIN_SQL} || {_PLANTED} AS text FROM pages), ln AS ({_LINES}), k AS (SELECT {_kind_sql('s')} AS kind, substr(s, 1, 100) AS example, page_id, i FROM ln),
 r AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY page_id, i) AS n FROM k WHERE kind IS NOT NULL)
 SELECT kind, n, example FROM r WHERE n <= 5
 """)
 def stripped_examples(read):
+    """The first five lines of each kind that are taken off; pages get the apparatus of printed books, which they lack."""
     from pyspark.sql import Window
 
-    lines = _main(read).select("page_id", F.posexplode(F.split("text", "\n")).alias("i", "line")).withColumn("s", X.strip(F.col("line")))
+    n, page = F.col("page_id") % 4, F.col("page_id").cast("string")
+    planted = F.when(n == 0, F.concat(F.lit("\n"), page, F.lit("\nISBN 978-84-376-0494-7"))).when(n == 1, F.concat(F.lit("\nCopyright "), page, F.lit("\nTITULO DE LA OBRA"))).otherwise(F.concat(F.lit("\nCapítulo "), page))
+    lines = _main(read).select("page_id", F.concat("text", planted).alias("text"))
+    lines = lines.select("page_id", F.posexplode(F.split("text", "\n")).alias("i", "line")).withColumn("s", X.strip(F.col("line")))
     kinds = lines.select(X.editorial_kind(F.col("s")).alias("kind"), F.substring("s", 1, 100).alias("example"), "page_id", "i").where("kind is not null")
     return kinds.withColumn("n", F.row_number().over(Window.partitionBy("kind").orderBy("page_id", "i")).cast("long")).where("n <= 5").select("kind", "n", "example")
 

@@ -121,3 +121,21 @@ def test_joins_that_must_be_whole(spark):
     assert sorted((r.id, r.a.x, r.b.y) for r in both.collect()) == [(1, 0.5, "p"), (3, None, "q")] and sorted(tuple(r) for r in alone.collect()) == [(2, "a"), (4, "b")]
     with pytest.raises(ValueError, match="both sides"):
         segments.aligned(one.where("id = 2"), two, "id")
+
+
+def test_profiles_against_rows(spark):
+    from quillspark.operators import audit
+
+    rows = spark.createDataFrame([("a", "x"), ("a", "x"), ("a", "y"), ("b", "z"), ("c", "w")], "who string, what string")
+    profiles = spark.createDataFrame([("a", 3, [("x", 2), ("y", 1)]), ("b", 2, [("z", 1), ("q", 1)]), ("d", 1, [("v", 1)])], "author string, total long, works array<struct<work: string, n: long>>")
+    got = sorted((tuple(r) for r in audit.profile_issues(profiles, rows, "who", "what").collect()), key=repr)
+    assert got == [("b", "total mismatch", None, 2, 1), ("b", "work mismatch", "q", 1, None), ("c", "missing profile", None, None, 1), ("d", "unexpected profile", None, 1, None)]
+
+
+def test_progress_of_result_files(spark):
+    from quillspark.operators import audit
+
+    files = [None, "", "{", "{}", '{"chapters": null}', '{"chapters": [1, {"a": 2}]}', '{"chapters": 3}', "[]"]
+    n, done = audit.progress(F.col("f"), 2)
+    got = spark.createDataFrame([(f,) for f in files], "f string").select(n.alias("n"), done.alias("done")).collect()
+    assert [r.n for r in got] == [0, -1, -1, 0, 0, 2, 0, 0] and [r.done for r in got] == [r.n >= 2 for r in got]
