@@ -38,11 +38,36 @@ def pearson(x: Column | str, y: Column | str) -> Column:
 
 
 def corr_matrix(df: DataFrame, dims: list[str]) -> DataFrame:
-    """(dim_a, dim_b, r) for all a < b, in one pass over the rows."""
-    pairs = [(a, b) for i, a in enumerate(dims) for b in dims[i + 1 :]]
-    row = df.agg(*[pearson(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"{i}") for i, (a, b) in enumerate(pairs)])
-    listed = F.array(*[F.struct(F.lit(a).alias("dim_a"), F.lit(b).alias("dim_b"), F.col(f"`{i}`").alias("r")) for i, (a, b) in enumerate(pairs)])
-    return row.select(F.inline(listed))
+    """(dim_a, dim_b, r) for all a < b, in one pass over the rows; null for a constant column or without rows.
+
+    Each task sums counts, values and products of all pairs as products of matrices, with the values less those of one row, so that little is lost in
+    the differences; a few hundred rows a task are added up. A covariance takes the rows where both are known, a deviation those where its own is.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    x = df.select(*[F.col(f"`{d}`").cast("double").alias(f"d{i}") for i, d in enumerate(dims)])
+    one = x.first()
+    near = np.array([v if v is not None and np.isfinite(v) else 0.0 for v in (one or [0.0] * len(dims))])
+    i, j = np.triu_indices(len(dims))
+
+    def sums(batches):
+        n, first, both = (np.zeros((len(dims), len(dims))) for _ in range(3))
+        for b in batches:
+            if b.num_rows:
+                m = np.stack([c.to_numpy(zero_copy_only=False) for c in b.columns], axis=1)
+                known = np.stack([~np.asarray(c.is_null()) for c in b.columns], axis=1).astype(float)
+                m = np.where(known > 0, m - near, 0.0)
+                n, first, both = n + known.T @ known, first + m.T @ known, both + m.T @ m
+        cols = [i.astype(np.int32), j.astype(np.int32), n[i, j], first[i, j], first[j, i], both[i, j]]
+        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in cols], ["i", "j", "n", "a", "b", "ab"])
+
+    total = x.mapInArrow(sums, "i int, j int, n double, a double, b double, ab double").groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "a", "b", "ab")])
+    cov = total.select("i", "j", (F.try_divide("ab", "n") - F.try_divide("a", "n") * F.try_divide("b", "n")).alias("cov"))
+    std = F.broadcast(cov.where("i = j").select(F.col("i").alias("at"), F.sqrt(F.greatest("cov", F.lit(0.0))).alias("std")))  # a row a dim
+    wide = cov.where("i < j").join(std.withColumnsRenamed({"at": "i", "std": "si"}), "i").join(std.withColumnsRenamed({"at": "j", "std": "sj"}), "j")
+    name = lambda c: F.element_at(F.array(*map(F.lit, dims)), F.col(c) + 1)
+    return wide.select(name("i").alias("dim_a"), name("j").alias("dim_b"), F.try_divide(F.col("cov"), F.col("si") * F.col("sj")).alias("r"))
 
 
 def decorrelate(df: DataFrame, dims: list[str], limit: float = 0.70) -> list[str]:
