@@ -309,7 +309,7 @@ def candidates(nodes: DataFrame, met: Callable[[list[pa.Array]], list[pa.Array]]
     blank = lambda n, types: [pa.nulls(n, t) for t in types]
 
     def walk(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Pairs (a, b); rows near either end of the partition (part, at, the row); how many rows there are (part, at)."""
+        """Pairs (a, b); rows near either end of the partition that may have partners beyond it (part, at, the row); how many rows there are (part, at)."""
         from pyspark import TaskContext
 
         part, at, held, lead = TaskContext.get().partitionId(), 0, None, 0
@@ -323,13 +323,17 @@ def candidates(nodes: DataFrame, met: Callable[[list[pa.Array]], list[pa.Array]]
             n = t.num_rows
             return pa.RecordBatch.from_arrays([*blank(n, [pa.int64()] * 3), pa.array(np.full(n, part, np.int32)), pa.array(np.arange(first, first + n)), *[_flat(c) for c in t.columns]], names)
 
+        first: tuple[int, bytes] | None = None
         for b in batches:
             if not b.num_rows:
                 continue
             new = pa.Table.from_batches([b])
-            if lead < REGION:
-                yield border(new.slice(0, REGION - lead), at)
-                lead += min(new.num_rows, REGION - lead)
+            if lead == at and lead < REGION:  # so far all rows share their order and first minimum
+                run = _runs(b)
+                first = first or run[0]
+                same = next((i for i, r in enumerate(run) if r != first), b.num_rows)
+                yield border(new.slice(0, min(same, REGION - lead)), at)
+                lead += min(same, REGION - lead)
             at += b.num_rows
             held = new if held is None else pa.concat_tables([held, new])
             while held.num_rows >= TURN:
@@ -337,9 +341,11 @@ def candidates(nodes: DataFrame, met: Callable[[list[pa.Array]], list[pa.Array]]
                 held = held.slice(TURN - REGION)
         if held is not None:
             yield give(met([_flat(c) for c in held.columns]))
-            tail = held.slice(max(0, held.num_rows - min(REGION, max(0, at - REGION))))  # what hasn't been given as one of the first
-            if at > REGION:
-                yield border(tail, at - tail.num_rows)
+            tail = held.slice(max(0, held.num_rows - min(REGION, at - lead)))  # what hasn't been given as one of the first
+            if tail.num_rows:
+                run = [r for b in tail.to_batches() for r in _runs(b)]
+                size = next((i for i, r in enumerate(reversed(run)) if r != run[-1]), len(run))
+                yield border(tail.slice(len(run) - size), at - size)
             yield pa.RecordBatch.from_arrays([*blank(1, [pa.int64()] * 3), pa.array([part], pa.int32()), pa.array([at], pa.int64()), *blank(1, kinds)], names)
 
     order = ["ord", "key", "sketch", "node"]
@@ -351,12 +357,13 @@ def candidates(nodes: DataFrame, met: Callable[[list[pa.Array]], list[pa.Array]]
     starts = np.array([offset[p] for p in parts[1:]], np.int64)
 
     def deal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each row near a border, once for each such border."""
+        """Each row near a border, in the two blocks of 2 * REGION places that hold it: any two rows less than a region apart share one."""
         for b in batches:
             at = np.array([offset[p] for p in b.column(0).to_pylist()], np.int64) + b.column(1).to_numpy()
-            low, high = np.searchsorted(starts, at - REGION, side="right"), np.searchsorted(starts, at + REGION, side="right")
-            each = pa.array(np.repeat(np.arange(b.num_rows), high - low))
-            yield pa.RecordBatch.from_arrays([pa.array(ragged(low, high - low).astype(np.int32)), *[c.take(each) for c in b.columns[2:]]], ["border", *wide])
+            near = np.flatnonzero(np.searchsorted(starts, at - REGION, side="right") < np.searchsorted(starts, at + REGION, side="right"))
+            block = np.concatenate([at[near] // REGION, at[near] // REGION - 1])
+            each = pa.array(np.concatenate([near, near]))
+            yield pa.RecordBatch.from_arrays([pa.array(block), *[c.take(each) for c in b.columns[2:]]], ["border", *wide])
 
     def meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -374,10 +381,15 @@ def candidates(nodes: DataFrame, met: Callable[[list[pa.Array]], list[pa.Array]]
         if held is not None and held.num_rows:
             yield whole(held)
 
-    near = through(walked.where("ord is not null").select("part", "at", *wide), deal, f"border int, {_KIND}{kind}").repartition("border").sortWithinPartitions("border", *order)
+    near = through(walked.where("ord is not null").select("part", "at", *wide), deal, f"border bigint, {_KIND}{kind}").repartition("border").sortWithinPartitions("border", *order)
     return walked.where("a is not null").select("a", "b", "far").union(through(near, meet, "a bigint, b bigint, far bigint"))
 
 
+def _runs(b: pa.RecordBatch) -> list[tuple[int, bytes]]:
+    """Order and first minimum of each row: only rows that share them can meet."""
+    return list(zip(b.column(0).to_pylist(), (k[:2] for k in b.column(1).to_pylist()), strict=True))
+
+
 def _flat(c: pa.ChunkedArray) -> pa.Array:
     c = c.combine_chunks()
     return c if isinstance(c, pa.Array) else c.chunk(0) if c.num_chunks else pa.array([], c.type)
