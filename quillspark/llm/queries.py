@@ -61,7 +61,9 @@ def op7_language_rank_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_secret_randomness(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda s: s["kind"] < len(secrets.KINDS))
-    counts = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(secrets.KINDS)]
+    # a second argument of the function would be the place in the array
+    of = lambda k: F.filter("spans", lambda s: s["kind"] == k)
+    counts = [F.size(of(k)).cast("long").alias(f"n_{name}") for k, name in enumerate(secrets.KINDS)]
     return found.select("doc_id", *counts, F.sha2(secrets.listed(base), 256).alias("base_sha256"), secrets.listed(F.col("spans")).alias("spans"))
 
 
