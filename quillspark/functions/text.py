@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import lexicons as L
 from .entities import unescape
 
+#: How a page's character references are decoded.
+Decoder = Callable[[Column], Column]
+
 WORD = "[a-záéíóúüñàâçèêëîïôùûœæ]+"
 TOKEN = r"[\p{L}\p{N}_]+"
 MARK = "\x01"
@@ -68,27 +73,27 @@ def _trim_lines(c: Column) -> Column:
     return strip(F.regexp_replace(F.regexp_replace(F.regexp_replace(c, r"[ \t\r\f]*\n[ \t\r\f]*", "\n"), r"^[ \t\r\f]+|[ \t\r\f]+$", ""), r"\n{3,}", "\n\n"))
 
 
-def html_to_text(c: Column) -> Column:
+def html_to_text(c: Column, decode: Decoder = unescape) -> Column:
     """Prose of a chapter page: headings, navigation, star lines and editors' notes go, blocks become paragraphs."""
     for pattern in L.CHAPTER_NOISE:
         c = F.regexp_replace(c, pattern, "")
     c = F.coalesce(_body(c), c)
     c = F.regexp_replace(F.regexp_replace(c, r"<br\s*/?>", "\n"), r"</(?:p|div|blockquote)>", "\n\n")
-    return _trim_lines(unescape(F.regexp_replace(c, r"<[^>]+>", "")))
+    return _trim_lines(decode(F.regexp_replace(c, r"<[^>]+>", "")))
 
 
-def html_main_text(c: Column) -> Column:
+def html_main_text(c: Column, decode: Decoder = unescape) -> Column:
     """Text of a page without scripts, styles, navigation, headers, footers and comments; tags part lines."""
     c = F.regexp_replace(c, r"(?s)<!--.*?-->", "")
     for tag in ("script", "style", "nav", "header", "footer"):
         c = F.regexp_replace(c, rf"(?s)<{tag}(?:\s[^>]*)?>.*?</{tag}>", "")
-    c = unescape(F.regexp_replace(c, r"<[^>]+>", "\n"))
+    c = decode(F.regexp_replace(c, r"<[^>]+>", "\n"))
     return strip(F.regexp_replace(F.regexp_replace(c, r"\n\s*\n", "\n\n"), " +", " "))
 
 
-def html_epigraph(c: Column) -> Column:
+def html_epigraph(c: Column, decode: Decoder = unescape) -> Column:
     inner = F.regexp_replace(F.coalesce(_body(c), F.lit("")), r"(?s)<h2[^>]*>.*?</h2>", "")
-    inner = unescape(F.regexp_replace(F.regexp_replace(inner, r"<br\s*/?>", "\n"), r"<[^>]+>", ""))
+    inner = decode(F.regexp_replace(F.regexp_replace(inner, r"<br\s*/?>", "\n"), r"<[^>]+>", ""))
     return strip(F.regexp_replace(F.regexp_replace(inner, r"[ \t]+", " "), r"\n[ \t]+", "\n"))
 
 
