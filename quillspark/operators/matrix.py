@@ -37,49 +37,65 @@ def pearson(x: Column | str, y: Column | str) -> Column:
     return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
 
 
-def corr_matrix(df: DataFrame, dims: list[str]) -> DataFrame:
-    """(dim_a, dim_b, r) for all a < b, in one pass over the rows; null for a constant column or without rows.
+def _covariances(df: DataFrame, dims: list[str]) -> DataFrame:
+    """(i, j, cov) of places i <= j in dims, in one pass over the rows.
 
-    Each task sums counts, values and products of all pairs as products of matrices, with the values less those of one row, so that little is lost in
-    the differences; a few hundred rows a task are added up. A covariance takes the rows where both are known, a deviation those where its own is.
+    Each task sums counts, values and products of all pairs as products of matrices, with the values less the first it knows, so that little is lost
+    in the differences; a few hundred rows a task are brought to the least of these values and added up. A covariance takes the rows where both are known.
     """
     import numpy as np
     import pyarrow as pa
 
     x = df.select(*[F.col(f"`{d}`").cast("double").alias(f"d{i}") for i, d in enumerate(dims)])
-    one = x.first()
-    near = np.array([v if v is not None and np.isfinite(v) else 0.0 for v in (one or [0.0] * len(dims))])
     i, j = np.triu_indices(len(dims))
 
     def sums(batches):
         n, first, both = (np.zeros((len(dims), len(dims))) for _ in range(3))
+        near = None
         for b in batches:
             if b.num_rows:
                 m = np.stack([c.to_numpy(zero_copy_only=False) for c in b.columns], axis=1)
                 known = np.stack([~np.asarray(c.is_null()) for c in b.columns], axis=1).astype(float)
+                if near is None:
+                    fit = (known > 0) & np.isfinite(m)
+                    near = np.where(fit.any(axis=0), m[fit.argmax(axis=0), np.arange(len(dims))], 0.0)
                 m = np.where(known > 0, m - near, 0.0)
                 n, first, both = n + known.T @ known, first + m.T @ known, both + m.T @ m
         cols = [i.astype(np.int32), j.astype(np.int32), n[i, j], first[i, j], first[j, i], both[i, j]]
-        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in cols], ["i", "j", "n", "a", "b", "ab"])
+        ends = [pa.nulls(len(i), pa.float64())] * 2 if near is None else [pa.array(near[i]), pa.array(near[j])]  # no rows, no values
+        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in cols] + ends, ["i", "j", "n", "a", "b", "ab", "s", "t"])
+
+    part = x.mapInArrow(sums, "i int, j int, n double, a double, b double, ab double, s double, t double")
+    pair = Window.partitionBy("i", "j")  # a row a task
+    n, a, b, s, t = F.col("n"), F.col("a"), F.col("b"), F.col("s") - F.min("s").over(pair), F.col("t") - F.min("t").over(pair)
+    moved = part.select("i", "j", "n", (a + n * s).alias("a"), (b + n * t).alias("b"), (F.col("ab") + a * t + b * s + n * s * t).alias("ab"))
+    total = moved.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "a", "b", "ab")])
+    return total.select("i", "j", (F.try_divide("ab", "n") - F.try_divide("a", "n") * F.try_divide("b", "n")).alias("cov"))
+
 
-    total = x.mapInArrow(sums, "i int, j int, n double, a double, b double, ab double").groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "a", "b", "ab")])
-    cov = total.select("i", "j", (F.try_divide("ab", "n") - F.try_divide("a", "n") * F.try_divide("b", "n")).alias("cov"))
-    std = F.broadcast(cov.where("i = j").select(F.col("i").alias("at"), F.sqrt(F.greatest("cov", F.lit(0.0))).alias("std")))  # a row a dim
-    wide = cov.where("i < j").join(std.withColumnsRenamed({"at": "i", "std": "si"}), "i").join(std.withColumnsRenamed({"at": "j", "std": "sj"}), "j")
+def corr_matrix(df: DataFrame, dims: list[str]) -> DataFrame:
+    """(dim_a, dim_b, r) for all a < b, in one pass over the rows; null for a constant column or without rows.
+
+    A deviation takes the rows where its own column is known.
+    """
+    cov = _covariances(df, dims)
+    at = F.col("i").eqNullSafe(F.col("j"))
+    std = F.map_from_entries(F.collect_list(F.when(at, F.struct("i", F.sqrt(F.greatest("cov", F.lit(0.0)))))).over(Window.partitionBy()))  # a row a pair of dims
+    wide = cov.withColumn("std", std).where("i < j")
     name = lambda c: F.element_at(F.array(*map(F.lit, dims)), F.col(c) + 1)
-    return wide.select(name("i").alias("dim_a"), name("j").alias("dim_b"), F.try_divide(F.col("cov"), F.col("si") * F.col("sj")).alias("r"))
+    return wide.select(name("i").alias("dim_a"), name("j").alias("dim_b"), F.try_divide(F.col("cov"), F.try_element_at("std", F.col("i")) * F.try_element_at("std", F.col("j"))).alias("r"))
 
 
 def decorrelate(df: DataFrame, dims: list[str], limit: float = 0.70) -> list[str]:
-    """Dims left after dropping, of each pair above the limit, the one of less variance (of equal ones the first)."""
-    var = df.agg(*[F.var_pop(d).alias(d) for d in dims]).first().asDict()
-    r = {(x.dim_a, x.dim_b): x.r for x in corr_matrix(df, dims).collect()}  # dims squared
-    gone: set[str] = set()
-    for i, a in enumerate(dims):
-        for b in dims[i + 1 :]:
-            if b not in gone and r.get((a, b)) is not None and abs(r[a, b]) > limit:
-                gone.add(a if var[a] <= var[b] else b)
-    return [d for d in dims if d not in gone]
+    """Dims left after dropping, of each pair above the limit, the one of less variance (of equal ones the first); one pass over the rows."""
+    cov = {(x.i, x.j): x.cov for x in _covariances(df, dims).collect()}  # dims squared
+    var = [cov.get((i, i)) for i in range(len(dims))]
+    gone: set[int] = set()
+    for i in range(len(dims)):
+        for j in range(i + 1, len(dims)):
+            if j not in gone and cov.get((i, j)) is not None and (var[i] or 0) > 0 and (var[j] or 0) > 0 and abs(cov[i, j] / (var[i] * var[j]) ** 0.5) > limit:
+                gone.add(i if var[i] <= var[j] else j)
+    return [d for i, d in enumerate(dims) if i not in gone]
 
 
 def pca(df: DataFrame, id_col: str, vector_col: str, k: int) -> DataFrame:

@@ -1,13 +1,17 @@
 """Stylometric features of texts: one row a text, no shuffle.
 
-Everything is computed within the row. Types, hapaxes and the moving type-token ratio come from one sorted array of
-(word, position): a word's earlier occurrence is its neighbour there, and the number of windows in which an occurrence is
-the first of its word has a closed form, so no window is built.
+Everything is computed within the row. The moving type-token ratio comes from one sorted array of (word, position): a word's
+earlier occurrence is its neighbour there, and the number of windows in which an occurrence is the first of its word has a
+closed form, so no window is built.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import lexicons as L
@@ -30,66 +34,77 @@ GROUPS = {
 }
 
 
-def _mean(a: Column) -> Column:
-    return F.when(F.size(a) > 0, F.aggregate(a, F.lit(0.0), lambda s, x: s + x) / F.size(a)).otherwise(F.lit(0.0))
+_SPACE = b" \t\n\x0b\f\r"
+_WORD = re.compile(X.WORD)
+_SENTENCE_END = re.compile(rb"([.!?]|\xe2\x80\xa6)[" + _SPACE + rb"]+")
+_VOWELS = re.compile("[aeiouáéíóúü]+")
+_MARK = X.MARK.encode()
+_LISTS = [frozenset(words) for words in (L.ARTICLES, L.PREPOSITIONS, L.CONJUNCTIONS, L.PRONOUNS, L.FRENCH, L.ENGLISH)]
+_MARKS = [[m.encode() for m in marks] for marks in ((";",), (":",), ("—", "–"), ("…", "..."), ("!", "¡"), ("?", "¿"), ("(", ")"))]
+
+
+class _Words(dict):
+    """Numbers of words in order of appearance, and for each a row: which lists hold it, its length, its syllables."""
+
+    def __init__(self) -> None:
+        self.rows: list[tuple[int, ...]] = []
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self.rows)
+        self.rows.append((*[word in some for some in _LISTS], len(word), max(1, len(_VOWELS.findall(word)))))
+        return n
+
 
+def _inside(ids: np.ndarray) -> int:
+    """Over all windows of WINDOW words, how many distinct words they hold: an occurrence counts where it is the first of its word."""
+    n = len(ids)
+    order = np.argsort(ids, kind="stable")
+    p = order + 1
+    q = np.where(np.append(False, ids[order][1:] == ids[order][:-1]), np.append(0, p[:-1]), 0)
+    first = np.maximum(np.maximum(q + 1, p - (WINDOW - 1)), 1)
+    return int(np.maximum(0, np.minimum(p, n - (WINDOW - 1)) - first + 1).sum())
 
-def _count(a: Column, words: list[str]) -> Column:
-    return F.size(F.filter(a, lambda w: w.isin(*words)))  # a hash set, after optimisation
+
+def _measure(text: bytes, ids: np.ndarray, of: np.ndarray) -> tuple[float, ...]:
+    """The features of one text with numbered words, in the order of NAMES; of: sums over its words' rows."""
+    n = len(ids)
+    seen = np.unique(ids, return_counts=True)[1]
+    types, single = len(seen), int((seen == 1).sum())
+    sent = np.array([k for k in (len(x.split()) for x in _SENTENCE_END.sub(rb"\1" + _MARK, text.strip(_SPACE)).split(_MARK)) if k] or [0], float)
+    para = [k for k in (len(x.split()) for x in text.split(b"\n")) if k]
+    mean = float(sent.mean())
+    std = float(np.sqrt(((sent - mean) ** 2).mean())) if len(sent) > 1 else 0.0
+    per_k = 1000.0 / max(n, 1)
+    mattr = types / max(n, 1) if n <= WINDOW else _inside(ids) / (WINDOW * (n - (WINDOW - 1)))
+    marks = [sum(map(text.count, some)) * per_k for some in _MARKS]
+    lists = [int(k) * per_k for k in of[: len(_LISTS)]]
+    return (
+        mean, float(np.median(sent)), std, float(sent.max()), std / mean if mean > 0 else 0.0,
+        mattr, single / types if types else 0.0, types / len(sent),
+        *lists[:4], *marks, *lists[4:],
+        int(of[-2]) / n if n else 0.0, int(of[-1]) / n if n else 0.0, sum(para) / len(para) if para else 0.0,
+    )
+
+
+def _measured(text: pa.Array, lower: pa.Array) -> pa.Array:
+    known = _Words()
+    ids = [np.array([known[w] for w in _WORD.findall(x)], np.int64) for x in lower.to_pylist()]
+    rows = np.array(known.rows, np.int64).reshape(-1, len(_LISTS) + 2)
+    out = [_measure(t, i, rows[i].sum(axis=0)) for t, i in zip(text.cast(pa.binary()).to_pylist(), ids, strict=True)]
+    cols = np.array(out, float).reshape(-1, len(NAMES)).T
+    return pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(c)) for c in cols], NAMES)
 
 
 def features(docs: DataFrame, text_col: str = "text", only: list[str] | None = None) -> DataFrame:
-    """The columns of docs and the features, or those named in ``only``. A null text counts as empty."""
+    """The columns of docs and the features, or those named in ``only``. A null text counts as empty.
+
+    Only the text goes to Python, in Arrow batches; words are numbered once a batch.
+    """
     keep = [F.col(f"`{c}`") for c in docs.columns]
     t = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    a = docs.select(*keep, t.alias("__t"), X.words(t).alias("__w"), F.transform(X.sentences(t), lambda s: F.size(X.chunks(s)).cast("double")).alias("__s"), F.transform(X.paragraphs(t), lambda p: F.size(X.chunks(p)).cast("double")).alias("__p"))
-    a = a.withColumn("__sorted", F.sort_array(F.transform("__w", lambda w, i: F.struct(w.alias("w"), (i + 1).alias("p")))))
-    a = a.withColumn("__before", F.concat(F.array(F.lit(None).cast("struct<w:string,p:int>")), F.col("__sorted")))
-    # pairs of an occurrence and its neighbour before; the last pair has no occurrence and closes the last word
-    pair = F.zip_with("__sorted", "__before", lambda x, y: F.struct(x["p"].alias("p"), F.when(x["w"] == y["w"], y["p"]).otherwise(F.lit(0)).alias("q"), (x.isNull() | y.isNull() | (x["w"] != y["w"])).alias("first")))
-    a = a.withColumn("__pairs", pair)
-    a = a.withColumn("__first", F.transform("__pairs", lambda x: x["first"]))
-    n, s = F.size("__w"), F.col("__s")
-    types = F.size(F.filter("__first", lambda x: x)) - 1
-    single = F.size(F.filter(F.zip_with("__first", F.slice("__first", F.lit(2), F.greatest(n, F.lit(1))), lambda x, y: x & y), lambda x: x))
-    a = a.withColumns({"__n": n, "__types": F.when(n > 0, types).otherwise(F.lit(0)), "__single": F.when(n > 0, single).otherwise(F.lit(0))})
-    last = F.col("__n") - (WINDOW - 1)
-    inside = F.aggregate("__pairs", F.lit(0).cast("long"), lambda acc, x: acc + F.when(x["p"].isNotNull(), F.greatest(F.lit(0), F.least(x["p"], last) - F.greatest(x["q"] + 1, x["p"] - (WINDOW - 1), F.lit(1)) + 1)).otherwise(0))
-    per_k = 1000.0 / F.greatest(F.col("__n"), F.lit(1))
-    mean = _mean(s)
-    a = a.withColumns({"__mean": mean, "__ss": F.sort_array("__s")})
-    std = F.when(F.size(s) > 1, F.sqrt(F.aggregate(s, F.lit(0.0), lambda acc, x: acc + (x - F.col("__mean")) * (x - F.col("__mean"))) / F.size(s))).otherwise(F.lit(0.0))
-    a = a.withColumn("__std", std)
-    k = F.size("__ss")
-    half = F.floor((k - 1) / 2).cast("int")
-    text = F.col("__t")
-    out = {
-        "sent_len_mean": F.col("__mean"),
-        "sent_len_median": (F.get("__ss", half) + F.get("__ss", F.floor(k / 2).cast("int"))) / 2,
-        "sent_len_std": F.col("__std"),
-        "sent_len_max": F.array_max("__s"),
-        "sent_len_cv": F.when(F.col("__mean") > 0, F.try_divide(F.col("__std"), F.col("__mean"))).otherwise(F.lit(0.0)),
-        "mattr": F.when(F.col("__n") <= WINDOW, F.col("__types") / F.greatest(F.col("__n"), F.lit(1))).otherwise(F.try_divide(inside.cast("double"), WINDOW * (F.col("__n") - (WINDOW - 1)))),
-        "hapax_ratio": F.when(F.col("__types") > 0, F.try_divide(F.col("__single").cast("double"), F.col("__types"))).otherwise(F.lit(0.0)),
-        "vocab_density": F.col("__types") / F.size("__s"),
-        "articles_per_k": _count(F.col("__w"), L.ARTICLES) * per_k,
-        "prepositions_per_k": _count(F.col("__w"), L.PREPOSITIONS) * per_k,
-        "conjunctions_per_k": _count(F.col("__w"), L.CONJUNCTIONS) * per_k,
-        "pronouns_per_k": _count(F.col("__w"), L.PRONOUNS) * per_k,
-        "semicolons_per_k": X.occurrences(text, ";") * per_k,
-        "colons_per_k": X.occurrences(text, ":") * per_k,
-        "em_dashes_per_k": X.occurrences(text, "—", "–") * per_k,
-        "ellipses_per_k": X.occurrences(text, "…", "...") * per_k,
-        "exclamations_per_k": X.occurrences(text, "!", "¡") * per_k,
-        "questions_per_k": X.occurrences(text, "?", "¿") * per_k,
-        "parens_per_k": X.occurrences(text, "(", ")") * per_k,
-        "french_per_k": _count(F.col("__w"), L.FRENCH) * per_k,
-        "english_per_k": _count(F.col("__w"), L.ENGLISH) * per_k,
-        "word_len_mean": _mean(F.transform("__w", lambda w: F.length(w).cast("double"))),
-        "syllable_mean": _mean(F.transform("__w", lambda w: F.greatest(F.lit(1), F.regexp_count(w, F.lit("[aeiouáéíóúü]+"))).cast("double"))),
-        "para_len_mean": _mean(F.col("__p")),
-    }
-    return a.select(*keep, *[out[name].cast("double").alias(name) for name in only or NAMES])
+    measured = F.arrow_udf(lambda text, lower: _measured(text, lower), f"struct<{', '.join(f'{name}: double' for name in NAMES)}>")
+    a = docs.select(*keep, measured(t, F.lower(t)).alias("__f"))
+    return a.select(*keep, *[F.col(f"__f.{name}").alias(name) for name in only or NAMES])
 
 
 def syntax_features(parses: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -2,8 +2,9 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
-from quillspark.operators import dataset
+from quillspark.operators import dataset, matrix, stylometrics
 from quillspark.plans import QUERIES, SQL
 from test_queries import _value
 
@@ -50,3 +51,35 @@ def test_rounded_sizes_equal_duckdb_s():
     shares = {"train": 0.7, "validation": 0.15, "test": 0.15}
     want = duckdb.sql("select n, cast(round(n * 0.7) as bigint), cast(round(n * 0.15) as bigint) from (select unnest(generate_series(0, 3000)) as n)").fetchall()
     assert [(n, *list(dataset.rounded_sizes(n, shares).values())[:2]) for n, _, _ in want] == want
+
+
+TEXTS = ["", None, "  \n ", "One. Two words! Three more words?\n\nA new — paragraph… it ends... (so); no: yes", "l'été à la mer, où les élèves ñ x\x01y z", "the of and he she " * 40 + "ΣΑΣ", "a b c " * 17, "¡Hola! ¿Qué tal? ... … –", "x" * 500]
+
+
+def test_features_of_odd_texts_equal_sql(spark, tmp_path):
+    docs = {"documents": ([(i, t, "s", "en", 5) for i, t in enumerate(TEXTS) if t], "doc_id long, text string, source string, lang string, n_chars long")}
+    for name in ("stylometric_features", "feature_stats", "top_variance_dims"):
+        mine, theirs = differ(spark, tmp_path, name, docs)
+        assert mine == theirs, name
+
+
+def test_features_are_computed_once(spark):
+    """Texts go to Python in one step, and no expression reads the words of a text again."""
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS)], "doc_id long, text string")
+    f = stylometrics.features(df).drop("text")
+    plan = f._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "regexp_extract_all" not in plan
+    got = {r.doc_id: r for r in f.collect()}
+    assert got[1].sent_len_mean == got[2].mattr == got[1].vocab_density == 0.0 and got[3].sent_len_max > 0
+
+
+def test_covariances_of_uneven_tasks(spark):
+    """Constant columns far from zero have no deviation, whatever the tasks; empty tasks change nothing; no rows give nulls."""
+    rows = [(5.1, float(i), None if i % 3 else 1e9 + i) for i in range(40)]
+    df = spark.createDataFrame(rows, "a double, b double, c double").repartition(7)
+    got = {(r.dim_a, r.dim_b): r.r for r in matrix.corr_matrix(df.union(df.where("false")), ["a", "b", "c"]).collect()}
+    assert got["a", "b"] is None and got["a", "c"] is None
+    both = df.where("c is not null")
+    assert matrix.corr_matrix(both, ["b", "c"]).first().r == pytest.approx(1.0)
+    assert matrix.decorrelate(both, ["a", "b", "c"]) in (["a", "b"], ["a", "c"])
+    assert [r.r for r in matrix.corr_matrix(df.where(F.rand() > 2), ["a", "b"]).collect()] == [None]
