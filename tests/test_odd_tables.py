@@ -1,10 +1,12 @@
 """Registered queries against their SQL on tables other than the given ones."""
 
+import random
+
 import duckdb
+import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
-from quillspark.operators import dataset, matrix, stylometrics
+from quillspark.operators import dataset, matrix, pairs, stylometrics
 from quillspark.plans import QUERIES, SQL
 from test_queries import _value
 
@@ -82,4 +84,17 @@ def test_covariances_of_uneven_tasks(spark):
     both = df.where("c is not null")
     assert matrix.corr_matrix(both, ["b", "c"]).first().r == pytest.approx(1.0)
     assert matrix.decorrelate(both, ["a", "b", "c"]) in (["a", "b"], ["a", "c"])
-    assert [r.r for r in matrix.corr_matrix(df.where(F.rand() > 2), ["a", "b"]).collect()] == [None]
+
+
+def test_pairs_by_blocks_equal_sql(spark, tmp_path, monkeypatch):
+    """Copies, one id twice, a null label, blocks of a few rows; no plan joins row to row."""
+    rng = random.Random(5)
+    rows = [(i, [float(np.float32(rng.gauss(0, 0.2))) for _ in range(64)], rng.randrange(3)) for i in range(60)]
+    rows += [(100 + i, rows[i][1], rows[i][2]) for i in range(20)] + [(7, rows[3][1], 1), (300, rows[5][1], None)]
+    for name in ("extreme_pairs", "group_cohesion", "pair_similarity_stats"):
+        for block in (7, 8192):
+            monkeypatch.setattr(pairs.by_blocks, "__defaults__", (block,))
+            mine, theirs = differ(spark, tmp_path, name, {"embeddings": (rows, "vec_id long, embedding array<float>, label int")})
+            assert mine == theirs, (name, block)
+    plan = QUERIES["group_cohesion"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "CartesianProduct" not in plan
