@@ -16,15 +16,8 @@ def average_rank(value: Column | str, *partition: str) -> Column:
     return F.rank().over(w.orderBy(value)) + (F.count("*").over((Window.partitionBy(*partition, value))) - 1) / 2
 
 
-def spearman(df: DataFrame, x: str, y: str, keys: list[str] | None = None) -> DataFrame:
-    """keys, rho, n; null for a constant column."""
-    keys = keys or []
-    ranked = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, average_rank(x, *keys).alias("__x"), average_rank(y, *keys).alias("__y"))
-    return ranked.groupBy(*keys).agg(pearson("__x", "__y").alias("rho"), F.count("*").alias("n"))
-
-
-def correlation_tests(df: DataFrame, x: str, y: str, keys: list[str]) -> DataFrame:
-    """keys, n, rho and r with their two-sided p-values; null for a constant column, p also for fewer than three pairs.
+def _ranked_pairs(df: DataFrame, x: str, y: str, keys: list[str]) -> DataFrame:
+    """keys, x, y, __c rows that hold both values, and the average ranks __r_x and __r_y.
 
     Rows are counted by pair of values first. Ranks come from running counts of distinct values, so an ordinal scale has a few rows to sort, whatever the number of pairs.
     """
@@ -35,6 +28,27 @@ def correlation_tests(df: DataFrame, x: str, y: str, keys: list[str]) -> DataFra
         rank = one.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col(c).alias("__v"), (F.sum("__m").over(upto) - (F.col("__m") - 1) / 2).alias(f"__r_{c}"))
         same = [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)]
         pairs = pairs.join(rank, [*same, F.col(c) == F.col("__v")]).drop("__v", *[f"__k{i}" for i in range(len(keys))])
+    return pairs
+
+
+def spearman(df: DataFrame, x: str, y: str, keys: list[str] | None = None) -> DataFrame:
+    """keys, rho, n; null for a constant column. Ranks are those of counted values, so no task sorts a key's rows."""
+    keys = keys or []
+    c, a, b = F.col("__c"), F.col(f"__r_{x}"), F.col(f"__r_{y}")
+    ranked = _ranked_pairs(df, x, y, keys)
+    n = ranked.groupBy(*keys).agg(F.sum("__c").alias("n")).select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], "n", ((F.col("n") + 1) / 2).alias("__mid"))
+    same = [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)]
+    both = ranked.join(n, same) if keys else ranked.crossJoin(n)
+    of = lambda p, q: F.sum(c * (p - F.col("__mid")) * (q - F.col("__mid")))
+    rho = F.try_divide(of(a, b), F.nullif(F.sqrt(of(a, a)) * F.sqrt(of(b, b)), F.lit(0.0)))
+    if not keys:
+        return both.agg(rho.alias("rho"), F.coalesce(F.sum(c), F.lit(0)).alias("n"))
+    return both.groupBy(*keys, "n").agg(rho.alias("rho")).select(*keys, "rho", "n")
+
+
+def correlation_tests(df: DataFrame, x: str, y: str, keys: list[str]) -> DataFrame:
+    """keys, n, rho and r with their two-sided p-values; null for a constant column, p also for fewer than three pairs."""
+    pairs = _ranked_pairs(df, x, y, keys)
     total = pairs.groupBy(*keys).agg(F.sum("__c").alias("n"), *[(F.sum(F.col("__c") * F.col(c)) / F.sum("__c")).alias(f"__m_{c}") for c in (x, y)])
     both = pairs.join(total.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], "n", f"__m_{x}", f"__m_{y}"), [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)])
 
