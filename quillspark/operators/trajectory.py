@@ -15,6 +15,8 @@ from .matrix import pearson
 
 #: Bytes of vectors that may be sent to every task.
 SENT = 64 << 20
+#: Steps of a shuffled path that a task holds at once.
+STRETCH = 4096
 
 
 def order_of(path: str = "path", pos: str = "pos") -> Window:
@@ -83,6 +85,34 @@ def shuffled(items: DataFrame, id_col: str, permutations: int, seed: str = "42")
     return some.withColumn("pos", F.row_number().over(Window.partitionBy("perm").orderBy(key, "id"))).select("perm", "pos", "id")
 
 
+def _order(prefix: bytes, names: list[bytes]) -> np.ndarray:
+    """Places of the names in order of the md5 of the prefix and each; equal ones as they stand."""
+    keys = np.frombuffer(b"".join(hashlib.md5(prefix + i).digest() for i in names), ">u8").reshape(-1, 2).astype(np.uint64)
+    order = np.argsort(keys[:, 0], kind="stable")
+    first = keys[order, 0]
+    return np.lexsort((keys[:, 1], keys[:, 0])) if (first[1:] == first[:-1]).any() else order
+
+
+def _path_means(m: np.ndarray, order: np.ndarray) -> tuple[float | None, float | None, float]:
+    """Mean similarity, distance and angle along the rows of m in this order, a stretch of the path at a time."""
+    dot = lambda a, b: np.einsum("ij,ij->i", a, b)
+    n = len(order)
+    similarity = distance = angles = 0.0
+    bends = 0
+    for at in range(0, n - 1, STRETCH):
+        p = m[order[at : at + STRETCH + 2]]  # one point more than the steps that begin here, and one for the last bend
+        step = p[1:] - p[:-1]
+        length = np.sqrt(dot(step, step))
+        own = min(STRETCH, n - 1 - at)
+        similarity += float(dot(p[1 : own + 1], p[:own]).sum())
+        distance += float(length[:own].sum())
+        bent = (length[1:] >= 1e-10) & (length[:-1] >= 1e-10)
+        turn = dot(step[1:], step[:-1])[bent] / (length[1:] * length[:-1])[bent]
+        angles += float(np.arccos(np.clip(turn, -1, 1)).sum())
+        bends += len(turn)
+    return (similarity / (n - 1), distance / (n - 1), angles / bends if bends else 0.0) if n > 1 else (None, None, 0.0)
+
+
 def permutation_null(items: DataFrame, id_col: str, vector_col: str, permutations: int, seed: str = "42", sent: int = SENT) -> DataFrame:
     """perm, mean_similarity, mean_distance, mean_curvature of each shuffled path.
 
@@ -100,8 +130,8 @@ def permutation_null(items: DataFrame, id_col: str, vector_col: str, permutation
         return found.where("mean_similarity is not null")
     spark = items.sparkSession
     every = v.orderBy("id").select(F.col("id").cast("string").alias("id"), "v").toArrow()
-    names = every["id"].to_pylist()
-    matrix = spark.sparkContext.broadcast(np.array(every["v"].to_pylist(), float).reshape(len(names), -1) if names else np.zeros((0, 1)))  # ``sent`` bytes at most
+    names = [i.encode() for i in every["id"].to_pylist()]
+    matrix = spark.sparkContext.broadcast(every["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(names), -1) if names else np.zeros((0, 1)))  # ``sent`` bytes at most
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = matrix.value
@@ -109,15 +139,7 @@ def permutation_null(items: DataFrame, id_col: str, vector_col: str, permutation
             perms = b.column(0).to_pylist()
             rows = []
             for perm in perms:
-                keys = [hashlib.md5(f"{seed}|{perm}|{i}".encode()).digest() for i in names]
-                order = sorted(range(len(names)), key=keys.__getitem__)  # equal keys by id, in which order the names are
-                p = m[order]
-                step = np.diff(p, axis=0)
-                length = np.sqrt((step * step).sum(axis=1))
-                bent = (length[1:] >= 1e-10) & (length[:-1] >= 1e-10)
-                turn = (step[1:] * step[:-1]).sum(axis=1)[bent] / (length[1:] * length[:-1])[bent]
-                angle = np.arccos(np.clip(turn, -1, 1))
-                rows.append((perm, float((p[1:] * p[:-1]).sum(axis=1).mean()) if len(step) else None, float(length.mean()) if len(step) else None, float(angle.mean()) if len(angle) else 0.0))
+                rows.append((perm, *_path_means(m, _order(f"{seed}|{perm}|".encode(), names))))
             cols = list(zip(*rows, strict=True)) if rows else [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.float64(), pa.float64(), pa.float64()), strict=True)], ["perm", "mean_similarity", "mean_distance", "mean_curvature"])
 

@@ -1,12 +1,14 @@
 """Registered queries against their SQL on tables other than the given ones."""
 
+import hashlib
 import random
 
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from quillspark.operators import dataset, matrix, pairs, stylometrics
+from quillspark.operators import dataset, matrix, pairs, stats, stylometrics, trajectory
 from quillspark.plans import QUERIES, SQL
 from test_queries import _value
 
@@ -98,3 +100,29 @@ def test_pairs_by_blocks_equal_sql(spark, tmp_path, monkeypatch):
             assert mine == theirs, (name, block)
     plan = QUERIES["group_cohesion"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "CartesianProduct" not in plan
+
+
+def test_ranks_are_of_counted_values(spark):
+    """No window holds a row for each of a key's rows; ties, nulls, constants and no keys as before."""
+    rows = [("a", float(i % 5), float((i * 7) % 4)) for i in range(400)] + [("b", 1.0, float(i)) for i in range(5)] + [("a", None, 1.0), (None, 1.0, 2.0), (None, 2.0, 3.0)]
+    df = spark.createDataFrame(rows, "k string, x double, y double")
+    plain = df.where("x is not null").select("k", stats.average_rank("x", "k").alias("rx"), stats.average_rank("y", "k").alias("ry"))
+    want = {r.k: (r.r, r.n) for r in plain.groupBy("k").agg(matrix.pearson("rx", "ry").alias("r"), F.count("*").alias("n")).collect()}
+    got = {r.k: (r.rho, r.n) for r in stats.spearman(df, "x", "y", ["k"]).collect()}
+    assert got.keys() == want.keys() and all(got[k] == (want[k][0] if want[k][0] is None else pytest.approx(want[k][0], abs=1e-12), want[k][1]) for k in want)
+    assert stats.spearman(df.where("k = 'a'"), "x", "y").first().rho == pytest.approx(want["a"][0], abs=1e-12)
+    plan = stats.spearman(df, "x", "y", ["k"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "rank(" not in plan
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 8, 9, 10, 23])
+def test_stretches_of_a_path_meet(monkeypatch, n):
+    """Means over stretches are those over the whole path, wherever it is cut."""
+    m = np.random.default_rng(1).normal(size=(n, 4))
+    m[5:7] = m[4:5] if n > 7 else m[5:7]  # steps of no length
+    order = trajectory._order(b"42|1|", [str(i).encode() for i in range(n)])
+    assert list(order) == sorted(range(n), key=lambda i: hashlib.md5(f"42|1|{i}".encode()).digest())
+    whole = trajectory._path_means(m, np.arange(n))
+    for size in (1, 2, 4, 7):
+        monkeypatch.setattr(trajectory, "STRETCH", size)
+        assert trajectory._path_means(m, np.arange(n)) == (None, None, 0.0) if n < 2 else trajectory._path_means(m, np.arange(n)) == pytest.approx(whole, abs=1e-12)
