@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.special import correlation_p
 from .matrix import pearson
 
+#: Resamples of a key that a task takes at once, and draws that it holds.
+RESAMPLES, DRAWS = 25, 1 << 16
+
 
 def average_rank(value: Column | str, *partition: str) -> Column:
     """Ranks from 1, ties at their mean."""
@@ -101,15 +109,34 @@ def bias_band(value: Column) -> Column:
     return F.when(value > 0.5, "higher").when(value < -0.5, "lower").otherwise("even")
 
 
+def _resampled_mean(v: np.ndarray, prefix: bytes) -> float | None:
+    """Mean of as many draws as there are values; a draw's place is the leading 48 bits of the md5 of the prefix and its number."""
+    total = 0.0
+    for at in range(0, len(v), DRAWS):
+        keys = b"".join(hashlib.md5(b"%b%d" % (prefix, i)).digest() for i in range(at, min(at + DRAWS, len(v))))
+        total += float(v[(np.frombuffer(keys, ">u8")[::2].astype(np.uint64) >> np.uint64(16)) % np.uint64(len(v))].sum())
+    return total / len(v) if len(v) else None
+
+
 def bootstrap_mean(df: DataFrame, key: str, value: str, resamples: int = 1000, seed: str = "42") -> DataFrame:
     """key, low, high: a portable bootstrap interval of the mean; draws are picked by md5 of seed, key, resample and place.
 
     The values of a key are sorted, so the interval doesn't depend on the order of rows.
     """
-    each = df.groupBy(key).agg(F.array_sort(F.collect_list(value)).alias("v")).withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
-    n = F.size("v")
-    draw = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.pmod(F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.col(key).cast("string"), F.col("r").cast("string"), i.cast("string"))), 1, 12), 16, 10).cast("long"), n).cast("int"))
-    each = each.withColumn("draw", draw)
-    mean = F.aggregate("draw", F.lit(0.0), lambda s, i: s + F.get("v", i)) / n
-    means = each.select(key, mean.alias("m")).groupBy(key).agg(F.array_sort(F.collect_list("m")).alias("m"))
+    tasks = 4 * df.sparkSession.sparkContext.defaultParallelism
+    each = df.groupBy(key).agg(F.array_sort(F.collect_list(F.col(value).cast("double"))).alias("v")).withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1), F.lit(RESAMPLES))))
+    each = each.select(F.col(key).alias("key"), F.col(key).cast("string").alias("name"), "r", "v").repartition(tasks, "key", "r")
+
+    def draw(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, out = [], []
+            for row, (name, r) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)):
+                v = b.column(3)[row].values.to_numpy(zero_copy_only=False)
+                for i in range(r, min(r + RESAMPLES, resamples)):
+                    at.append(row)
+                    out.append(_resampled_mean(v, "|".join([seed, *([] if name is None else [name]), f"{i}|"]).encode()))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array(out, pa.float64())], ["key", "m"])
+
+    each = each.mapInArrow(draw, f"key {each.schema['key'].dataType.simpleString()}, m double").select(F.col("key").alias(key), "m")
+    means = each.groupBy(key).agg(F.array_sort(F.collect_list("m")).alias("m"))
     return means.select(key, F.get("m", F.lit(int(0.025 * (resamples - 1)))).alias("low"), F.get("m", F.lit(int(0.975 * (resamples - 1)))).alias("high"))

@@ -126,3 +126,17 @@ def test_stretches_of_a_path_meet(monkeypatch, n):
     for size in (1, 2, 4, 7):
         monkeypatch.setattr(trajectory, "STRETCH", size)
         assert trajectory._path_means(m, np.arange(n)) == (None, None, 0.0) if n < 2 else trajectory._path_means(m, np.arange(n)) == pytest.approx(whole, abs=1e-12)
+
+
+def test_draws_are_those_of_a_plain_bootstrap(spark, monkeypatch):
+    """Draws in parts and resamples in parts give the interval of a plain loop; no expression draws row by row."""
+    monkeypatch.setattr(stats, "DRAWS", 4)
+    values = [float(i * i % 11) for i in range(10)]
+    df = spark.createDataFrame([("k", v) for v in values] + [(None, v) for v in values[:3]], "k string, v double")
+    out = stats.bootstrap_mean(df, "k", "v", 60)
+    assert "md5(" not in out._jdf.queryExecution().optimizedPlan().toString()
+    got = {r.k: (r.low, r.high) for r in out.collect()}
+    for k, some in (("k", sorted(values)), (None, sorted(values[:3]))):
+        name = "42|k|" if k else "42|"
+        means = sorted(sum(some[int(hashlib.md5(f"{name}{r}|{i}".encode()).hexdigest()[:12], 16) % len(some)] for i in range(len(some))) / len(some) for r in range(60))
+        assert got[k] == pytest.approx((means[int(0.025 * 59)], means[int(0.975 * 59)]), abs=1e-12)
