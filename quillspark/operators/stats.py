@@ -72,14 +72,6 @@ def correlation_tests(df: DataFrame, x: str, y: str, keys: list[str]) -> DataFra
     return g.select(*keys, "n", "rho", correlation_p(bound("rho"), F.col("n")).alias("rho_p"), "r", correlation_p(bound("r"), F.col("n")).alias("r_p"))
 
 
-def mantel(pairs: DataFrame, scales: list[str]) -> DataFrame:
-    """scale_a, scale_b, rho between the distance columns of a table of pairs."""
-    ranked = pairs.select(*[average_rank(s).alias(s) for s in scales])
-    found = [(a, b) for i, a in enumerate(scales) for b in scales[i + 1 :]]
-    row = ranked.agg(*[pearson(a, b).alias(f"{a}|{b}") for a, b in found])
-    return row.select(F.inline(F.array(*[F.struct(F.lit(a).alias("scale_a"), F.lit(b).alias("scale_b"), F.col(f"`{a}|{b}`").alias("rho")) for a, b in found])))
-
-
 def weighted_kappa(df: DataFrame, a: str, b: str, keys: list[str]) -> DataFrame:
     """keys, kappa with squared weights; null where no disagreement can be expected."""
     n = df.groupBy(*keys).agg(F.count("*").cast("double").alias("n"), F.sum(F.pow(F.col(a) - F.col(b), 2)).alias("seen"), F.sum(a).alias("sa"), F.sum(b).alias("sb"), F.sum(F.col(a) * F.col(a)).alias("qa"), F.sum(F.col(b) * F.col(b)).alias("qb"))

@@ -140,3 +140,24 @@ def test_draws_are_those_of_a_plain_bootstrap(spark, monkeypatch):
         name = "42|k|" if k else "42|"
         means = sorted(sum(some[int(hashlib.md5(f"{name}{r}|{i}".encode()).hexdigest()[:12], 16) % len(some)] for i in range(len(some))) / len(some) for r in range(60))
         assert got[k] == pytest.approx((means[int(0.025 * 59)], means[int(0.975 * 59)]), abs=1e-12)
+
+
+def test_mantel_equals_its_sql_on_odd_vectors(spark, tmp_path):
+    """Null vectors, copies and a repeated id, in several blocks and parts; no window ranks all pairs."""
+    import duckdb
+    import numpy as np
+
+    from quillspark.operators import pairs
+    from quillspark.plans import SQL
+
+    rng = np.random.default_rng(1)
+    rows = [(i, None if i % 11 == 0 else [float(x) for x in np.round(rng.normal(0, 1, 64), 1)], 1) for i in range(60)]
+    rows += [(i + 100, rows[1][1], 1) for i in range(9)] + [(5, rows[3][1], 2)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    df.write.parquet(f"{tmp_path}/e")
+    con = duckdb.connect()
+    con.execute(f"create view embeddings as select * from '{tmp_path}/e/*.parquet'")
+    scales = {"da": (0, 16), "db": (16, 32), "dc": (32, 64)}
+    got = pairs.mantel(df, "vec_id", "embedding", scales, block=10, part=50)
+    assert sorted((r.scale_a, r.scale_b, round(r.rho, 6)) for r in got.collect()) == sorted(con.execute(SQL["mantel"]).fetchall())
+    assert all(r.rho is None for r in pairs.mantel(df.where("false"), "vec_id", "embedding", scales).collect())
