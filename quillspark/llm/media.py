@@ -5,10 +5,10 @@
    24 pixels of each scale: so their number grows with the picture, and a part of it has the points it has in the whole.
    A point is turned by the direction of its patch's intensity centroid, and described by 256 comparisons of smoothed pixels.
 3. Hamming tables: a descriptor is filed under nine parts of 28 of its bits, with 64 others beside. Points of a file that differ in
-   more than ``_BESIDE`` of those are no pair: of points at the greatest distance that matches (``MATCH`` of 256) 99 in a hundred pass, of nearer ones all but a few. In files of up to
-   ``FEW`` points all are paired. In larger ones each is paired first with those of the ``CENTRES`` images of least number, the same in
-   all files of a group of near copies, which so costs its size; after the first links, points of images of different classes are paired
-   with each other, so that no link depends on a file's size. Files of more than ``limit`` points do that in blocks that meet in pairs.
+   more than ``_BESIDE`` of those are no pair: of points at the greatest distance that matches (``MATCH`` of 256) 99 in a hundred pass, of nearer ones all but a few. All points of
+   a file are paired, so that no link depends on its size: at once in files of up to ``FEW`` points; in larger ones those of the ``CENTRES``
+   images of least number with all others as they come, and the others with each other in a second turn, in blocks that meet in pairs in files of more than
+   ``limit`` points. The links of a group of near copies, which are part of the result, grow with its square.
 4. Pairs of images with ``votes`` points or more in common are verified: matched points propose similarity transforms, and a copy
    needs ``inliers`` points that agree with one. Verified pairs are joined to classes.
 
@@ -228,12 +228,12 @@ def _votes(u: np.ndarray, p: np.ndarray, v: np.ndarray, q: np.ndarray) -> list[n
 _ROW = ["key", "image", "point", "beside"]
 
 
-def _batch(votes: list[np.ndarray], rows: list[np.ndarray]) -> pa.RecordBatch:
-    """Votes, and rows of large files; either lacks the other's columns."""
+def _batch(votes: list[np.ndarray], rows: list[np.ndarray], centre: int = 0) -> pa.RecordBatch:
+    """Votes, and rows of large files, the first ``centre`` of them of centres; either lacks the other's columns."""
     n, m = len(votes[0]), len(rows[0])
     left = [pa.concat_arrays([pa.array(c), pa.nulls(m, pa.int64())]) for c in votes]
-    right = [pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(c)]) for c in rows]
-    return pa.RecordBatch.from_arrays([*left, *right], ["a", "b", "vote", *_ROW])
+    right = [pa.concat_arrays([pa.nulls(n, c.type), c]) for c in [*map(pa.array, rows), pa.array(np.arange(m) < centre)]]
+    return pa.RecordBatch.from_arrays([*left, *right], ["a", "b", "vote", *_ROW, "centre"])
 
 
 def _near(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -284,7 +284,8 @@ def _near(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size = np.diff(np.append(first, len(cols[0])))
         for g in np.flatnonzero(size[:-1] > FEW):  # the last file may go on
             rows = [c[first[g] : first[g] + size[g]] for c in cols]
-            yield _batch(many(rows, centred(rows)), rows)
+            start = centred(rows)
+            yield _batch(many(rows, start), rows, len(start[0]))
         small = np.repeat((size > 1) & (size <= FEW), size)
         small[first[-1] :] = False
         yield _batch(few([c[small] for c in cols]), [c[:0] for c in none])
@@ -292,23 +293,27 @@ def _near(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         start = centred(held)
         large = size[-1] > FEW and len(start[0]) < size[-1]  # all points of its centres have come
         if large:
-            yield _batch(many(held, start), held)
+            yield _batch(many(held, start), held, len(start[0]))
             held = start
     if not large and len(held[0]) > FEW:
-        yield _batch(many(held, centred(held)), held)
+        start = centred(held)
+        yield _batch(many(held, start), held, len(start[0]))
     elif not large:
         yield _batch(few(held), [c[:0] for c in none])
 
 
 def _cross(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Votes of rows (key, pair, image, point, beside, root) sorted by key and pair, between images of different roots; one file is held at a time."""
+    """Votes of rows (key, pair, image, point, beside, own) sorted by key and pair, between different images; one file, or two blocks of it, are held at a time.
+
+    Rows of one block are paired where it meets itself (pair: the two blocks), those of two blocks where these meet.
+    """
 
     def solve(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        _, _, image, point, beside, root = cols
-        n = len(image)
+        _, pair, image, point, beside, own = cols
+        n, same = len(image), pair[0] >> 15 == pair[0] & (1 << 15) - 1
         step = max(1, _BLOCK // n)
         for at in range(0, n, step):
-            i, j = np.nonzero((root[at : at + step, None] != root[None]) & (np.bitwise_count((beside[at : at + step, None] ^ beside[None]).view(np.uint64)) <= _BESIDE))
+            i, j = np.nonzero((image[at : at + step, None] != image[None]) & (same | (own[at : at + step, None] != own[None])) & (np.bitwise_count((beside[at : at + step, None] ^ beside[None]).view(np.uint64)) <= _BESIDE))
             i += at
             keep = i < j
             i, j = i[keep], j[keep]
@@ -365,7 +370,7 @@ def find_copies(images: DataFrame, *, id_col: str, image_col: str, per_tile: int
 
     rows = narrow(one.select("node", "features"), tables, "key bigint, image bigint, point bigint, beside bigint")
     rows = rows.repartition("key").sortWithinPartitions("key", "image", "point")
-    met = stage(through(rows, _near, "a bigint, b bigint, vote bigint, key bigint, image bigint, point bigint, beside bigint"), "met")
+    met = stage(through(rows, _near, "a bigint, b bigint, vote bigint, key bigint, image bigint, point bigint, beside bigint, centre boolean").where("a is not null or not centre"), "met")
     blobs = one.select("node", "features")
 
     def verify(b: pa.RecordBatch) -> pa.RecordBatch:
@@ -380,24 +385,19 @@ def find_copies(images: DataFrame, *, id_col: str, image_col: str, per_tile: int
         return stage(narrow(both.select("a", "b", "fa", "fb"), verify, "a bigint, b bigint, inliers bigint").where(F.col("inliers") >= inliers), name)
 
     def voted(of: DataFrame) -> DataFrame:
-        return of.select("a", "b", "vote").distinct().groupBy("a", "b").agg(F.count("*").alias("votes")).where(F.col("votes") >= votes).select("a", "b")
+        return of.groupBy("a", "b").agg(F.count_distinct("vote").alias("votes")).where(F.col("votes") >= votes).select("a", "b")
 
-    tried = stage(voted(met.where("a is not null")), "voted")
+    large = met.where("key is not null").select(*_ROW)
+    several = large.groupBy("key").agg(F.min("image").alias("low"), F.max("image").alias("high"), F.ceil(F.count("*") / limit).cast("int").alias("blocks")).where("low <> high")
+    own = F.pmod(F.xxhash64("image"), F.col("blocks")).cast("long")
+    apart = large.join(several.select("key", "blocks"), "key").withColumn("own", own).withColumn("c", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    apart = apart.select("key", (F.least("c", "own") * F.lit(1 << 15) + F.greatest("c", "own")).cast("long").alias("pair"), "image", "point", "beside", "own")
+    more = through(apart.repartition("key", "pair").sortWithinPartitions("key", "pair"), _cross, "a bigint, b bigint, vote bigint")
+    tried = stage(voted(met.where("a is not null").select("a", "b", "vote").union(more)), "voted")
+    unstage(met)
     linked = verified(tried, "linked")
+    unstage(tried)
     roots = components(linked.select("a", "b"))
-    large = stage(met.where("key is not null").select(*_ROW).join(roots.withColumnRenamed("node", "image"), "image", "left").select(*_ROW, F.coalesce("root", "image").alias("root")), "large")
-    several = large.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.ceil(F.count("*") / limit).cast("int").alias("blocks")).where("low <> high")
-    own = F.pmod(F.xxhash64("image"), F.col("blocks")).cast("int")
-    apart = large.join(several.select("key", "blocks"), "key").withColumn("own", own).withColumn("c", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    apart = apart.select("key", (F.least("c", "own") * F.lit(1 << 15) + F.greatest("c", "own")).cast("long").alias("pair"), "image", "point", "beside", "root")
-    more = stage(through(apart.repartition("key", "pair").sortWithinPartitions("key", "pair"), _cross, "a bigint, b bigint, vote bigint"), "crossed")
-    again = more.select("a", "b").distinct()
-    both = more.union(met.where("a is not null").select("a", "b", "vote").join(again, ["a", "b"], "left_semi"))
-    second = verified(voted(both).join(tried, ["a", "b"], "left_anti"), "linked-across")
-    if second.limit(1).count():
-        linked = linked.union(second)
-        roots = components(linked.select("a", "b"))
-    unstage(met, large, more)
     degree = linked.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
     named = one.join(roots, "node", "left").join(degree, "node", "left").select("pixels", "least", F.coalesce("root", "node").alias("root"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
     named = stage(named, "classes")

@@ -86,6 +86,20 @@ def test_no_link_depends_on_the_size_of_a_file(spark, monkeypatch):
     assert all(f == {i: i // 100 * 100 for i in noisy} for f in found)
 
 
+def test_links_of_a_group_are_all_counted(spark):
+    """Every pair of near copies that shares enough points and is verified is a link, whatever the size of their files."""
+    base = np.rint(texture(0))
+    base[:2, :2] = 0  # no patch of a corner reaches there
+    noisy = {i: media.write_pgm(base + np.pad([[i]], ((0, 79), (0, 79)))) for i in range(30)}
+    read = {i: media.features(media.decode(x)) for i, x in noisy.items()}
+    linked = [(i, j) for i in noisy for j in noisy if i < j and media.share(read[i][1], read[j][1]) >= media.VOTES and media.agree(*read[i], *read[j]) >= media.INLIERS]
+    expected = {i: sum(i in p for p in linked) for i in noisy}
+    assert set(expected.values()) == {29}
+    rows = spark.createDataFrame(list(noisy.items()), "id long, image binary").coalesce(1)
+    for limit in (media.LIMIT, 9):
+        assert {r.id: r.n_links for r in media.find_copies(rows, id_col="id", image_col="image", limit=limit).collect()} == expected, limit
+
+
 def test_votes_of_files_equal_those_of_all_pairs(monkeypatch):
     rng = np.random.default_rng(4)
     key, image, point = np.sort(rng.integers(0, 12, 400)), rng.integers(0, 40, 400), np.arange(400)
