@@ -22,7 +22,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that a Jaccard similarity of 0.8 or more of five-word shingles links."""
+    """One document of each group that a Jaccard similarity of 0.8 or more of five-word shingles links: by SimHash, confirmed in full, then exactly for the rest."""
     return simhash.first_of_each(docs, setjoin.near_copies(docs))
 
 

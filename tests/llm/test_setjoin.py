@@ -81,3 +81,25 @@ def test_prefixes_meet_whatever_the_order():
         if setjoin.similar(a, b):
             assert np.intersect1d(setjoin.prefix(a, common, often), setjoin.prefix(b, common, often)).size
             assert len(np.setxor1d(a, b)) * 9 <= len(a) + len(b)
+
+
+def test_pipeline_stage_links_by_simhash_first(spark, edited, monkeypatch):
+    """The fingerprints' pairs are those of a plain comparison, up to what connects them, and the stage's first links come from them."""
+    fps = {i: setjoin.majority(next(setjoin.sets_of(setjoin.pa.array([t])))) for i, t in edited.items()}
+    nodes = spark.createDataFrame([(i, f - (1 << 64) if f >> 63 else f) for i, f in fps.items()], "node long, fp long")
+    pairs = [(r.a, r.b) for r in setjoin.simhash_pairs(nodes).collect()]
+    near = [(i, j) for i in fps for j in fps if i < j and (fps[i] ^ fps[j]).bit_count() <= 4]
+    assert pairs and set(pairs) <= set(near)
+
+    def connected(edges):
+        of = {i: i for i in fps}
+        for _ in fps:
+            for i, j in edges:
+                of[i] = of[j] = min(of[i], of[j])
+        return of
+
+    assert connected(pairs) == connected(near)
+    seen, plain = [], setjoin._linked
+    monkeypatch.setattr(setjoin, "_linked", lambda pairs, *more: seen.append((more[-1], pairs.count())) or plain(pairs, *more))
+    corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(list(edited.items()), "doc_id long, text string"), "")
+    assert seen[0][0] == "simhash" and seen[0][1] > 0
