@@ -296,3 +296,12 @@ def test_selection(spark):
     assert len(cases.collect()) == 4
     with pytest.raises(ValueError):
         selection.shift_cases(items, items, "g", "g", ["i"], -1)
+
+
+def test_near_duplicates_shuffle_prefixes_only(spark, sf):
+    """No task gets all tokens with their sets: a set's words are never sorted or counted in a window over exploded rows."""
+    from quillspark.plans import QUERIES
+
+    for name in ("near_duplicates", "leakage_audit"):
+        plan = QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+        assert "Window" not in plan and "MapInArrow" in plan
