@@ -7,10 +7,12 @@
 3. Hamming tables: a descriptor is filed under nine parts of 28 of its bits, with 64 others beside. Points of a file that differ in
    more than ``_BESIDE`` of those are no pair: of points at the greatest distance that matches (``MATCH`` of 256) 99 in a hundred pass, of nearer ones all but a few. All points of
    a file are paired, so that no link depends on its size: at once in files of up to ``FEW`` points; in larger ones those of the ``CENTRES``
-   images of least number with all others as they come, and the others with each other in a second turn, in blocks that meet in pairs in files of more than
-   ``limit`` points. The links of a group of near copies, which are part of the result, grow with its square.
-4. Pairs of images with ``votes`` points or more in common are verified: matched points propose similarity transforms, and a copy
-   needs ``inliers`` points that agree with one. Verified pairs are joined to classes.
+   images of least number with all others as they come, and the others with each other in a second turn.
+4. Images are dealt into blocks of about ``limit`` points, and a task holds two blocks at a time with the tables of their points: pairs of images with ``votes`` points or more in common
+   are verified there: matched points propose similarity transforms, and a copy needs ``inliers`` points that agree with one. So neither
+   points, votes nor pairs are shuffled, only descriptors, and of what is linked each task tells an image's number of links and the least image
+   that it reaches. Blocks meet in rounds, in each of which a descriptor is sent four times at most: the disk grows with the input,
+   the time with its square. Linked images are joined to classes.
 
 Tables find most, not all: of pairs that the verification accepts, the tests demand nine in ten for crops, noise, blur, brightness,
 turns by 15 and 90 degrees, and scaling by 0.75 and 1.33. Defined results: null, empty, undecodable and empty (0 pixels) images have no
@@ -20,13 +22,15 @@ share the classes of their pixels; an empty table gives an empty result; other c
 
 from __future__ import annotations
 
+import math
 import struct
 import zlib
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,13 +43,17 @@ VOTES = 2
 MATCH = 48
 FEW = 24
 CENTRES = 8
-LIMIT = 1 << 16
+LIMIT = 200_000
 _RADIUS = 11
 _SCALES = tuple(2 ** (-i / 8) for i in range(11))
 _TILE = 24
 _PARTS, _PART, _BESIDE = 9, 28, 20
 #: Pairs of points that are compared at once.
 _BLOCK = 1 << 20
+#: Rows of a table that are paired at once, and votes that are held before those of pairs with enough are dropped.
+_ROWS, _HELD = 1 << 16, 1 << 22
+#: Distances between blocks that meet in a round; each sends a descriptor twice.
+_TURNS = 2
 
 
 def write_pgm(grey: np.ndarray) -> bytes:
@@ -176,14 +184,15 @@ def _order() -> np.ndarray:
 
 def filed(desc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of each descriptor: its keys (one a part), and 64 bits beside each."""
-    bits, order = np.unpackbits(desc, axis=1)[:, _order()], np.arange(256)
-    keys, beside = [], []
-    for t in range(_PARTS):
-        part = bits[:, order[_PART * t : _PART * (t + 1)]]
-        keys.append(np.int64(t) << _PART | (part.astype(np.int64) << np.arange(_PART)).sum(axis=1))
-        rest = bits[:, (np.arange(64) + _PART * (t + 1)) % 256]
-        beside.append(np.ascontiguousarray(np.packbits(rest, axis=1)).view(np.int64).reshape(-1))
-    return np.stack(keys, axis=1), np.stack(beside, axis=1)
+    words = np.ascontiguousarray(np.packbits(np.unpackbits(desc, axis=1)[:, _order()], axis=1, bitorder="little")).view("<u8")
+
+    def cut(at: int) -> np.ndarray:
+        """64 bits from this place on, the first again after the last."""
+        i, shift = at // 64 % 4, np.uint64(at % 64)
+        return words[:, i] >> shift | words[:, (i + 1) % 4] << np.uint64(64) - shift if shift else words[:, i]
+
+    keys = [np.int64(t) << _PART | (cut(_PART * t) & np.uint64((1 << _PART) - 1)).astype(np.int64) for t in range(_PARTS)]
+    return np.stack(keys, axis=1), np.stack([cut(_PART * (t + 1)).view(np.int64) for t in range(_PARTS)], axis=1)
 
 
 def share(da: np.ndarray, db: np.ndarray) -> int:
@@ -196,19 +205,22 @@ def share(da: np.ndarray, db: np.ndarray) -> int:
 def hamming(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Distances of all descriptors in a from all in b."""
     x, y = np.ascontiguousarray(a).view(np.uint64), np.ascontiguousarray(b).view(np.uint64)
-    return np.bitwise_count(x[:, None] ^ y[None]).sum(axis=2, dtype=np.int64)
+    out = np.zeros((len(x), len(y)), np.int16)
+    for i in range(4):
+        out += np.bitwise_count(x[:, None, i] ^ y[None, :, i])
+    return out
 
 
-def agree(pa_: np.ndarray, da: np.ndarray, pb: np.ndarray, db: np.ndarray) -> int:
-    """How many matched points agree with the best similarity transform that one match proposes."""
+def agree(pa_: np.ndarray, da: np.ndarray, pb: np.ndarray, db: np.ndarray, least: int = 1) -> int:
+    """How many matched points agree with the best similarity transform that one match proposes; 0 where fewer than ``least`` match."""
     if not len(da) or not len(db):
         return 0
     d = hamming(da, db)
     i, j = np.arange(len(da)), d.argmin(axis=1)
     ok = (d[i, j] <= MATCH) & (d.argmin(axis=0)[j] == i)
-    a, b = pa_[i[ok]].astype(float), pb[j[ok]].astype(float)
-    if not len(a):
+    if ok.sum() < max(1, least):
         return 0
+    a, b = pa_[i[ok]].astype(float), pb[j[ok]].astype(float)
     turn, grow = b[:, 3] - a[:, 3], b[:, 2] / a[:, 2]
     cos, sin = np.cos(turn) * grow, np.sin(turn) * grow
     dx, dy = a[None, :, 0] - a[:, None, 0], a[None, :, 1] - a[:, None, 1]
@@ -302,37 +314,122 @@ def _near(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _batch(few(held), [c[:0] for c in none])
 
 
-def _cross(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Votes of rows (key, pair, image, point, beside, own) sorted by key and pair, between different images; one file, or two blocks of it, are held at a time.
-
-    Rows of one block are paired where it meets itself (pair: the two blocks), those of two blocks where these meet.
-    """
+def _rest(cols: list[np.ndarray]) -> Iterator[list[np.ndarray]]:
+    """Votes between different images of each file of rows (key, image, point, beside)."""
+    order = np.argsort(cols[0], kind="stable")
+    key = cols[0][order]
+    for file in np.split(order, np.flatnonzero(key[1:] != key[:-1]) + 1):
+        image, point, beside = (c[file] for c in cols[1:])
+        step = max(1, _BLOCK // max(1, len(file)))
+        for at in range(0, len(file), step):
+            i, j = np.nonzero((image[at : at + step, None] != image[None, at:]) & (np.bitwise_count((beside[at : at + step, None] ^ beside[None, at:]).view(np.uint64)) <= _BESIDE))
+            i, j = i[i < j] + at, j[i < j] + at
+            yield _votes(image[i], point[i], image[j], point[j])
+
+
+def _tried(desc: np.ndarray, image: np.ndarray, point: np.ndarray, side: np.ndarray, votes: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of images with enough points in common, from the tables of these points, sorted by image; where images have sides, only pairs of both."""
+    n, places, apart = int(image.max()) + 1, int(point.max()) + 1, bool(side.any())
+    keys, beside = filed(desc)
+    enough, held, size, most = np.zeros(0, np.int64), [np.zeros(0, np.int64)], 0, _HELD
+
+    def add(a: np.ndarray, b: np.ndarray, vote: np.ndarray) -> None:
+        """Of a pair with enough votes, only the pair is kept."""
+        nonlocal size
+        keep = side[a] != side[b] if apart else slice(None)
+        held.append((a[keep] * n + b[keep]) * places + vote[keep])
+        size += len(held[-1])
+        if size > most:
+            drop()
+
+    def drop() -> None:
+        nonlocal enough, held, size, most
+        codes = np.unique(np.concatenate(held))
+        pair, count = np.unique(codes // places, return_counts=True)
+        enough = np.union1d(enough, pair[count >= votes])
+        held = [codes[~np.isin(codes // places, enough)]]
+        size = len(held[0])
+        most = max(_HELD, 2 * size)
 
-    def solve(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        _, pair, image, point, beside, own = cols
-        n, same = len(image), pair[0] >> 15 == pair[0] & (1 << 15) - 1
-        step = max(1, _BLOCK // n)
-        for at in range(0, n, step):
-            i, j = np.nonzero((image[at : at + step, None] != image[None]) & (same | (own[at : at + step, None] != own[None])) & (np.bitwise_count((beside[at : at + step, None] ^ beside[None]).view(np.uint64)) <= _BESIDE))
-            i += at
-            keep = i < j
-            i, j = i[keep], j[keep]
-            if len(i):
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in _votes(image[i], point[i], image[j], point[j])], ["a", "b", "vote"])
-
-    held: list[np.ndarray] | None = None
+    for t in range(_PARTS):
+        order = np.argsort(keys[:, t], kind="stable")
+        key, of = keys[order, t], side[image[order]]
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        several = np.maximum.reduceat(of, first) != np.minimum.reduceat(of, first) if apart else np.diff(np.append(first, len(key))) > 1
+        order = order[np.repeat(several, np.diff(np.append(first, len(key))))]
+        rows = [c[order] for c in (keys[:, t], image, point, beside[:, t])]
+        large: list[list[np.ndarray]] = [[c[:0]] for c in rows]
+        slices = (pa.RecordBatch.from_arrays([pa.array(c[at : at + _ROWS]) for c in rows], _ROW) for at in range(0, len(order), _ROWS))
+        for r in _near(slices) if len(order) else ():
+            add(*(c.drop_null().to_numpy() for c in r.columns[:3]))
+            more = r.filter(pc.and_(r.column("a").is_null(), pc.invert(r.column("centre"))))
+            for o, c in zip(large, more.columns[3:7], strict=True):
+                o.append(c.to_numpy())
+        for got in _rest([np.concatenate(c) for c in large]):
+            add(*got)
+    drop()
+    return enough // n, enough % n
+
+
+def _least(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
+    """The least of n numbers that each reaches by the links (i, j)."""
+    found, before = np.arange(n), None
+    while before is None or (found != before).any():
+        before = found.copy()
+        low = np.minimum(found[i], found[j])
+        for k in (i, j):
+            np.minimum.at(found, before[k], low)
+            np.minimum.at(found, k, low)
+        found = found[found]
+    return found
+
+
+def _meet(batches: Iterable[pa.RecordBatch], votes: int, inliers: int) -> Iterator[pa.RecordBatch]:
+    """Of rows (pair, side, node, features) sorted by pair, those of one pair of blocks held at a time: (a, b, n) for each linked image, the least image that it reaches, and its links."""
+
+    def solve(t: pa.Table) -> pa.RecordBatch:
+        t = t.sort_by("node")
+        node, side, blobs = t.column("node").to_numpy(), t.column("side").to_numpy(), t.column("features").to_pylist()
+        sizes = [len(f) // 48 for f in blobs]
+        place = [np.frombuffer(f, "<f4", 4 * k).reshape(k, 4) for f, k in zip(blobs, sizes, strict=True)]
+        desc = [np.frombuffer(f, np.uint8, 32 * k, 16 * k).reshape(k, 32) for f, k in zip(blobs, sizes, strict=True)]
+        i, j = _tried(np.concatenate(desc), np.repeat(np.arange(len(node)), sizes), np.concatenate([np.arange(k) for k in sizes]), side, votes)
+        linked = np.array([agree(place[a], desc[a], place[b], desc[b], inliers) >= inliers for a, b in zip(i.tolist(), j.tolist(), strict=True)], bool)
+        i, j = i[linked], j[linked]
+        n = np.bincount(np.concatenate([i, j]), minlength=len(node))
+        some = np.flatnonzero(n)
+        return pa.RecordBatch.from_arrays([pa.array(node[some]), pa.array(node[_least(i, j, len(node))[some]]), pa.array(n[some].astype(np.int64))], ["a", "b", "n"])
+
+    held: list[pa.RecordBatch] = []
     for r in batches:
-        cols = [c.to_numpy(zero_copy_only=False) for c in r.columns]
-        if not len(cols[0]):
-            continue
-        held = cols if held is None else [np.concatenate(x) for x in zip(held, cols, strict=True)]
-        new = np.flatnonzero((held[0][1:] != held[0][:-1]) | (held[1][1:] != held[1][:-1])) + 1
-        for x, y in zip(np.append(0, new), new, strict=False):
-            yield from solve([c[x:y] for c in held])
-        if len(new):
-            held = [c[new[-1] :] for c in held]
-    if held is not None:
-        yield from solve(held)
+        pair = r.column(0).to_numpy()
+        cuts = [0, *(np.flatnonzero(pair[1:] != pair[:-1]) + 1).tolist(), r.num_rows]
+        for x, y in zip(cuts, cuts[1:], strict=False):
+            if x < y and held and held[0].column(0)[0].as_py() != pair[x]:
+                yield solve(pa.Table.from_batches(held))
+                held = []
+            if x < y:
+                held.append(r.slice(x, y - x))
+    if held:
+        yield solve(pa.Table.from_batches(held))
+
+
+def _rounds(images: DataFrame, blocks: int) -> Iterator[tuple[DataFrame, int]]:
+    """Rows (pair, side, node, features) of the pairs of blocks of each round, and the number of these: every two blocks meet once.
+
+    Side is 1 or 2 where two blocks meet, 0 where one meets itself.
+    """
+    x = F.pmod(F.xxhash64("node"), F.lit(blocks)).cast("int")
+    for at in range(0, blocks // 2 + 1, _TURNS):
+        roles = []
+        for k, apart in enumerate(range(at, min(at + _TURNS, blocks // 2 + 1))):
+            first = F.struct((F.lit(k * blocks) + x).alias("pair"), F.lit(min(apart, 1)).alias("side"))
+            second = F.struct((F.lit(k * blocks) + (x - apart + blocks) % blocks).alias("pair"), F.lit(2).alias("side"))
+            if 2 * apart == blocks:  # two blocks at this distance meet from either side
+                roles.append(F.when(x < apart, first).otherwise(second))
+            else:
+                roles += [first, second] if apart else [first]
+        yield images.select("node", "features", F.explode(F.array(*roles)).alias("r")).select("r.pair", "r.side", "node", "features"), _TURNS * blocks
 
 
 def find_copies(images: DataFrame, *, id_col: str, image_col: str, per_tile: int = PER_TILE, inliers: int = INLIERS, votes: int = VOTES, limit: int = LIMIT) -> DataFrame:
@@ -359,48 +456,19 @@ def find_copies(images: DataFrame, *, id_col: str, image_col: str, per_tile: int
     whole, every = every, stage(every.select("id", "n_points", "pixels"), "pixels-of")  # features are kept once
     unstage(whole)
 
-    def tables(b: pa.RecordBatch) -> pa.RecordBatch:
-        out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in _ROW]
-        for node, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            n = len(blob) // 48
-            key, beside = filed(np.frombuffer(blob, np.uint8, 32 * n, 16 * n).reshape(n, 32))
-            for o, x in zip(out, (key.reshape(-1), np.full(n * _PARTS, node), np.repeat(np.arange(n), _PARTS), beside.reshape(-1)), strict=True):
-                o.append(x)
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in out], _ROW)
-
-    rows = narrow(one.select("node", "features"), tables, "key bigint, image bigint, point bigint, beside bigint")
-    rows = rows.repartition("key").sortWithinPartitions("key", "image", "point")
-    met = stage(through(rows, _near, "a bigint, b bigint, vote bigint, key bigint, image bigint, point bigint, beside bigint, centre boolean").where("a is not null or not centre"), "met")
-    blobs = one.select("node", "features")
-
-    def verify(b: pa.RecordBatch) -> pa.RecordBatch:
-        got = []
-        for fa, fb in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-            x, y = ((np.frombuffer(f, "<f4", 4 * (len(f) // 48)).reshape(-1, 4), np.frombuffer(f, np.uint8, 32 * (len(f) // 48), 16 * (len(f) // 48)).reshape(-1, 32)) for f in (fa, fb))
-            got.append(agree(*x, *y))
-        return pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(got, pa.int64())], ["a", "b", "inliers"])
-
-    def verified(pairs: DataFrame, name: str) -> DataFrame:
-        both = pairs.join(blobs.select(F.col("node").alias("a"), F.col("features").alias("fa")), "a").join(blobs.select(F.col("node").alias("b"), F.col("features").alias("fb")), "b")
-        return stage(narrow(both.select("a", "b", "fa", "fb"), verify, "a bigint, b bigint, inliers bigint").where(F.col("inliers") >= inliers), name)
-
-    def voted(of: DataFrame) -> DataFrame:
-        return of.groupBy("a", "b").agg(F.count_distinct("vote").alias("votes")).where(F.col("votes") >= votes).select("a", "b")
-
-    large = met.where("key is not null").select(*_ROW)
-    several = large.groupBy("key").agg(F.min("image").alias("low"), F.max("image").alias("high"), F.ceil(F.count("*") / limit).cast("int").alias("blocks")).where("low <> high")
-    own = F.pmod(F.xxhash64("image"), F.col("blocks")).cast("long")
-    apart = large.join(several.select("key", "blocks"), "key").withColumn("own", own).withColumn("c", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    apart = apart.select("key", (F.least("c", "own") * F.lit(1 << 15) + F.greatest("c", "own")).cast("long").alias("pair"), "image", "point", "beside", "own")
-    more = through(apart.repartition("key", "pair").sortWithinPartitions("key", "pair"), _cross, "a bigint, b bigint, vote bigint")
-    tried = stage(voted(met.where("a is not null").select("a", "b", "vote").union(more)), "voted")
-    unstage(met)
-    linked = verified(tried, "linked")
-    unstage(tried)
+    shown = one.where(F.octet_length("features") > 0)
+    n, points = shown.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("features")), F.lit(0)) / 48).first()
+    blocks = max(1, min(n, math.ceil(points / limit)))
+    links: list[DataFrame] = []
+    for rows, pairs in _rounds(shown.select("node", "features"), blocks):
+        rows = rows.repartitionById(pairs, "pair").sortWithinPartitions("pair")
+        links.append(stage(through(rows, lambda b: _meet(b, votes, inliers), "a bigint, b bigint, n bigint"), "links"))
+    linked = reduce(DataFrame.union, links)
     roots = components(linked.select("a", "b"))
-    degree = linked.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
+    degree = linked.groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n_links"))
     named = one.join(roots, "node", "left").join(degree, "node", "left").select("pixels", "least", F.coalesce("root", "node").alias("root"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
     named = stage(named, "classes")
+    unstage(*links)
     least = stage(named.groupBy("root").agg(F.min("least").alias("class_id")), "class-ids")
     known = stage(named.join(least, "root").select("pixels", "class_id", "n_links"), "pixels")
     return every.select("id", "n_points", "pixels").join(known, "pixels").select("id", "n_points", "class_id", "n_links")

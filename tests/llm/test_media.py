@@ -100,6 +100,38 @@ def test_links_of_a_group_are_all_counted(spark):
         assert {r.id: r.n_links for r in media.find_copies(rows, id_col="id", image_col="image", limit=limit).collect()} == expected, limit
 
 
+def test_neither_points_nor_pairs_are_rows(spark, monkeypatch):
+    """What is staged on the way grows with the pictures, though all 435 pairs of 30 near copies are links."""
+    base = np.rint(texture(0))
+    base[:2, :2] = 0
+    noisy = [(i, media.write_pgm(base + np.pad([[i]], ((0, 79), (0, 79))))) for i in range(30)]
+    rows, staged = [], media.stage
+
+    def counted(df, name):
+        out = staged(df, name)
+        rows.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(media, "stage", counted)
+    got = media.find_copies(spark.createDataFrame(noisy, "id long, image binary").coalesce(1), id_col="id", image_col="image").collect()
+    assert {(r.class_id, r.n_links) for r in got} == {(0, 29)}
+    assert max(n for _, n in rows) <= 30, rows
+
+
+def test_every_two_blocks_meet_once(spark):
+    images = spark.range(60).select(media.F.col("id").alias("node"), media.F.lit(b"").alias("features"))
+    for blocks in (1, 2, 3, 6, 7):
+        met = []
+        for rows, pairs in media._rounds(images, blocks):
+            by = {}
+            for r in rows.collect():
+                assert 0 <= r.pair < pairs
+                by.setdefault(r.pair, []).append((r.node, r.side))
+            for of in by.values():
+                met += [tuple(sorted((a, b))) for a, s in of for b, t in of if (a < b if s == t == 0 else s == 1 and t == 2)]
+        assert len(met) == len(set(met)) == 60 * 59 // 2, blocks
+
+
 def test_votes_of_files_equal_those_of_all_pairs(monkeypatch):
     rng = np.random.default_rng(4)
     key, image, point = np.sort(rng.integers(0, 12, 400)), rng.integers(0, 40, 400), np.arange(400)
