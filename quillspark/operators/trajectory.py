@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -11,12 +12,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from ..session import release
 from .matrix import pearson
 
-#: Bytes of vectors that may be sent to every task.
-SENT = 64 << 20
-#: Steps of a shuffled path that a task holds at once.
-STRETCH = 4096
+#: Bytes of vectors that may be sent to every task, and about how many a round of shuffled paths may join beyond that.
+SENT, ROUND = 256 << 20, 1 << 30
+#: Steps of a shuffled path that a task holds at once, and ids that it hashes at once.
+STRETCH, HASHED = 1024, 1 << 13
+#: What a null distribution has of each path.
+MEANS = ("mean_similarity", "mean_distance", "mean_curvature")
+_SINES = [int(abs(math.sin(i + 1)) * 2**32) for i in range(64)]
+_TURNS = [(7, 12, 17, 22), (5, 9, 14, 20), (4, 11, 16, 23), (6, 10, 15, 21)]
+_START = (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476)
 
 
 def order_of(path: str = "path", pos: str = "pos") -> Window:
@@ -78,9 +85,9 @@ def drift(segments: DataFrame) -> DataFrame:
     )
 
 
-def shuffled(items: DataFrame, id_col: str, permutations: int, seed: str = "42") -> DataFrame:
+def shuffled(items: DataFrame, id_col: str, permutations: int, seed: str = "42", first: int = 1) -> DataFrame:
     """perm, pos, id: orders of all items by the md5 of seed, permutation and item, which any engine can repeat."""
-    some = items.select(F.col(id_col).alias("id")).withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(permutations))))
+    some = items.select(F.col(id_col).alias("id")).withColumn("perm", F.explode(F.sequence(F.lit(first), F.lit(permutations))))
     key = F.md5(F.concat_ws("|", F.lit(seed), F.col("perm").cast("string"), F.col("id").cast("string")))
     return some.withColumn("pos", F.row_number().over(Window.partitionBy("perm").orderBy(key, "id"))).select("perm", "pos", "id")
 
@@ -93,58 +100,137 @@ def _order(prefix: bytes, names: list[bytes]) -> np.ndarray:
     return np.lexsort((keys[:, 1], keys[:, 0])) if (first[1:] == first[:-1]).any() else order
 
 
-def _path_means(m: np.ndarray, order: np.ndarray) -> tuple[float | None, float | None, float]:
-    """Mean similarity, distance and angle along the rows of m in this order, a stretch of the path at a time."""
+def _grouped(names: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The names of each length: their places, and their bytes as rows."""
+    length = np.array([len(i) for i in names], np.int64)
+    places = [np.flatnonzero(length == n) for n in np.unique(length)]
+    return [(at, np.frombuffer(b"".join(names[i] for i in at), np.uint8).reshape(len(at), -1)) for at in places]
+
+
+def _md5(w: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The md5 of messages of ``size`` bytes and one block, as two numbers that sort as it does. w: the words that any of them has, one row a word."""
+    a, b, c, d = (np.full(w.shape[1], x, np.uint32) for x in _START)
+    f, g = np.empty_like(a), np.empty_like(a)
+    for i in range(64):
+        turn, k = i // 16, (i, 5 * i + 1, 3 * i + 5, 7 * i)[i // 16] % 16
+        if turn == 0:
+            np.bitwise_xor(c, d, out=f)
+            f &= b
+            f ^= d
+        elif turn == 1:
+            np.bitwise_xor(b, c, out=f)
+            f &= d
+            f ^= c
+        elif turn == 2:
+            np.bitwise_xor(b, c, out=f)
+            f ^= d
+        else:
+            np.invert(d, out=f)
+            f |= b
+            f ^= c
+        f += a
+        if k < len(w):
+            f += w[k]
+        f += np.uint32((_SINES[i] + (8 * size if k == 14 else 0)) % 2**32)
+        bits = _TURNS[turn][i % 4]
+        np.left_shift(f, bits, out=g)
+        f >>= 32 - bits
+        f |= g
+        f += b
+        a, b, c, d, f = d, f, b, c, a
+    x = [(y + np.uint32(z)).byteswap().astype(np.uint64) for y, z in zip((a, b, c, d), _START, strict=True)]
+    return x[0] << np.uint64(32) | x[1], x[2] << np.uint64(32) | x[3]
+
+
+def _hashed_order(prefix: bytes, groups: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """As _order, of names in groups, whose digests are worked out many at a time."""
+    n = sum(len(at) for at, _ in groups)
+    keys = np.empty((2, n), np.uint64)
+    for at, chars in groups:
+        size = len(prefix) + chars.shape[1]
+        if size > 55:  # more than one block
+            keys[:, at] = np.frombuffer(b"".join(hashlib.md5(prefix + i.tobytes()).digest() for i in chars), ">u8").reshape(-1, 2).T
+            continue
+        for i in range(0, len(at), HASHED):
+            some = chars[i : i + HASHED]
+            text = np.zeros((len(some), size // 4 * 4 + 4), np.uint8)
+            text[:, : len(prefix)] = np.frombuffer(prefix, np.uint8)
+            text[:, len(prefix) : size] = some
+            text[:, size] = 0x80
+            keys[:, at[i : i + HASHED]] = _md5(np.ascontiguousarray(text.view("<u4").T), size)
+    bits = np.uint64(max(1, (n - 1).bit_length()))
+    mixed = keys[0] >> bits << bits | np.arange(n, dtype=np.uint64)  # leading bits and places: a plain sort is faster than one of places
+    mixed.sort()
+    first = mixed >> bits
+    if (first[1:] == first[:-1]).any():
+        return np.lexsort((keys[1], keys[0]))
+    return (mixed & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+
+
+def _path_means(m: np.ndarray, order: np.ndarray, only: tuple[str, ...] = MEANS) -> tuple[float | None, float | None, float | None]:
+    """Mean similarity, distance and angle along the rows of m in this order, a stretch of the path at a time; None for those not in ``only``."""
     dot = lambda a, b: np.einsum("ij,ij->i", a, b)
     n = len(order)
     similarity = distance = angles = 0.0
     bends = 0
     for at in range(0, n - 1, STRETCH):
-        p = m[order[at : at + STRETCH + 2]]  # one point more than the steps that begin here, and one for the last bend
-        step = p[1:] - p[:-1]
-        length = np.sqrt(dot(step, step))
+        p = m.take(order[at : at + STRETCH + 2], axis=0).astype(float, copy=False)  # one point more than the steps that begin here, and one for the last bend
         own = min(STRETCH, n - 1 - at)
-        similarity += float(dot(p[1 : own + 1], p[:own]).sum())
-        distance += float(length[:own].sum())
-        bent = (length[1:] >= 1e-10) & (length[:-1] >= 1e-10)
-        turn = dot(step[1:], step[:-1])[bent] / (length[1:] * length[:-1])[bent]
-        angles += float(np.arccos(np.clip(turn, -1, 1)).sum())
-        bends += len(turn)
-    return (similarity / (n - 1), distance / (n - 1), angles / bends if bends else 0.0) if n > 1 else (None, None, 0.0)
-
-
-def permutation_null(items: DataFrame, id_col: str, vector_col: str, permutations: int, seed: str = "42", sent: int = SENT) -> DataFrame:
-    """perm, mean_similarity, mean_distance, mean_curvature of each shuffled path.
+        if "mean_similarity" in only:
+            similarity += float(dot(p[1 : own + 1], p[:own]).sum())
+        if "mean_distance" in only or "mean_curvature" in only:
+            step = p[1:] - p[:-1]
+            length = np.sqrt(dot(step, step))
+            distance += float(length[:own].sum())
+        if "mean_curvature" in only:
+            bent = (length[1:] >= 1e-10) & (length[:-1] >= 1e-10)
+            turn = dot(step[1:], step[:-1])[bent] / (length[1:] * length[:-1])[bent]
+            angles += float(np.arccos(np.clip(turn, -1, 1)).sum())
+            bends += len(turn)
+    means = (similarity / (n - 1), distance / (n - 1), angles / bends if bends else 0.0) if n > 1 else (None, None, 0.0)
+    return tuple(x if name in only else None for name, x in zip(MEANS, means, strict=True))
+
+
+def permutation_null(items: DataFrame, id_col: str, vector_col: str, permutations: int, seed: str = "42", sent: int = SENT, only: tuple[str, ...] = MEANS) -> DataFrame:
+    """perm, mean_similarity, mean_distance, mean_curvature of each shuffled path, or of these the ``only`` ones.
 
     Items without a vector, or with a null in it, take no part; vectors of unequal length are an error. Orders are by the md5 of an id as Spark writes it.
-    Vectors of ``sent`` bytes together at most go to every task, which takes whole permutations as matrix products; beyond that,
-    ids are shuffled and joined to their vectors. Either way gives the same paths.
+    Vectors of ``sent`` bytes together at most go to every task, which takes whole permutations; beyond that, ids are shuffled and joined to
+    their vectors, in rounds of as many permutations as about ``ROUND`` bytes allow, each of whose shuffle files goes before the next. Either way gives the same paths.
     """
-    v = items.select(F.col(id_col).alias("id"), V.doubles(F.col(vector_col)).alias("v")).where(F.col("v").isNotNull() & ~F.exists("v", lambda x: x.isNull()))
-    seen = v.agg(F.coalesce(F.sum(F.size("v")) * 8, F.lit(0)).alias("bytes"), F.min(F.size("v")).alias("low"), F.max(F.size("v")).alias("high")).first()
+    spark, kind = items.sparkSession, items.schema[vector_col].dataType.elementType.simpleString()
+    width, kind = (4, "float") if kind == "float" else (8, "double")
+    v = items.select(F.col(id_col).alias("id"), F.col(vector_col).cast(f"array<{kind}>").alias("v")).where(F.col("v").isNotNull() & ~F.exists("v", lambda x: x.isNull()))
+    seen = v.agg(F.coalesce(F.sum(F.size("v")) * width, F.lit(0)).alias("bytes"), F.min(F.size("v")).alias("low"), F.max(F.size("v")).alias("high")).first()
     if seen.low != seen.high:
         raise ValueError(f"vectors have {seen.low} to {seen.high} places")
     if seen.bytes > sent:
-        paths = shuffled(v, "id", permutations, seed).join(v, "id").select(F.col("perm").alias("path"), "pos", "v")
-        found = smoothness(paths).join(curvature(paths), "path").select(F.col("path").alias("perm"), "mean_similarity", "mean_distance", "mean_curvature")
-        return found.where("mean_similarity is not null")
-    spark = items.sparkSession
+        rows, each = [], max(1, ROUND // seen.bytes)
+        for first in range(1, permutations + 1, each):
+            paths = shuffled(v, "id", min(permutations, first + each - 1), seed, first).join(v.select("id", V.doubles(F.col("v")).alias("v")), "id").select(F.col("perm").alias("path"), "pos", "v")
+            found = smoothness(paths)
+            found = found.join(curvature(paths), "path") if "mean_curvature" in only else found
+            rows += found.where("n_steps > 0").select(F.col("path").alias("perm"), *only).collect()  # a row a permutation
+            release(spark)
+        return spark.createDataFrame(rows, ", ".join(["perm int", *[f"{x} double" for x in only]]))
     every = v.orderBy("id").select(F.col("id").cast("string").alias("id"), "v").toArrow()
-    names = [i.encode() for i in every["id"].to_pylist()]
-    matrix = spark.sparkContext.broadcast(every["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(names), -1) if names else np.zeros((0, 1)))  # ``sent`` bytes at most
+    names = every["id"].to_pylist()
+    m = np.concatenate([np.zeros(0, kind.replace("float", "float32")), *[c.flatten().to_numpy(zero_copy_only=False) for c in every["v"].chunks]])
+    del every
+    table = spark.sparkContext.broadcast((m.reshape(len(names), -1) if names else m.reshape(0, 1), _grouped([i.encode() for i in names])))  # ``sent`` bytes at most, and ids
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = matrix.value
+        m, groups = table.value
         for b in batches:
             perms = b.column(0).to_pylist()
             rows = []
             for perm in perms:
-                rows.append((perm, *_path_means(m, _order(f"{seed}|{perm}|".encode(), names))))
+                rows.append((perm, *_path_means(m, _hashed_order(f"{seed}|{perm}|".encode(), groups), only)))
             cols = list(zip(*rows, strict=True)) if rows else [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.float64(), pa.float64(), pa.float64()), strict=True)], ["perm", "mean_similarity", "mean_distance", "mean_curvature"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.float64(), pa.float64(), pa.float64()), strict=True)], ["perm", *MEANS])
 
     some = spark.range(1, permutations + 1, 1, spark.sparkContext.defaultParallelism * 4).select(F.col("id").cast("int"))
-    return some.mapInArrow(run, "perm int, mean_similarity double, mean_distance double, mean_curvature double").where("mean_similarity is not null")
+    return some.mapInArrow(run, ", ".join(["perm int", *[f"{x} double" for x in MEANS]])).where(F.lit(len(names) > 1)).select("perm", *only)
 
 
 def z_score(observed: Column, mean: Column, std: Column, sign: int) -> Column:

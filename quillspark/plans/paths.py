@@ -31,8 +31,8 @@ def vectors(read):
     return read("embeddings").select("vec_id", "label", V.doubles(F.col("embedding")).alias("v"))
 
 
-def paths(read):
-    v = vectors(read)
+def paths(read, v=None):
+    v = vectors(read) if v is None else v
     by_id = v.withColumn("path", F.lit("linear")).withColumn("pos", F.row_number().over(Window.partitionBy("path").orderBy("vec_id")))
     hop = F.md5(F.concat(F.lit("hop|"), F.col("vec_id").cast("string")))
     by_hash = v.withColumn("path", F.lit("hopscotch")).withColumn("pos", F.row_number().over(Window.partitionBy("path").orderBy(hop, "vec_id")))
@@ -103,8 +103,16 @@ def drift_rank(read):
     return rounded(d.crossJoin(F.broadcast(mid)).select("label", rank.cast("long").alias("rank"), (rank * 100.0 / F.col("n")).alias("pct"), (F.col("mean_drift") - F.col("mid")).alias("over_median")))
 
 
-def _null(read):
-    return trajectory.permutation_null(read("embeddings"), "vec_id", "embedding", N_PERM)
+def _null(read, *only):
+    return trajectory.permutation_null(read("embeddings"), "vec_id", "embedding", N_PERM, only=only or trajectory.MEANS)
+
+
+def _observed(read, *values):
+    """Means of the two paths; vectors are sorted as they are stored, and curvature is worked out if asked for."""
+    raw = read("embeddings").select("vec_id", "label", F.col("embedding").alias("v"))
+    p = paths(read, raw).withColumn("v", V.doubles(F.col("v")))
+    seen = trajectory.smoothness(p)
+    return seen.join(trajectory.curvature(p), "path") if "mean_curvature" in values else seen
 
 
 @query(f"WITH {NULL} SELECT CAST(perm AS BIGINT) AS perm, round(mean_similarity, 6) AS mean_similarity, round(mean_distance, 6) AS mean_distance, round(mean_curvature, 6) AS mean_curvature FROM null_")
@@ -124,8 +132,7 @@ _ALL = "round(observed, 6) AS observed, round(null_mean, 6) AS null_mean, round(
 
 
 def _test(read, value: str, sign: int):
-    seen = trajectory.smoothness(paths(read)).join(trajectory.curvature(paths(read)), "path")
-    return trajectory.against_null(seen, _null(read), value, sign)
+    return trajectory.against_null(_observed(read, value), _null(read, value), value, sign)
 
 
 @query(f"{_COS} SELECT path, {_ALL.format(sign=1)} FROM t")

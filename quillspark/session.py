@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+
 from pyspark.sql import SparkSession
 
 
@@ -21,3 +23,9 @@ def local_session(cpus: str | int = "*", memory: str = "12g") -> SparkSession:
     spark = SparkSession.builder.master(f"local[{cpus}]").appName("quillspark").config(map=conf).getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of finished jobs: it does so when the driver's garbage is collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -161,3 +161,29 @@ def test_mantel_equals_its_sql_on_odd_vectors(spark, tmp_path):
     got = pairs.mantel(df, "vec_id", "embedding", scales, block=10, part=50)
     assert sorted((r.scale_a, r.scale_b, round(r.rho, 6)) for r in got.collect()) == sorted(con.execute(SQL["mantel"]).fetchall())
     assert all(r.rho is None for r in pairs.mantel(df.where("false"), "vec_id", "embedding", scales).collect())
+
+
+def test_hashed_orders_are_those_of_plain_digests():
+    """Names of any length, one of more than a block, copies, and none."""
+    names = [str(i).encode() for i in range(3000)] + [b"", b"x" * 60, b"y" * 47, b"7", b"7"]
+    for prefix in (b"42|1|", b"42|5000|", b""):
+        want = sorted(range(len(names)), key=lambda i: (hashlib.md5(prefix + names[i]).digest(), i))
+        assert list(trajectory._hashed_order(prefix, trajectory._grouped(names))) == want
+    assert len(trajectory._hashed_order(b"42|1|", trajectory._grouped([]))) == 0
+
+
+def test_permutations_of_large_tables_are_sent_or_joined_in_rounds(spark, sf, monkeypatch):
+    """Vectors of 6 GB of tables (615,384) are sent; joins beyond that go by rounds and leave no plan that holds all permutations."""
+    assert 615_384 * 64 * 4 <= trajectory.SENT < 1 << 29
+    monkeypatch.setattr(trajectory, "ROUND", 1 << 14)
+    released = []
+    monkeypatch.setattr(trajectory, "release", lambda s: released.append(s))
+    items = spark.read.parquet(f"{sf}/embeddings.parquet").where("vec_id < 40")
+    only = ("mean_distance",)
+    joined = trajectory.permutation_null(items, "vec_id", "embedding", 7, sent=0, only=only)
+    assert joined.columns == ["perm", "mean_distance"] and len(released) == 7
+    for a, b in zip(*(sorted(map(tuple, x.collect())) for x in (joined, trajectory.permutation_null(items, "vec_id", "embedding", 7, only=only))), strict=True):
+        assert a == pytest.approx(b, abs=1e-12)
+    for name in ("z_score",):
+        plan = QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("MapInArrow") == 1, name
