@@ -250,6 +250,14 @@ def against_null(observed: DataFrame, null: DataFrame, value: str, sign: int) ->
     return g.select("path", "observed", "null_mean", "null_std", z_score(F.col("observed"), F.col("null_mean"), F.col("null_std"), sign).alias("z"), ((F.col("extreme") + 1) / (F.col("n") + 1) * 100).alias("percentile"), (F.col("below") / F.col("n") * 100).alias("percentile_raw"))
 
 
+def z_scores(observed: DataFrame, null: DataFrame, signs: dict[str, int]) -> DataFrame:
+    """path, and the standard score of each value, all from one pass over the null distribution; signs as for against_null."""
+    o = observed.select("path", *[F.col(x).alias(f"observed_{x}") for x in signs])
+    each = null.select(*signs).crossJoin(F.broadcast(o))  # a few observed paths
+    g = each.groupBy(*o.columns).agg(*[f(x).alias(f"{name}_{x}") for x in signs for name, f in (("mean", F.avg), ("std", F.stddev_pop))])
+    return g.select("path", *[z_score(F.col(f"observed_{x}"), F.col(f"mean_{x}"), F.col(f"std_{x}"), sign).alias(x) for x, sign in signs.items()])
+
+
 def moving_average(df: DataFrame, value: str, reach: int, path: str = "path", pos: str = "pos") -> Column:
     """Centred mean over 2 * reach + 1 values, cut at the ends."""
     return F.avg(value).over(order_of(path, pos).rowsBetween(-reach, reach))

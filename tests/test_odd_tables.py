@@ -173,7 +173,7 @@ def test_hashed_orders_are_those_of_plain_digests():
 
 
 def test_permutations_of_large_tables_are_sent_or_joined_in_rounds(spark, sf, monkeypatch):
-    """Vectors of 6 GB of tables (615,384) are sent; joins beyond that go by rounds and leave no plan that holds all permutations."""
+    """Vectors of 6 GB of tables (615,384) are sent; joins beyond that go by rounds and leave no plan that holds all permutations; verdicts draw the null once."""
     assert 615_384 * 64 * 4 <= trajectory.SENT < 1 << 29
     monkeypatch.setattr(trajectory, "ROUND", 1 << 14)
     released = []
@@ -184,6 +184,6 @@ def test_permutations_of_large_tables_are_sent_or_joined_in_rounds(spark, sf, mo
     assert joined.columns == ["perm", "mean_distance"] and len(released) == 7
     for a, b in zip(*(sorted(map(tuple, x.collect())) for x in (joined, trajectory.permutation_null(items, "vec_id", "embedding", 7, only=only))), strict=True):
         assert a == pytest.approx(b, abs=1e-12)
-    for name in ("z_score",):
+    for name in ("z_score", "agreement_verdict"):
         plan = QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("MapInArrow") == 1, name
