@@ -187,3 +187,19 @@ def test_permutations_of_large_tables_are_sent_or_joined_in_rounds(spark, sf, mo
     for name in ("z_score", "agreement_verdict"):
         plan = QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("MapInArrow") == 1, name
+
+
+def test_candidates_are_confirmed_by_files(spark, monkeypatch):
+    """One group of many near copies, in one file or parted: the pairs of plain sets. No join sends a set once for each of its pairs."""
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(40)]
+    rows = [(i, " ".join(base[:k] + base[k + 1 :] + [f"x{rng.randrange(3)}"]), "ab"[i % 2]) for i, k in enumerate(rng.randrange(6) for _ in range(40))] + [(90, "", "a"), (91, None, "b"), (92, "alone here", "a")]
+    sets = {i: set((t or "").split()) for i, t, _ in rows}
+    want = {(a, b) for a in sets for b in sets if a < b and sets[a] and sets[b] and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.95}
+    df = spark.createDataFrame(rows, "id int, text string, split string")
+    for dense in (1 << 17, 4):
+        monkeypatch.setattr(dataset, "DENSE", dense)
+        out = dataset.near_duplicates(df, "id", "text", 0.95)
+        assert len(want) > 20 and {(r.id_a, r.id_b) for r in out.collect()} == want
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_union" not in plan and "FlatMapCoGroupsInArrow" in plan
